@@ -21,6 +21,18 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(spark, _docs(spark, sf_dir), shards=24)
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .huffman import token_files
+
+    return token_files(spark, _docs(spark, sf_dir), end_id=2)
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack_documents
+
+    return pack_documents(spark, _docs(spark, sf_dir), capacity=2048, end_id=0)
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
