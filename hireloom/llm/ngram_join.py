@@ -80,17 +80,23 @@ def shingle_sets(texts: list[str | None], k: int = 5) -> list[np.ndarray]:
     return out
 
 
-def _slice_sets(raw: list[bytes], k: int) -> list[np.ndarray]:
-    data = np.frombuffer(b"\n".join(raw).lower() + b"\n", dtype=np.uint8)
+def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hash, first byte and end of each word of a byte array that ends with white space."""
     space = _SPACES[data]
     edge = np.diff(np.concatenate(([True], space)).astype(np.int8))
     begin, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     if not len(begin):
-        return [np.empty(0, np.uint64)] * len(raw)
+        return np.empty(0, np.uint64), begin, end
     length = end - begin
     place = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
     value = _BYTES[data[~space]] * _powers(int(length.max()))[place]
-    words = mix(np.add.reduceat(value, np.cumsum(length) - length) + length.astype(np.uint64) * _ODD[2])
+    return mix(np.add.reduceat(value, np.cumsum(length) - length) + length.astype(np.uint64) * _ODD[2]), begin, end
+
+
+def _slice_sets(raw: list[bytes], k: int) -> list[np.ndarray]:
+    words, begin, _ = word_hashes(np.frombuffer(b"\n".join(raw).lower() + b"\n", dtype=np.uint8))
+    if not len(words):
+        return [np.empty(0, np.uint64)] * len(raw)
     offsets = np.cumsum([0] + [len(r) + 1 for r in raw])
     first = np.searchsorted(begin, offsets)
     m = _multipliers(k)

@@ -33,6 +33,12 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(spark, _docs(spark, sf_dir))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import score_quality
+
+    return score_quality(spark, _docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op6_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_sources
 
