@@ -11,9 +11,12 @@ are counted together. Any order gives the same result, so that only costs
 precision of the order, never a link.
 
 Large groups of near copies aren't expanded to all pairs. A first round links
-the members of each list to one of their own and verifies that; a second
-round takes from each list every pair that still lies in different components,
-so each link between two components is found and pairs inside one are skipped.
+the members of each list to two of their own, those that share most, and
+verifies that. The next rounds take from the lists that still hold several
+components, for each member, the closest members of other components, twice
+as many each round, until no pair is left that could link two components; pairs inside one are
+skipped. Before texts are moved, a pair must pass a bound: the bits in which two
+parity bitmaps differ are no more than the shingles in which the sets differ.
 """
 
 from __future__ import annotations
@@ -34,6 +37,9 @@ BLOCK_BITS = 16
 HOT = 20_000
 BUCKET_SHINGLES = 2_000_000
 SLICE = 1 << 20
+BITMAP_BITS = 1024
+#: Closest members that a list names per member in the first of the later rounds.
+NEAREST = 4
 
 _ODD = np.array(
     [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], dtype=np.uint64
@@ -154,6 +160,17 @@ def shingle_frequencies(docs: DataFrame, k: int, bits: int) -> np.ndarray:
     return np.minimum(out, np.iinfo(np.uint32).max).astype(np.uint32)
 
 
+def parity(own: np.ndarray) -> bytes:
+    """Bitmap in which every shingle flips one bit."""
+    odd = np.bincount((mix(own) % np.uint64(BITMAP_BITS)).astype(np.int64), minlength=BITMAP_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def may_link(n_a, n_b, differing, percent: int):
+    """Whether sets of these sizes that differ in at least so many elements can be similar enough."""
+    return (100 + percent) * differing <= (100 - percent) * (n_a + n_b)
+
+
 def prefix_size(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1 if n else 0
 
@@ -164,22 +181,29 @@ def _describe(k: int, percent: int, cells):
         shift = np.uint64(64 - int(len(counts)).bit_length() + 1)
         for batch in batches:
             sets = shingle_sets(batch.column(1).to_pylist(), k)
-            classes, groups, prefixes = [], [], []
+            classes, groups, prefixes, bitmaps = [], [], [], []
             for own in sets:
                 order = np.lexsort((own, counts[(own >> shift).astype(np.int64)]))
                 prefix = own[order[: prefix_size(len(own), percent)]].tobytes()
                 classes.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
                 groups.append(int.from_bytes(hashlib.blake2b(prefix, digest_size=8, salt=len(own).to_bytes(8, "little")).digest(), "little", signed=True))
                 prefixes.append(prefix)
+                bitmaps.append(parity(own))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(classes, pa.binary()),
-                 pa.array(groups, pa.int64()), pa.array(prefixes, pa.binary())],
-                names=["doc_id", "row_key", "n", "cls", "grp", "prefix"],
+                 pa.array(groups, pa.int64()), pa.array(prefixes, pa.binary()), pa.array(bitmaps, pa.binary())],
+                names=["doc_id", "row_key", "n", "cls", "grp", "prefix", "bitmap"],
             )
 
     return run
 
 
+def _runs(sorted_: np.ndarray) -> list[tuple[int, int]]:
+    """(start, end) of the runs of equal values."""
+    cuts = np.concatenate(([0], np.flatnonzero(sorted_[1:] != sorted_[:-1]) + 1, [len(sorted_)])).tolist()
+    return list(zip(cuts[:-1], cuts[1:])) if len(sorted_) else []
+
+
 def _scatter(buckets: int, cells, noise: float):
     """Deal prefix shingles out to buckets, packed; hot shingles are dealt to several by group."""
 
@@ -191,18 +215,27 @@ def _scatter(buckets: int, cells, noise: float):
         rows = 0
 
         def out():
-            tok, grp, n = (np.concatenate(x) for x in zip(*held))
+            tok = np.concatenate([t for t, _, _ in held])
+            size = np.array([len(t) for t, _, _ in held])
+            doc = np.repeat(np.arange(len(held)), size)
+            grp, n = np.array([g for _, g, _ in held], np.int64), np.array([n for _, _, n in held], np.int32)
             parts = np.maximum(1, np.ceil((counts[(tok >> shift).astype(np.int64)] - noise) / HOT)).astype(np.uint64)
-            salt = (mix(grp.view(np.uint64)) % parts).astype(np.int64)
-            bucket = ((mix(tok) >> np.uint64(1)) % np.uint64(buckets)).astype(np.int64)
-            bucket = np.where(salt > 0, (bucket + salt) % buckets, bucket)
-            mark = np.where(parts > 1, salt, -1).astype(np.int32)
+            salt = np.where(parts > 1, mix(grp.view(np.uint64))[doc] % parts, 0).astype(np.int64)
+            bucket = (((mix(tok) >> np.uint64(1)) % np.uint64(buckets)).astype(np.int64) + salt) % buckets
+            mark = np.where(parts > 1, salt, -1).astype(np.int16 if parts.max() < 1 << 15 else np.int32)
             order = np.argsort(bucket, kind="stable")
-            cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
-            found = [np.split(x[order], cuts[1:]) for x in (tok, grp, n, mark)]
+            tok, doc, mark, bucket = tok[order], doc[order], mark[order], bucket[order]
+            rows = []
+            for lo, hi in _runs(bucket):
+                # A document's shingles stand together; it is named once.
+                first = np.flatnonzero(np.diff(doc[lo:hi], prepend=-1))
+                own = doc[lo:hi][first]
+                count = np.diff(np.append(first, hi - lo)).astype(np.int32)
+                marks = mark[lo:hi].astype(np.int32).tobytes() if (mark[lo:hi] >= 0).any() else b""
+                rows.append((int(bucket[lo]), tok[lo:hi].tobytes(), grp[own].tobytes(), n[own].tobytes(), count.tobytes(), marks))
+            cols = list(zip(*rows))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(bucket[order][cuts].astype(np.int32))] + [pa.array([x.tobytes() for x in column], pa.binary()) for column in found],
-                names=["bucket", "tok", "grp", "n", "salt"],
+                [pa.array(cols[0], pa.int32())] + [pa.array(c, pa.binary()) for c in cols[1:]], names=["bucket", "tok", "grp", "n", "count", "salt"]
             )
 
         for batch in batches:
@@ -212,7 +245,7 @@ def _scatter(buckets: int, cells, noise: float):
                 if len(seen) < 1_000_000:
                     seen.add(g)
                 tok = np.frombuffer(prefix, np.uint64)
-                held.append((tok, np.full(len(tok), g, np.int64), np.full(len(tok), n, np.int32)))
+                held.append((tok, g, n))
                 rows += len(tok)
             if rows >= 4_000_000:
                 yield from out()
@@ -231,9 +264,14 @@ def _lists(table: pa.Table) -> pa.Table:
 
     A split shingle gives a list per part, under its own name, even of one group.
     """
-    tok, grp, n, salt = (
-        np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("tok", np.uint64), ("grp", np.int64), ("n", np.int32), ("salt", np.int32))
-    )
+    columns = [[], [], [], []]
+    for tok, grp, n, count, salt in zip(*(table.column(c).to_pylist() for c in ("tok", "grp", "n", "count", "salt"))):
+        count = np.frombuffer(count, np.int32)
+        columns[0].append(np.frombuffer(tok, np.uint64))
+        columns[1].append(np.repeat(np.frombuffer(grp, np.int64), count))
+        columns[2].append(np.repeat(np.frombuffer(n, np.int32), count))
+        columns[3].append(np.frombuffer(salt, np.int32) if salt else np.full(count.sum(), -1, np.int32))
+    tok, grp, n, salt = (np.concatenate(c) for c in columns)
     order = np.lexsort((grp, n, salt, tok))
     tok, grp, n, salt = tok[order], grp[order], n[order], salt[order]
     new = np.concatenate(([True], (tok[1:] != tok[:-1]) | (salt[1:] != salt[:-1]) | (n[1:] != n[:-1]) | (grp[1:] != grp[:-1])))
@@ -248,6 +286,11 @@ def _lists(table: pa.Table) -> pa.Table:
     keep = np.flatnonzero((size > 1) | split)
     _, first = np.unique(np.stack([l1[keep], l2[keep], salt[start][keep].astype(np.int64)], 1), axis=0, return_index=True)
     keep = keep[first]
+    # In a list first come the groups that share most with others here.
+    names, place = np.unique(grp, return_inverse=True)
+    shares = np.bincount(place, weights=np.repeat(size, size), minlength=len(names))[place]
+    order = np.lexsort((grp, n, -shares, np.repeat(np.arange(len(size)), size)))
+    grp, n = grp[order], n[order]
     spans = [(int(start[i]), int(start[i] + size[i])) for i in keep]
     return pa.table(
         {
@@ -259,19 +302,23 @@ def _lists(table: pa.Table) -> pa.Table:
 
 
 def _star_pairs(percent: int):
-    """Each group with the smallest one of its list that fits in size, and with the one before it."""
+    """Each group of a list with the first two others that fit in size."""
 
     def run(batches):
         for batch in batches:
             left, right = [], []
             for grps, ns in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 g, n = np.frombuffer(grps, np.int64), np.frombuffer(ns, np.int32).astype(np.int64)
-                centre = np.searchsorted(n, (percent * n + 99) // 100)
-                i = np.arange(len(g))
-                some = np.flatnonzero(centre < i)
-                near = some[centre[some] < some - 1]
-                left += [g[centre[some]], g[near - 1]]
-                right += [g[some], g[near]]
+                named = np.zeros(len(g), np.int64)
+                # Nearly always the first few have partners for all; the rest is for lists of mixed sizes.
+                for centre in range(len(g) - 1):
+                    open_ = np.flatnonzero(named[centre + 1 :] < 2) + centre + 1
+                    if not len(open_) or centre >= 8:
+                        break
+                    fits = open_[(n[open_] * 100 >= n[centre] * percent) & (n[centre] * 100 >= n[open_] * percent)]
+                    named[fits] += 1
+                    left.append(np.full(len(fits), g[centre]))
+                    right.append(g[fits])
             if left:
                 a, b = np.concatenate(left), np.concatenate(right)
                 pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
@@ -280,17 +327,94 @@ def _star_pairs(percent: int):
     return run
 
 
+PART_SCHEMA = "l1 long, l2 long, salt int, members binary"
+
+
+def _pack_part(table: pa.Table) -> pa.Table:
+    """Members of one list (or of one part of a split list): class, root, bitmap and size, packed."""
+    order = np.argsort(table.column("n").to_numpy(), kind="stable")
+    raw = b"".join(
+        c + r + b + int(n).to_bytes(8, "little")
+        for c, r, b, n in zip(*(table.column(x).take(pa.array(order)).to_pylist() for x in ("cls", "root", "bitmap", "n")))
+    )
+    return pa.table({k: table.column(k).slice(0, 1) for k in ("l1", "l2", "salt")} | {"members": pa.array([raw], pa.binary())})
+
+
+MEMBER = np.dtype([("cls", "V16"), ("root", "<u8", 2), ("bits", "<u8", BITMAP_BITS // 64), ("n", "<i8")])
+
+
+def _closest(percent: int, most: int):
+    """Per member the `most` closest members of other components that could link; `cut` if there were more."""
+
+    def pairs(x: np.ndarray, y: np.ndarray, same: bool, out: list) -> None:
+        for lo in range(0, len(x), 128):
+            part = x[lo : lo + 128]
+            # y is sorted by size: only a stretch of it fits.
+            a = np.searchsorted(y["n"], -(-part["n"].min() * percent // 100))
+            b = np.searchsorted(y["n"], part["n"].max() * 100 // percent, side="right")
+            other = y[a:b]
+            apart = (part["root"][:, None] != other["root"][None]).any(axis=2)
+            if not apart.any():
+                continue
+            rows = np.flatnonzero(apart.any(axis=1))
+            differ = np.bitwise_count(part["bits"][rows][:, None] ^ other["bits"][None]).sum(axis=2, dtype=np.int64)
+            n_a, n_b = part["n"][rows][:, None], other["n"][None]
+            fits = (n_a * 100 >= n_b * percent) & (n_b * 100 >= n_a * percent)
+            ok = apart[rows] & fits & may_link(n_a, n_b, differ, percent)
+            rank = np.where(ok, differ * 1000 // (n_a + n_b), 1 << 40)
+            for i in np.flatnonzero(ok.any(axis=1)):
+                found = np.flatnonzero(ok[i])
+                cut = len(found) > most
+                if cut:
+                    found = found[np.argpartition(rank[i][found], most)[:most]]
+                me = part["cls"][rows[i]].tobytes()
+                for j in found:
+                    them = other["cls"][j].tobytes()
+                    out.append((min(me, them), max(me, them), cut))
+
+    def run(batches):
+        for batch in batches:
+            out: list[tuple] = []
+            for left, right, same in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                x, y = np.frombuffer(left, MEMBER), np.frombuffer(right, MEMBER)
+                pairs(x, y, same, out)
+                if not same:
+                    pairs(y, x, same, out)
+            out = list(dict.fromkeys(out))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.binary()), pa.array([o[2] for o in out], pa.bool_())],
+                names=["a", "b", "cut"],
+            )
+
+    return run
+
+
 def _entries(batches):
     for batch in batches:
-        l1, l2 = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        grps = [np.frombuffer(g, np.int64) for g in batch.column(2).to_pylist()]
+        l1, l2, salt = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2))
+        grps = [np.frombuffer(g, np.int64) for g in batch.column(3).to_pylist()]
         size = [len(g) for g in grps]
         if grps:
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(l1, size)), pa.array(np.repeat(l2, size)), pa.array(np.concatenate(grps))], names=["l1", "l2", "grp"]
+                [pa.array(np.repeat(x, size)) for x in (l1, l2, salt)] + [pa.array(np.concatenate(grps))], names=["l1", "l2", "salt", "grp"]
             )
 
 
+def _bounded(percent: int):
+    """Pairs that fit in size and whose bitmaps don't rule them out."""
+
+    def run(batches):
+        for batch in batches:
+            n_a, n_b = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
+            bits = [np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u8").reshape(len(n_a), -1) for i in (4, 5)] if len(n_a) else [np.zeros((0, 1), "<u8")] * 2
+            differ = np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1, dtype=np.int64)
+            fits = (n_a * 100 >= n_b * percent) & (n_b * 100 >= n_a * percent)
+            at = pa.array(np.flatnonzero(fits & may_link(n_a, n_b, differ, percent)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], names=["a", "b"])
+
+    return run
+
+
 def _verify(k: int, percent: int):
     def run(batches):
         for batch in batches:
@@ -349,17 +473,19 @@ def near_duplicates(
     noise = mean + 6 * mean**0.5
     rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_key"))
     info = scratch.keep(
-        rows.mapInArrow(_describe(k, percent, cells), "doc_id long, row_key long, n long, cls binary, grp long, prefix binary"), "sets"
+        rows.mapInArrow(_describe(k, percent, cells), "doc_id long, row_key long, n long, cls binary, grp long, prefix binary, bitmap binary"), "sets"
     )
     some = info.where("n > 0")
     first = F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), F.col("row_key").alias("k"))).alias("first")
-    classes = some.groupBy("cls").agg(first, F.min("n").alias("n"), F.min("grp").alias("grp"), F.min("doc_id").alias("doc_id"))
-    classes = scratch.keep(classes.select("cls", "n", "grp", "doc_id", F.col("first.k").alias("row_key")), "classes")
+    classes = some.groupBy("cls").agg(
+        first, F.min("n").alias("n"), F.min("grp").alias("grp"), F.min("doc_id").alias("doc_id"), F.min("bitmap").alias("bitmap")
+    )
+    classes = scratch.keep(classes.select("cls", "n", "grp", "doc_id", "bitmap", F.col("first.k").alias("row_key")), "classes")
 
     total = some.agg(F.sum(F.octet_length("prefix")) / 8).first()[0] or 0
     buckets = max(spark.sparkContext.defaultParallelism, int(total // BUCKET_SHINGLES) + 1)
     packed = some.select(F.col("n").cast("int"), "grp", "prefix").mapInArrow(
-        _scatter(buckets, cells, noise), "bucket int, tok binary, grp binary, n binary, salt binary"
+        _scatter(buckets, cells, noise), "bucket int, tok binary, grp binary, n binary, count binary, salt binary"
     )
     lists = packed.groupBy("bucket").applyInArrow(_lists, LIST_SCHEMA)
     lists = lists.groupBy("l1", "l2", "salt").agg(F.first("grps").alias("grps"), F.first("ns").alias("ns"))
@@ -371,32 +497,54 @@ def near_duplicates(
     stars = lists.select("grps", "ns").unionAll(heads).mapInArrow(_star_pairs(percent), "ga long, gb long").distinct()
 
     # A group stands for its smallest class; further classes of a group are tied to that one.
-    chosen = classes.groupBy("grp").agg(F.min("cls").alias("cls"))
-    expanded = stars.join(chosen.select(F.col("grp").alias("ga"), F.col("cls").alias("a")), "ga").join(
-        chosen.select(F.col("grp").alias("gb"), F.col("cls").alias("b")), "gb"
-    )
-    members = classes.select("grp", F.col("cls").alias("b")).join(chosen.withColumnRenamed("cls", "a"), "grp")
-    tried = scratch.keep(_pairs(expanded.select("a", "b").unionAll(members.select("a", "b")), "a", "b"), "pairs")
+    chosen = classes.groupBy("grp").agg(F.min(F.struct("cls", "n", "bitmap")).alias("c"))
+    one = lambda g, c: chosen.select(F.col("grp").alias(g), F.col("c.cls").alias(c), F.col("c.n").alias(f"n{c}"), F.col("c.bitmap").alias(f"m{c}"))
+    expanded = stars.join(one("ga", "a"), "ga").join(one("gb", "b"), "gb").select("a", "b", "na", "nb", "ma", "mb")
+    own = classes.select("grp", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("bitmap").alias("mb"))
+    members = own.join(one("grp", "a"), "grp").where("a != b").select("a", "b", "na", "nb", "ma", "mb")
+    passed = expanded.unionAll(members).mapInArrow(_bounded(percent), "a binary, b binary")
+    tried = scratch.keep(_pairs(passed, "a", "b"), "pairs")
     links = verify_pairs(scratch, docs, classes, tried, k, percent)
     roots = scratch.keep(connected_components(scratch, links), "components")
 
-    placed = classes.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").select(
-        "cls", "grp", "n", F.coalesce("root", "cls").alias("root")
-    )
-    shared = lists.select("l1", "l2", "grps").mapInArrow(_entries, "l1 long, l2 long, grp long")
-    inside = classes.groupBy("grp").count().where("count > 1").select(F.col("grp").alias("l1"), F.lit(-2).cast("long").alias("l2"), "grp")
-    entries = scratch.keep(shared.unionAll(inside).join(placed, "grp").select("l1", "l2", "cls", "n", "root"), "entries")
-    mixed = entries.groupBy("l1", "l2").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("l1", "l2")
-    apart = scratch.keep(entries.join(mixed, ["l1", "l2"], "left_semi"), "apart")
-    x, y = apart.alias("x"), apart.alias("y")
-    fits = (F.col("x.n") * 100 >= F.col("y.n") * percent) & (F.col("y.n") * 100 >= F.col("x.n") * percent)
-    cross = x.join(y, (F.col("x.l1") == F.col("y.l1")) & (F.col("x.l2") == F.col("y.l2")) & (F.col("x.root") < F.col("y.root")) & fits)
-    more = _pairs(cross.select(F.col("x.cls").alias("p"), F.col("y.cls").alias("q")), "p", "q")
-    more = scratch.keep(more.join(tried, ["a", "b"], "left_anti"), "pairs")
-    if not more.isEmpty():
-        late = verify_pairs(scratch, docs, classes, more, k, percent)
-        if not late.isEmpty():
-            roots = scratch.keep(connected_components(scratch, links.unionAll(late)), "components")
+    shared = lists.select("l1", "l2", "salt", "grps").mapInArrow(_entries, "l1 long, l2 long, salt int, grp long")
+    inside = classes.groupBy("grp").count().where("count > 1")
+    inside = inside.select(F.col("grp").alias("l1"), F.lit(-2).cast("long").alias("l2"), F.lit(-1).alias("salt"), "grp")
+    entries = shared.unionAll(inside)
+    most, narrowed = NEAREST, False
+    while True:
+        placed = classes.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").select(
+            "cls", "grp", F.coalesce("root", "cls").alias("root")
+        )
+        here = scratch.keep(entries.join(placed.groupBy("grp").agg(F.min("root").alias("lo"), F.max("root").alias("hi")), "grp"), "entries")
+        mixed = here.groupBy("l1", "l2").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo != hi").select("l1", "l2")
+        # Lists of one component stay so; they are left out from here on.
+        apart = scratch.keep(here.select("l1", "l2", "salt", "grp").join(mixed, ["l1", "l2"], "left_semi"), "apart")
+        scratch.drop(here)
+        if narrowed:
+            scratch.drop(entries)
+        entries, narrowed = apart, True
+        full = apart.join(placed, "grp").join(classes.select("cls", "n", "bitmap"), "cls")
+        parts = full.select("l1", "l2", "salt", "cls", "root", "bitmap", "n").groupBy("l1", "l2", "salt").applyInArrow(_pack_part, PART_SCHEMA)
+        parts = scratch.keep(parts, "parts")
+        alone = parts.select("members", F.col("members").alias("other"), F.lit(True).alias("same"))
+        x, y = parts.where("l2 = -1").alias("x"), parts.where("l2 = -1").alias("y")
+        crossed = x.join(y, (F.col("x.l1") == F.col("y.l1")) & (F.col("x.salt") < F.col("y.salt"))).select("x.members", F.col("y.members").alias("other"), F.lit(False))
+        found = scratch.keep(alone.unionAll(crossed).mapInArrow(_closest(percent, most), "a binary, b binary, cut boolean"), "closest")
+        scratch.drop(parts)
+        new = scratch.keep(found.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+        if new.isEmpty():
+            if found.where("cut").isEmpty():
+                break
+        else:
+            late = verify_pairs(scratch, docs, classes, new, k, percent)
+            tried = tried.unionAll(new)
+            if not late.isEmpty():
+                links = links.unionAll(late)
+                roots = scratch.keep(connected_components(scratch, links), "components")
+            elif found.where("cut").isEmpty():
+                break
+        most *= 4
 
     named = classes.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
