@@ -27,6 +27,7 @@ ORDER = 4
 DOCS_PER_LANG = 800
 MAX_LANGS = 200
 MEMO_BITS = 18
+SLICE = 1 << 19
 #: A text is rejected when its cross-entropy exceeds this many times the largest one held back,
 #: and the median of held-back texts whose letters were shuffled.
 REJECT_FACTOR = 1.5
@@ -182,22 +183,28 @@ class Identifier:
 
     def cross_entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(texts x languages) bits per position, and whether a text has a letter."""
-        points, starts = letters(texts)
-        has = np.add.reduceat(np.concatenate((points != _SPACE, [0])).astype(np.int64), starts[:-1]) > 0 if len(texts) else np.zeros(0, bool)
-        total, count = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts))
-        step = 1 << 20  # positions at a time
+        totals, letter = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts), bool)
         lo = 0
-        while lo < len(texts):
-            hi = max(lo + 1, int(np.searchsorted(starts, starts[lo] + step)) - 1)
-            columns, doc = _windows(points[starts[lo] : starts[hi]], starts[lo : hi + 1] - starts[lo])
-            for at in range(0, len(doc), step):
-                part = slice(at, at + step)
-                bits = self._bits([c[part] for c in columns])
-                for k in range(len(self.langs)):
-                    total[lo:hi, k] += np.bincount(doc[part], weights=bits[:, k], minlength=hi - lo)
-                count[lo:hi] += np.bincount(doc[part], minlength=hi - lo)
+        while lo < len(texts):  # slices of about a million characters, or one longer text
+            hi, size = lo + 1, len(texts[lo] or "")
+            while hi < len(texts) and size + len(texts[hi] or "") < SLICE:
+                size += len(texts[hi] or "")
+                hi += 1
+            totals[lo:hi], letter[lo:hi] = self._slice(texts[lo:hi])
             lo = hi
-        return total / np.maximum(count, 1)[:, None], has
+        return totals, letter
+
+    def _slice(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        points, starts = letters(texts)
+        has = np.add.reduceat(points != _SPACE, starts[:-1], dtype=np.int64) > 0
+        columns, doc = _windows(points, starts)
+        total = np.zeros((len(texts), len(self.langs)))
+        for at in range(0, len(doc), SLICE):
+            part = slice(at, at + SLICE)
+            bits = self._bits([c[part] for c in columns])
+            for k in range(len(self.langs)):
+                total[:, k] += np.bincount(doc[part], weights=bits[:, k], minlength=len(texts))
+        return total / np.maximum(np.bincount(doc, minlength=len(texts)), 1)[:, None], has
 
     def predict(self, texts: list[str | None]) -> pd.DataFrame:
         if not self.langs:
