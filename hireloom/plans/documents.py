@@ -73,7 +73,7 @@ def normalize_key(v):
 
 @query("normalize_key_unicode")
 def normalize_key_unicode(v):
-    return _docs(v).select("doc_id", text.normalize_key_unicode(F.substring("text", 1, 400)).alias("key"))
+    return _docs(v).select("doc_id", text.normalize_key_unicode("text").alias("key")).select("doc_id", F.length("key").alias("chars"), F.sha2("key", 256).alias("digest"))
 
 
 @query("tokenize_counts", f"SELECT token, count(*) AS n FROM (SELECT unnest({TOKENS.format('text')}) AS token FROM documents) GROUP BY 1 ORDER BY n DESC, token LIMIT 200")
@@ -116,10 +116,10 @@ def text_quality(v):
     return _docs(v).select("doc_id", text.quality_score(F.col("text")).alias("quality"), text.page_estimate(words).alias("pages"))
 
 
-@query("keyword_score", f"""WITH q AS (SELECT item_id, list_distinct({TOKENS.format('text')}) AS t FROM (SELECT * FROM benchmark ORDER BY item_id LIMIT 3)), d AS (SELECT doc_id, {TOKENS.format('text')} AS t FROM documents)
+@query("keyword_score", f"""WITH q AS (SELECT item_id, list_distinct({TOKENS.format('text')}) AS t FROM benchmark), d AS (SELECT doc_id, {TOKENS.format('text')} AS t FROM documents)
     SELECT item_id, doc_id, round(len(list_filter(q.t, lambda x: list_contains(d.t, x))) / len(q.t), 4) AS score FROM q, d WHERE len(list_filter(q.t, lambda x: list_contains(d.t, x))) > 0""")
 def keyword_score(v):
-    asked = v.table("benchmark").orderBy("item_id").limit(3).select("item_id", F.array_distinct(text.tokenize(F.col("text"))).alias("q"))
+    asked = v.table("benchmark").select("item_id", F.array_distinct(text.tokenize(F.col("text"))).alias("q"))
     # Only documents that share a token are scored: an inverted-index join, not all pairs.
     terms = asked.select("item_id", "q")
     hits = _docs(v).select("doc_id", F.explode(F.array_distinct(text.tokenize(F.col("text")))).alias("t"))

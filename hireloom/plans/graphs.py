@@ -71,11 +71,12 @@ def neighbours(v):
     return graph.neighbours(v.edges, first_skill_key(v))
 
 
-def _seeds(v, sql="key in ('Candidate:1', 'Candidate:2', 'Candidate:3', 'Candidate:4')"):
-    return v.nodes.where(sql).select(F.col("key").alias("seed"), "key")
+def _seeds(v, label):
+    """Every node of a label, as its own seed."""
+    return v.nodes.where(F.col("label") == label).select(F.col("key").alias("seed"), "key")
 
 
-WALK = """l0 AS (SELECT key AS seed, key AS node, 1.0::DOUBLE AS weight, 0 AS depth FROM gnodes WHERE key IN ('Candidate:1', 'Candidate:2', 'Candidate:3', 'Candidate:4')),
+WALK = """l0 AS (SELECT key AS seed, key AS node, 1.0::DOUBLE AS weight, 0 AS depth FROM gnodes WHERE label = 'Candidate'),
     l1 AS (SELECT seed, dst AS node, max(round(l0.weight * e.weight, 4)) AS weight, 1 AS depth FROM l0 JOIN gedges e ON e.src = node
       WHERE NOT EXISTS (SELECT 1 FROM l0 p WHERE p.seed = l0.seed AND p.node = e.dst) GROUP BY 1, 2),
     s1 AS (SELECT * FROM l0 UNION ALL SELECT * FROM l1),
@@ -86,12 +87,12 @@ WALK = """l0 AS (SELECT key AS seed, key AS node, 1.0::DOUBLE AS weight, 0 AS de
 
 @query("traverse_depth2", f"WITH {WALK} SELECT * FROM s2")
 def traverse_depth2(v):
-    return graph.traverse(v.edges, _seeds(v), 2)
+    return graph.traverse(v.edges, _seeds(v, "Candidate"), 2)
 
 
 @query("subgraph", f"WITH {WALK} SELECT e.* FROM gedges e WHERE src IN (SELECT node FROM s2) AND dst IN (SELECT node FROM s2)")
 def subgraph(v):
-    return graph.subgraph(v.edges, _seeds(v), 2)
+    return graph.subgraph(v.edges, _seeds(v, "Candidate"), 2)
 
 
 @query("candidates_by_skills", f"""SELECT src, array_to_string(list_sort(list(DISTINCT dst)), ';') AS skills FROM gedges
@@ -102,12 +103,12 @@ def candidates_by_skills(v):
 
 
 @query("similar_candidates", """WITH held AS (SELECT DISTINCT candidate_id, skill_id FROM candidate_skill WHERE skill_id IS NOT NULL),
-    pairs AS (SELECT a.candidate_id, b.candidate_id AS other_id, count(*) AS shared FROM held a JOIN held b USING (skill_id) WHERE a.candidate_id <= 20 AND a.candidate_id <> b.candidate_id GROUP BY 1, 2),
+    pairs AS (SELECT a.candidate_id, b.candidate_id AS other_id, count(*) AS shared FROM held a JOIN held b USING (skill_id) WHERE a.candidate_id % 100 = 0 AND a.candidate_id <> b.candidate_id GROUP BY 1, 2),
     best AS (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY shared DESC, other_id) AS place FROM pairs QUALIFY place <= 5)
     SELECT candidate_id, other_id, shared, round(least(1, shared / (SELECT count(*) FROM held h WHERE h.candidate_id = best.candidate_id)) * 100, 1) AS percent, place FROM best
     WHERE other_id IN (SELECT candidate_id FROM alive)""")
 def similar_candidates(v):
-    return graph.similar_candidates(v.candidate_skill, v.alive, v.candidate.where("candidate_id <= 20").select("candidate_id"), 5)
+    return graph.similar_candidates(v.candidate_skill, v.alive, v.candidate.where("candidate_id % 100 = 0").select("candidate_id"), 5)
 
 
 @query("degree_centrality", """SELECT key, coalesce(d, 0) AS degree, round(coalesce(d, 0) / ((SELECT count(*) FROM gnodes) - 1), 6) AS centrality FROM gnodes
@@ -119,11 +120,11 @@ def degree_centrality(v):
 BOTH = "b AS (SELECT src, dst FROM gedges UNION SELECT dst, src FROM gedges)"
 
 
-@query("shortest_path_len", f"""WITH RECURSIVE {BOTH}, walk(node, distance) AS (
-      SELECT key, 0 FROM gnodes WHERE key = 'Candidate:1' UNION SELECT b.dst, distance + 1 FROM walk JOIN b ON b.src = node WHERE distance < 2)
-    SELECT 'Candidate:1' AS seed, node, min(distance) AS distance FROM walk GROUP BY 2""")
+@query("shortest_path_len", f"""WITH RECURSIVE {BOTH}, walk(seed, node, distance) AS (
+      SELECT key, key, 0 FROM gnodes WHERE label = 'Category' UNION SELECT seed, b.dst, distance + 1 FROM walk JOIN b ON b.src = node WHERE distance < 2)
+    SELECT seed, node, min(distance) AS distance FROM walk GROUP BY 1, 2""")
 def shortest_path_len(v):
-    return graph.shortest_paths(v.edges, _seeds(v, "key = 'Candidate:1'"), 2)
+    return graph.shortest_paths(v.edges, _seeds(v, "Category"), 2)
 
 
 @query("skills_graph", """
@@ -141,17 +142,17 @@ def skills_graph(v):
 
 @query("graph_context", """
     SELECT src AS candidate, relation, array_to_string(list_sort(list(DISTINCT dst))[1:20], ';') AS items FROM gedges
-    WHERE src IN (SELECT 'Candidate:' || candidate_id FROM alive WHERE candidate_id <= 30) GROUP BY 1, 2""")
+    WHERE starts_with(src, 'Candidate:') GROUP BY 1, 2""")
 def graph_context(v):
-    people = v.alive.where("candidate_id <= 30").select(graph.node_key("Candidate", F.col("candidate_id").cast("string")).alias("src"))
-    near = v.edges.join(F.broadcast(people), "src", "left_semi")
+    near = v.edges.where(F.col("src").startswith("Candidate:"))
     return near.groupBy(F.col("src").alias("candidate"), "relation").agg(F.array_join(F.slice(F.array_sort(F.collect_set("dst")), 1, 20), ";").alias("items"))
 
 
-@query("graph_incremental", "SELECT relation, count(*) AS n, round(sum(weight), 3) AS weight FROM gedges WHERE src IN ('Candidate:1', 'Candidate:3', 'Candidate:5') GROUP BY 1")
+@query("graph_incremental", "SELECT relation, count(*) AS n, round(sum(weight), 3) AS weight FROM gedges WHERE src IN (SELECT 'Candidate:' || candidate_id FROM alive WHERE updated_at >= TIMESTAMP '2001-01-01') GROUP BY 1")
 def graph_incremental(v):
     """Rebuild of chosen candidates: their old out-edges go, the new ones come."""
-    keys = ["Candidate:1", "Candidate:3", "Candidate:5"]
-    fresh = v.edges.where(F.col("src").isin(keys))
-    merged = v.edges.where(~F.col("src").isin(keys)).unionByName(fresh)
-    return merged.where(F.col("src").isin(keys)).groupBy("relation").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 3).alias("weight"))
+    recent = v.alive.where(F.col("updated_at") >= F.lit("2001-01-01").cast("timestamp"))
+    own = recent.select(graph.node_key("Candidate", F.col("candidate_id").cast("string")).alias("src"))
+    fresh = v.edges.join(own, "src", "left_semi")
+    merged = v.edges.join(own, "src", "left_anti").unionByName(fresh)
+    return merged.join(own, "src", "left_semi").groupBy("relation").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 3).alias("weight"))
