@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from pyspark.sql import types as T
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Rows of the largest bucket list that may be broadcast (see `split_by_key`).
-BUCKETS = 1 << 18
+BUCKETS = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,6 +30,18 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1_000):
+    """Arrow batches of at most so many rows for what runs inside: rows that carry whole texts are large."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage.
 
@@ -72,7 +85,7 @@ def split_by_key(df: DataFrame, keys: DataFrame, key: list[str]) -> tuple[DataFr
     """Split `df` into rows whose key may occur in `keys` and rows whose key can't.
 
     Keys are hashed to `BUCKETS` buckets and the distinct buckets are
-    broadcast: at most 262,144 integers whatever the data, so the rows that
+    broadcast: at most 1,048,576 integers whatever the data, so the rows that
     can't match never move. As the key list grows the first part nears the
     whole table, which costs a shuffle and loses nothing.
     """

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from ._shared import Scratch
 
 EDGE = "a binary, b binary"
+#: Edges that one task may hold to join them to stars.
+CHUNK = 1_000_000
 
 
 def _forest(batches):
@@ -34,12 +36,18 @@ def _forest(batches):
 def connected_components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """(node, root) of every node of (a, b) edges; the root is the smallest node of its component.
 
-    Alternating large and small stars: every round hangs nodes on the smallest
+    Tasks first join chunks of at most `CHUNK` edges to stars. Where that leaves
+    several chunks, large and small stars alternate: every round hangs nodes on the smallest
     neighbour seen, in joins and sums that are pre-aggregated by node. Rounds
     grow with the logarithm of the longest path.
     """
-    stars = scratch.keep(edges.where("a != b").mapInArrow(_forest, EDGE).distinct(), "edges")
+    own = edges.where("a != b")
+    chunks = own.count() // CHUNK + 1
+    stars = scratch.keep(own.coalesce(chunks).mapInArrow(_forest, EDGE), "edges")
     before = None
+    if chunks == 1:
+        return _named(stars)
+    stars = stars.distinct()
     while True:
         print_ = stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if print_ == before:
@@ -51,8 +59,11 @@ def connected_components(scratch: Scratch, edges: DataFrame) -> DataFrame:
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         new = scratch.keep(small.unionAll(down.select("a", F.col("m").alias("b"))).distinct(), "edges")
-        scratch.drop(stars)
         stars = new
+    return _named(stars)
+
+
+def _named(stars: DataFrame) -> DataFrame:
     return stars.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(
         stars.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     )

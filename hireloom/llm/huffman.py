@@ -115,17 +115,13 @@ def read_bits(raw: bytes, checkpoints: np.ndarray, n: int, table: np.ndarray, ma
 
 
 def _encode_ids(path: str, end_id: int):
-    end = np.array([end_id], dtype="<u4").tobytes()
-
     def run(batches):
         enc = encoder(path)
-        small = max(enc.size, end_id + 1) <= 1 << 16
+        end = np.array([end_id], dtype=enc.dtype).tobytes()
         for batch in batches:
             ids = [enc.encode(t.as_py()) + end for t in batch.column(1)]
-            packed = [np.frombuffer(i, "<u4").astype("<u2").tobytes() for i in ids] if small else ids
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(packed, pa.binary())], names=["doc_id", "n", "ids"]
-            )
+            counts = pa.array([len(i) // enc.dtype.itemsize for i in ids], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), counts, pa.array(ids, pa.binary())], names=["doc_id", "n", "ids"])
 
     return run
 

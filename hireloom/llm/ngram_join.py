@@ -25,19 +25,24 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import Scratch, split_by_key
+from ._shared import Scratch, small_batches, split_by_key
 from .components import connected_components
 
 ORDER_BITS = 21
 BLOCK_BITS = 16
 #: A shingle that more than this many documents share (above what its cell holds by chance) is split.
 HOT = 20_000
-BUCKET_SHINGLES = 2_000_000
+BUCKET_SHINGLES = 1_000_000
 SLICE = 1 << 20
 BITMAP_BITS = 1024
+#: Sets of `LONG` shingles or more have `EXTRA` more in their prefixes, and must share as many more.
+EXTRA, LONG = 3, 8
+#: Lists up to this long are done by the first round: it names all their pairs.
+SHORT = 3
 #: Closest members that a list names per member in the first of the later rounds.
 NEAREST = 4
 
@@ -172,7 +177,8 @@ def may_link(n_a, n_b, differing, percent: int):
 
 
 def prefix_size(n: int, percent: int) -> int:
-    return n - (percent * n + 99) // 100 + 1 if n else 0
+    """The first shingles of two sets of which the similar share one; `EXTRA` more of each, and they share so many more."""
+    return min(n, n - (percent * n + 99) // 100 + 1 + (EXTRA if n >= LONG else 0)) if n else 0
 
 
 def _describe(k: int, percent: int, cells):
@@ -247,7 +253,7 @@ def _scatter(buckets: int, cells, noise: float):
                 tok = np.frombuffer(prefix, np.uint64)
                 held.append((tok, g, n))
                 rows += len(tok)
-            if rows >= 4_000_000:
+            if rows >= 1_000_000:
                 yield from out()
                 held, rows = [], 0
         if rows:
@@ -256,11 +262,17 @@ def _scatter(buckets: int, cells, noise: float):
     return run
 
 
-LIST_SCHEMA = "l1 long, l2 long, salt int, grps binary, ns binary"
+LIST_SCHEMA = "l1 long, l2 long, salt int, weight int, need int, grps binary, ns binary"
+#: Marks rows of `_lists` that are pairs (l1, l2) and not lists.
+PAIR = -2
 
 
-def _lists(table: pa.Table) -> pa.Table:
-    """Lists of two or more groups that share a prefix shingle; equal lists come once.
+def _lists(percent: int):
+    return lambda table: _bucket_lists(table, percent)
+
+
+def _bucket_lists(table: pa.Table, percent: int) -> pa.Table:
+    """Lists of the groups that share a prefix shingle; short ones as their pairs, equal ones once.
 
     A split shingle gives a list per part, under its own name, even of one group.
     """
@@ -283,8 +295,22 @@ def _lists(table: pa.Table) -> pa.Table:
     split = salt[start] >= 0
     l1 = np.where(split, tok[start].view(np.int64), sums[0].view(np.int64))
     l2 = np.where(split, -1, sums[1].view(np.int64) & np.int64(0x7FFFFFFFFFFFFFFF))
-    keep = np.flatnonzero((size > 1) | split)
-    _, first = np.unique(np.stack([l1[keep], l2[keep], salt[start][keep].astype(np.int64)], 1), axis=0, return_index=True)
+    # Pairs of short lists, with the shingles that they share here.
+    left, right = [], []
+    for m in range(2, SHORT + 1):
+        first = start[(size == m) & ~split]
+        for i in range(m):
+            for j in range(i):
+                left.append(first + j)
+                right.append(first + i)
+    left, right = np.concatenate(left), np.concatenate(right)
+    fits = (n[left].astype(np.int64) * 100 >= n[right].astype(np.int64) * percent) & (n[right].astype(np.int64) * 100 >= n[left].astype(np.int64) * percent)
+    left, right = left[fits], right[fits]
+    both = np.stack([np.minimum(grp[left], grp[right]), np.maximum(grp[left], grp[right]), np.where((n[left] >= LONG) & (n[right] >= LONG), 1 + EXTRA, 1)], 1)
+    both, shared = np.unique(both, axis=0, return_counts=True)
+    # Longer lists, each once, with the shingles that have it.
+    keep = np.flatnonzero((size > SHORT) | split)
+    _, first, same = np.unique(np.stack([l1[keep], l2[keep], salt[start][keep].astype(np.int64)], 1), axis=0, return_index=True, return_counts=True)
     keep = keep[first]
     # In a list first come the groups that share most with others here.
     names, place = np.unique(grp, return_inverse=True)
@@ -292,11 +318,15 @@ def _lists(table: pa.Table) -> pa.Table:
     order = np.lexsort((grp, n, -shares, np.repeat(np.arange(len(size)), size)))
     grp, n = grp[order], n[order]
     spans = [(int(start[i]), int(start[i] + size[i])) for i in keep]
+    none = [None] * len(both)
+    cat = lambda a, b: pa.array(np.concatenate([a, b]))
     return pa.table(
         {
-            "l1": pa.array(l1[keep]), "l2": pa.array(l2[keep]), "salt": pa.array(salt[start][keep]),
-            "grps": pa.array([grp[a:b].tobytes() for a, b in spans], pa.binary()),
-            "ns": pa.array([n[a:b].tobytes() for a, b in spans], pa.binary()),
+            "l1": cat(both[:, 0], l1[keep]), "l2": cat(both[:, 1], l2[keep]),
+            "salt": cat(np.full(len(both), PAIR, np.int32), salt[start][keep]),
+            "weight": cat(shared.astype(np.int32), same.astype(np.int32)), "need": cat(both[:, 2].astype(np.int32), np.ones(len(keep), np.int32)),
+            "grps": pa.array(none + [grp[a:b].tobytes() for a, b in spans], pa.binary()),
+            "ns": pa.array(none + [n[a:b].tobytes() for a, b in spans], pa.binary()),
         }
     )
 
@@ -310,11 +340,9 @@ def _star_pairs(percent: int):
             for grps, ns in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 g, n = np.frombuffer(grps, np.int64), np.frombuffer(ns, np.int32).astype(np.int64)
                 named = np.zeros(len(g), np.int64)
-                # Nearly always the first few have partners for all; the rest is for lists of mixed sizes.
-                for centre in range(len(g) - 1):
+                # Nearly always the first few have partners for all; the rest is left to the later rounds.
+                for centre in range(min(8, len(g) - 1)):
                     open_ = np.flatnonzero(named[centre + 1 :] < 2) + centre + 1
-                    if not len(open_) or centre >= 8:
-                        break
                     fits = open_[(n[open_] * 100 >= n[centre] * percent) & (n[centre] * 100 >= n[open_] * percent)]
                     named[fits] += 1
                     left.append(np.full(len(fits), g[centre]))
@@ -327,38 +355,39 @@ def _star_pairs(percent: int):
     return run
 
 
-PART_SCHEMA = "l1 long, l2 long, salt int, members binary"
+MEMBER = np.dtype([("cls", "V16"), ("root", "<u8", 2), ("bits", "<u8", BITMAP_BITS // 64)])
 
 
-def _pack_part(table: pa.Table) -> pa.Table:
-    """Members of one list (or of one part of a split list): class, root, bitmap and size, packed."""
-    order = np.argsort(table.column("n").to_numpy(), kind="stable")
-    raw = b"".join(
-        c + r + b + int(n).to_bytes(8, "little")
-        for c, r, b, n in zip(*(table.column(x).take(pa.array(order)).to_pylist() for x in ("cls", "root", "bitmap", "n")))
-    )
-    return pa.table({k: table.column(k).slice(0, 1) for k in ("l1", "l2", "salt")} | {"members": pa.array([raw], pa.binary())})
+class Members:
+    """A list's members by size: class, root, bitmap."""
+
+    def __init__(self, n: np.ndarray, raw: np.ndarray):
+        self.n, self.cls, self.root, self.bits = n, raw["cls"], raw["root"], raw["bits"]
 
 
-MEMBER = np.dtype([("cls", "V16"), ("root", "<u8", 2), ("bits", "<u8", BITMAP_BITS // 64), ("n", "<i8")])
+def _members(column: pa.Array) -> list[Members]:
+    structs = column.flatten()
+    n = structs.field("n").to_numpy(zero_copy_only=False)
+    raw = np.frombuffer(b"".join(structs.field("m").to_pylist()), MEMBER)
+    ends = np.cumsum(pa.compute.list_value_length(column).to_numpy(zero_copy_only=False))
+    return [Members(n[a:b], raw[a:b]) for a, b in zip(np.append(0, ends[:-1]).astype(int), ends.astype(int))] if len(column) else []
 
 
 def _closest(percent: int, most: int):
     """Per member the `most` closest members of other components that could link; `cut` if there were more."""
 
-    def pairs(x: np.ndarray, y: np.ndarray, same: bool, out: list) -> None:
-        for lo in range(0, len(x), 128):
-            part = x[lo : lo + 128]
-            # y is sorted by size: only a stretch of it fits.
-            a = np.searchsorted(y["n"], -(-part["n"].min() * percent // 100))
-            b = np.searchsorted(y["n"], part["n"].max() * 100 // percent, side="right")
-            other = y[a:b]
-            apart = (part["root"][:, None] != other["root"][None]).any(axis=2)
-            if not apart.any():
-                continue
+    def pairs(x: Members, y: Members, out: list) -> None:
+        for lo in range(0, len(x.n), 128):
+            part = slice(lo, lo + 128)
+            # Members are sorted by size: only a stretch of y fits.
+            a = np.searchsorted(y.n, -(-x.n[part].min() * percent // 100))
+            b = np.searchsorted(y.n, x.n[part].max() * 100 // percent, side="right")
+            apart = (x.root[part][:, None] != y.root[a:b][None]).any(axis=2)
             rows = np.flatnonzero(apart.any(axis=1))
-            differ = np.bitwise_count(part["bits"][rows][:, None] ^ other["bits"][None]).sum(axis=2, dtype=np.int64)
-            n_a, n_b = part["n"][rows][:, None], other["n"][None]
+            if not len(rows):
+                continue
+            differ = np.bitwise_count(x.bits[part][rows][:, None] ^ y.bits[a:b][None]).sum(axis=2, dtype=np.int64)
+            n_a, n_b = x.n[part][rows][:, None], y.n[a:b][None]
             fits = (n_a * 100 >= n_b * percent) & (n_b * 100 >= n_a * percent)
             ok = apart[rows] & fits & may_link(n_a, n_b, differ, percent)
             rank = np.where(ok, differ * 1000 // (n_a + n_b), 1 << 40)
@@ -367,19 +396,20 @@ def _closest(percent: int, most: int):
                 cut = len(found) > most
                 if cut:
                     found = found[np.argpartition(rank[i][found], most)[:most]]
-                me = part["cls"][rows[i]].tobytes()
+                me = x.cls[lo + rows[i]].tobytes()
                 for j in found:
-                    them = other["cls"][j].tobytes()
+                    them = y.cls[a + j].tobytes()
                     out.append((min(me, them), max(me, them), cut))
 
     def run(batches):
         for batch in batches:
             out: list[tuple] = []
-            for left, right, same in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                x, y = np.frombuffer(left, MEMBER), np.frombuffer(right, MEMBER)
-                pairs(x, y, same, out)
-                if not same:
-                    pairs(y, x, same, out)
+            for x, y in zip(_members(batch.column(0)), _members(batch.column(1))):
+                if len(y.n):
+                    pairs(x, y, out)
+                    pairs(y, x, out)
+                else:
+                    pairs(x, x, out)
             out = list(dict.fromkeys(out))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.binary()), pa.array([o[2] for o in out], pa.bool_())],
@@ -401,7 +431,7 @@ def _entries(batches):
 
 
 def _bounded(percent: int):
-    """Pairs that fit in size and whose bitmaps don't rule them out."""
+    """Pairs that fit in size and whose bitmaps don't rule them out, and how far those are apart (per mille)."""
 
     def run(batches):
         for batch in batches:
@@ -410,7 +440,8 @@ def _bounded(percent: int):
             differ = np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1, dtype=np.int64)
             fits = (n_a * 100 >= n_b * percent) & (n_b * 100 >= n_a * percent)
             at = pa.array(np.flatnonzero(fits & may_link(n_a, n_b, differ, percent)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], names=["a", "b"])
+            apart = pa.array((differ * 1000 // np.maximum(n_a + n_b, 1)).astype(np.int64)).take(at)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), apart], names=["a", "b", "apart"])
 
     return run
 
@@ -436,15 +467,15 @@ def _verify(k: int, percent: int):
 def verify_pairs(scratch: Scratch, docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """The (a, b) of class pairs whose sets are similar enough, by their texts."""
     need = pairs.select(F.col("a").alias("cls")).unionAll(pairs.select(F.col("b").alias("cls"))).distinct()
-    keys = scratch.keep(need.join(classes, "cls").select("cls", "row_key"), "needed")
+    keys = need.join(classes, "cls").select("cls", "row_key")
     rows = docs.select("text", F.xxhash64("doc_id", "text").alias("row_key"))
     maybe, _ = split_by_key(rows, keys, ["row_key"])
-    # Rows that repeat have one key; a class keeps one of its texts.
-    texts = scratch.keep(maybe.join(keys, "row_key").groupBy("cls").agg(F.min("text").alias("text")), "texts")
+    # Rows that repeat have one key and one text; the join has dealt them by it already.
+    texts = scratch.keep(maybe.join(keys, "row_key").groupBy("row_key", "cls").agg(F.min("text").alias("text")).select("cls", "text"), "texts")
     left = pairs.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("ta")), "a")
     both = left.join(texts.select(F.col("cls").alias("b"), F.col("text").alias("tb")), "b")
     links = scratch.keep(both.select("a", "b", "ta", "tb").mapInArrow(_verify(k, percent), "a binary, b binary"), "links")
-    scratch.drop(texts, keys)
+    scratch.drop(texts)
     return links
 
 
@@ -465,6 +496,11 @@ def near_duplicates(
     Rows that repeat have equal sets and so one component. An empty table
     gives an empty result; other columns are not read.
     """
+    with small_batches(spark):
+        return _near_duplicates(spark, docs, k, percent, order_bits)
+
+
+def _near_duplicates(spark: SparkSession, docs: DataFrame, k: int, percent: int, order_bits: int) -> DataFrame:
     scratch = Scratch(spark, "ngram-join")
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
     counts = shingle_frequencies(docs, k, order_bits)
@@ -487,14 +523,17 @@ def near_duplicates(
     packed = some.select(F.col("n").cast("int"), "grp", "prefix").mapInArrow(
         _scatter(buckets, cells, noise), "bucket int, tok binary, grp binary, n binary, count binary, salt binary"
     )
-    lists = packed.groupBy("bucket").applyInArrow(_lists, LIST_SCHEMA)
-    lists = lists.groupBy("l1", "l2", "salt").agg(F.first("grps").alias("grps"), F.first("ns").alias("ns"))
+    found = scratch.keep(packed.groupBy("bucket").applyInArrow(_lists(percent), LIST_SCHEMA), "found")
+    lists = found.where(F.col("salt") != PAIR).groupBy("l1", "l2", "salt").agg(F.first("grps").alias("grps"), F.first("ns").alias("ns"))
     lists = scratch.keep(lists, "lists")
+    # A pair of short lists that shares too little is done: if it shares more in longer lists, the later rounds meet it there.
+    enough = found.where(F.col("salt") == PAIR).groupBy(F.col("l1").alias("ga"), F.col("l2").alias("gb")).agg(F.sum("weight").alias("w"), F.max("need").alias("need"))
+    enough = enough.where("w >= need").select("ga", "gb")
     # The parts of a split shingle are tied together by the first group of each.
     heads = (
         lists.where("l2 = -1").select("l1", "l2", "salt", "grps", "ns").mapInArrow(_heads, "l1 long, grp long, n int").groupBy("l1").applyInArrow(_head_list, "grps binary, ns binary")
     )
-    stars = lists.select("grps", "ns").unionAll(heads).mapInArrow(_star_pairs(percent), "ga long, gb long").distinct()
+    stars = lists.select("grps", "ns").unionAll(heads).mapInArrow(_star_pairs(percent), "ga long, gb long").unionAll(enough).distinct()
 
     # A group stands for its smallest class; further classes of a group are tied to that one.
     chosen = classes.groupBy("grp").agg(F.min(F.struct("cls", "n", "bitmap")).alias("c"))
@@ -502,36 +541,50 @@ def near_duplicates(
     expanded = stars.join(one("ga", "a"), "ga").join(one("gb", "b"), "gb").select("a", "b", "na", "nb", "ma", "mb")
     own = classes.select("grp", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("bitmap").alias("mb"))
     members = own.join(one("grp", "a"), "grp").where("a != b").select("a", "b", "na", "nb", "ma", "mb")
-    passed = expanded.unionAll(members).mapInArrow(_bounded(percent), "a binary, b binary")
-    tried = scratch.keep(_pairs(passed, "a", "b"), "pairs")
+    passed = expanded.unionAll(members).mapInArrow(_bounded(percent), "a binary, b binary, apart long")
+    passed = passed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "apart").where("a != b").distinct()
+    passed = scratch.keep(passed, "pairs")
+    # Most pairs of a group of near copies need no look at the texts: first each class tries its closest partner.
+    ends = passed.select(F.col("a").alias("cls"), "a", "b", "apart").unionAll(passed.select(F.col("b").alias("cls"), "a", "b", "apart"))
+    closest = ends.groupBy("cls").agg(F.min(F.struct("apart", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
+    tried = scratch.keep(closest, "pairs")
     links = verify_pairs(scratch, docs, classes, tried, k, percent)
     roots = scratch.keep(connected_components(scratch, links), "components")
+    named = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    open_ = passed.select("a", "b").join(tried, ["a", "b"], "left_anti").join(named("a"), "a", "left").join(named("b"), "b", "left")
+    open_ = scratch.keep(open_.where("root_a is null or root_b is null or root_a != root_b").select("a", "b"), "pairs")
+    if not open_.isEmpty():
+        tried = tried.unionAll(open_)
+        links = links.unionAll(verify_pairs(scratch, docs, classes, open_, k, percent))
+        roots = scratch.keep(connected_components(scratch, links), "components")
 
     shared = lists.select("l1", "l2", "salt", "grps").mapInArrow(_entries, "l1 long, l2 long, salt int, grp long")
     inside = classes.groupBy("grp").count().where("count > 1")
     inside = inside.select(F.col("grp").alias("l1"), F.lit(-2).cast("long").alias("l2"), F.lit(-1).alias("salt"), "grp")
-    entries = shared.unionAll(inside)
+    # So do pairs of short lists in which a group has several classes: the first round tried one of each.
+    several = inside.select("grp")
+    wide = enough.join(several, F.col("ga") == F.col("grp"), "left_semi").unionAll(enough.join(several, F.col("gb") == F.col("grp"), "left_semi"))
+    wide = wide.distinct().select(F.xxhash64("ga", "gb").alias("l1"), F.lit(-3).cast("long").alias("l2"), F.lit(-1).alias("salt"), F.explode(F.array("ga", "gb")).alias("grp"))
+    entries = shared.unionAll(inside).unionAll(wide)
     most, narrowed = NEAREST, False
     while True:
         placed = classes.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").select(
             "cls", "grp", F.coalesce("root", "cls").alias("root")
         )
-        here = scratch.keep(entries.join(placed.groupBy("grp").agg(F.min("root").alias("lo"), F.max("root").alias("hi")), "grp"), "entries")
+        here = entries.join(placed.groupBy("grp").agg(F.min("root").alias("lo"), F.max("root").alias("hi")), "grp")
         mixed = here.groupBy("l1", "l2").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo != hi").select("l1", "l2")
         # Lists of one component stay so; they are left out from here on.
-        apart = scratch.keep(here.select("l1", "l2", "salt", "grp").join(mixed, ["l1", "l2"], "left_semi"), "apart")
-        scratch.drop(here)
+        apart = scratch.keep(entries.join(mixed, ["l1", "l2"], "left_semi"), "apart")
         if narrowed:
             scratch.drop(entries)
         entries, narrowed = apart, True
         full = apart.join(placed, "grp").join(classes.select("cls", "n", "bitmap"), "cls")
-        parts = full.select("l1", "l2", "salt", "cls", "root", "bitmap", "n").groupBy("l1", "l2", "salt").applyInArrow(_pack_part, PART_SCHEMA)
-        parts = scratch.keep(parts, "parts")
-        alone = parts.select("members", F.col("members").alias("other"), F.lit(True).alias("same"))
+        member = F.struct("n", F.concat("cls", "root", "bitmap").alias("m"))
+        parts = full.groupBy("l1", "l2", "salt").agg(F.sort_array(F.collect_list(member)).alias("members"))  # by size; at most about `HOT`
+        alone = parts.select("members", F.array().cast("array<struct<n:bigint,m:binary>>").alias("other"))
         x, y = parts.where("l2 = -1").alias("x"), parts.where("l2 = -1").alias("y")
-        crossed = x.join(y, (F.col("x.l1") == F.col("y.l1")) & (F.col("x.salt") < F.col("y.salt"))).select("x.members", F.col("y.members").alias("other"), F.lit(False))
+        crossed = x.join(y, (F.col("x.l1") == F.col("y.l1")) & (F.col("x.salt") < F.col("y.salt"))).select("x.members", F.col("y.members").alias("other"))
         found = scratch.keep(alone.unionAll(crossed).mapInArrow(_closest(percent, most), "a binary, b binary, cut boolean"), "closest")
-        scratch.drop(parts)
         new = scratch.keep(found.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
         if new.isEmpty():
             if found.where("cut").isEmpty():

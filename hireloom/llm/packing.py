@@ -29,14 +29,12 @@ RANK_BUCKETS = 256
 
 
 def _pieces(path: str, capacity: int, end_id: int):
-    end = np.array([end_id], dtype="<u4").tobytes()
-
     def run(batches):
         enc = encoder(path)
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = enc.encode(text.as_py()) + end
+                ids = np.append(np.frombuffer(enc.encode(text.as_py()), enc.dtype), end_id).astype("<u4").tobytes()
                 n = len(ids) // 4
                 for piece, start in enumerate(range(0, n, capacity)):
                     part = ids[4 * start : 4 * (start + capacity)]

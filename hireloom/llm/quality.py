@@ -120,14 +120,14 @@ def _slice_features(raw: list[bytes]):
     return parts, meta
 
 
-def logistic(dot, dot_t, y: np.ndarray, width: int, steps: int = 150, decay: float = 1e-4, weight: np.ndarray | None = None) -> np.ndarray:
-    """Weights and bias (last) by Adam on the whole batch."""
-    w, m, v = np.zeros(width + 1), np.zeros(width + 1), np.zeros(width + 1)
-    weight = np.ones(len(y)) if weight is None else weight
+def logistic(dot, dot_t, y: np.ndarray, width: int, steps: int = 150, decay: float = 1e-4, prior: list[float] | None = None) -> np.ndarray:
+    """Weights and bias (last) by Adam on the whole batch, drawn towards `prior` (zero)."""
+    prior = np.zeros(width + 1) if prior is None else np.array(prior)
+    w, m, v = prior.copy(), np.zeros(width + 1), np.zeros(width + 1)
     for i in range(steps):
         p = 1 / (1 + np.exp(-np.clip(dot(w[:-1]) + w[-1], -30, 30)))
-        r = weight * (p - y) / weight.sum()
-        g = np.append(dot_t(r), r.sum()) + decay * w
+        r = (p - y) / len(y)
+        g = np.append(dot_t(r), r.sum()) + decay * (w - prior)
         m += 0.1 * (g - m)
         v += 0.01 * (g * g - v)
         w -= 0.1 * (m / (1 - 0.9 ** (i + 1))) / (np.sqrt(v / (1 - 0.99 ** (i + 1))) + 1e-8)
@@ -140,7 +140,7 @@ class CoTrained:
     def __init__(self):
         self.text = self.meta = None
         self.scale = np.array([[1.0, 0.0], [1.0, 0.0]])
-        self.blend = np.array([1.0, 1.0, 0.0])
+        self.blend = np.array([0.5, 0.5, 0.0])
         self.threshold = 0.0
 
     @staticmethod
@@ -177,15 +177,22 @@ class CoTrained:
             pool = pool[~used]
         held = np.flatnonzero(calibration & labelled)
         if len(held) and 0 < y[held].mean() < 1:
-            target = y[held].astype(float)
+            good = y[held] == 1
+            # Smoothed targets and a pull to plain, equally weighted views: few documents change little.
+            target = np.where(good, (good.sum() + 1) / (good.sum() + 2), 1 / ((~good).sum() + 2))
+            pull = 0.1 / (1.0 + min(good.sum(), (~good).sum()))
             both = np.stack([self._logit(text.take(held), self.text), self._logit(meta[held], self.meta)], 1)
             for k in range(2):
                 one = both[:, [k]]
-                self.scale[k] = logistic(lambda w: one @ w, lambda r: one.T @ r, target, 1, steps=300, decay=1e-3)
+                self.scale[k] = logistic(lambda w: one @ w, lambda r: one.T @ r, target, 1, steps=300, decay=pull, prior=[1.0, 0.0])
+                self.scale[k, 0] = max(self.scale[k, 0], 0.05)
             scaled = both * self.scale[:, 0] + self.scale[:, 1]
-            self.blend = logistic(lambda w: scaled @ w, lambda r: scaled.T @ r, target, 2, steps=300, decay=1e-3)
-            sure = self.predict(text.take(held), meta[held])[2][target == 1]
-            self.threshold = float(min(0.5, np.quantile(sure, GOOD_BELOW) * 0.9))
+            self.blend = logistic(lambda w: scaled @ w, lambda r: scaled.T @ r, target, 2, steps=300, decay=pull, prior=[0.5, 0.5, 0.0])
+            self.blend[:2] = np.maximum(self.blend[:2], 0.05)
+            logits = scaled @ self.blend[:2] + self.blend[2]
+            low, bad = np.quantile(logits[good], GOOD_BELOW), np.median(logits[~good])
+            # A margin below the good documents, but above the bulk of the bad ones.
+            self.threshold = float(1 / (1 + np.exp(-np.clip(min(0.0, max(low - 1.0, bad + 0.1 * (low - bad))), -30, 30))))
 
     def predict(self, text: Rows, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if self.text is None:
@@ -211,11 +218,12 @@ def _score(model):
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> CoTrained:
     """Fit on documents outside the held-out fold; a document with several labels has the lowest."""
     known = labels.where("quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
-    rows = docs.where("not held_out").join(known, "doc_id", "left")
+    rows = docs.where("not held_out").select("doc_id").join(known, "doc_id", "left")
     counts = rows.select(F.count("quality").alias("yes"), F.count_if(F.col("quality").isNull()).alias("no")).first()
     place = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("quality")), 11) / F.lit(float(1 << 53))
     share = F.when(F.col("quality").isNotNull(), F.lit(labelled / max(1, counts["yes"]))).otherwise(F.lit(pool / max(1, counts["no"])))
-    sample = rows.where(place < share).orderBy("doc_id").toPandas()  # `labelled` + `pool` rows, give or take their square root
+    chosen = rows.where(place < share).distinct()  # `labelled` + `pool` rows, give or take their square root
+    sample = docs.where("not held_out").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
     model = CoTrained()
     is_labelled = sample["quality"].notna().to_numpy()
     learn = is_labelled & ~np.array([zlib.crc32(f"calibrate {i}".encode()) % 4 == 0 for i in sample["doc_id"]], dtype=bool) if len(sample) else is_labelled

@@ -13,7 +13,7 @@ os.environ.setdefault("RAYON_NUM_THREADS", "1")
 
 #: Letters whose lower case and normal form are one plain letter in every Unicode version.
 _PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-įıĲ-ňŊ-ſ]+")
-_MARKS = ".,;:!?%$&#*|()[]\"-"
+_MARKS = b".,;:!?%$&#*|()[]\"-"
 
 _ENCODERS: dict[str, "WordEncoder"] = {}
 
@@ -50,16 +50,26 @@ def splits_on_space(spec: dict) -> bool:
     )
 
 
+def byte_letters() -> dict[int, str]:
+    """Byte-level BPE's letter of each byte: printable ones stand for themselves, the rest from code point 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class WordEncoder:
     """Encodes with the tokenizers library, each distinct word once.
 
     Words of a text repeat, and a tokenizer that drops white space encodes a
     text to the ids of its words one after the other. So the library sees the
-    words that this worker hasn't met yet, and the rest comes from a memo of
-    bounded size. Other tokenizers get whole texts.
+    words that this worker doesn't remember, and the rest comes from a memo of
+    bounded size. A word of plain letters and closing marks is two pre-tokens
+    at most, which go straight to the library's BPE model and share their
+    entries with other spellings of the word. Other tokenizers get whole texts.
     """
 
-    WORDS, CORES = 500_000, 400_000
+    #: Words of the memo's newer half; when it is full it becomes the older half.
+    WORDS, CORES = 400_000, 400_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -68,71 +78,72 @@ class WordEncoder:
             spec = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
         self.by_word = splits_on_space(spec)
-        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.size = max(vocab.values()) + 1
-        suffix = spec["model"].get("end_of_word_suffix") or ""
-        self.ends = np.zeros(self.size, dtype=bool)
-        if suffix:
-            for token, i in vocab.items():
-                self.ends[i] = token.endswith(suffix)
-        self.cut_marks = bool(suffix) and self.by_word
+        self.size = max(self.tokenizer.get_vocab(with_added_tokens=True).values()) + 1
+        #: Type of the ids in the memo and of `encode`.
+        self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
+        kinds = [p["type"] for p in (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+        self.cut_marks = self.by_word and kinds == ["Split", "ByteLevel"] and not spec["pre_tokenizer"]["pretokenizers"][1].get("add_prefix_space")
+        letters = byte_letters()
+        self.as_letters = {c: "".join(letters[b] for b in chr(c).encode()) for c in range(0x180)}
+        self.tokenize = self.tokenizer.model.tokenize
         self.words: dict[bytes, bytes] = {}
-        self.cores: dict[str, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.cores: dict[bytes, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn_cores(self, new: list[str]) -> None:
-        """Pieces that are one pre-token each: many go to the library as one text and are cut at word ends."""
-        for i in range(0, len(new), 500):
-            part = new[i : i + 500]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(part) and cuts[-1] == len(ids):
-                start = 0
-                raw = ids.tobytes()
-                for piece, end in zip(part, (4 * cuts).tolist()):
-                    self.cores[piece] = raw[start:end]
-                    start = end
-            else:
-                self.cores.update(zip(part, self._library(part)))
+        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _piece(self, piece: bytes) -> bytes:
+        """Ids of one pre-token in lower case."""
+        ids = [t.id for t in self.tokenize(piece.decode().translate(self.as_letters))]
+        self.cores[piece] = found = np.array(ids, dtype=self.dtype).tobytes()
+        return found
 
     def _learn(self, new: list[bytes]) -> None:
         if len(self.words) + len(new) > self.WORDS:
-            self.words.clear()
+            self.older, self.words = self.words, {}
         if len(self.cores) > self.CORES:
-            self.cores.clear()
-        split, whole = [], []
+            self.cores = {}
+        words, older, cores, whole = self.words, self.older, self.cores, []
         for word in new:
-            text = word.decode("utf-8", "replace")
-            core = text.rstrip(_MARKS)
-            if self.cut_marks and core and _PLAIN.fullmatch(core):
-                split.append((word, core.lower(), text[len(core) :]))
-            else:
-                whole.append((word, text))
-        missing = {p: None for _, core, marks in split for p in (core, marks) if p and p not in self.cores}
-        if missing:
-            self._learn_cores(list(missing))
-        for word, core, marks in split:
-            self.words[word] = self.cores[core] + self.cores[marks] if marks else self.cores[core]
+            found = older.get(word)
+            if found is None:
+                core = word.rstrip(_MARKS)
+                if core.isalpha():  # of bytes: ASCII letters
+                    low = core.lower()
+                elif core and _PLAIN.fullmatch(text := core.decode("utf-8", "replace")):
+                    low = text.lower().encode()
+                else:
+                    whole.append(word)
+                    continue
+                if not self.cut_marks:
+                    whole.append(word)
+                    continue
+                found = cores.get(low) or self._piece(low)
+                if len(core) < len(word):
+                    marks = word[len(core) :]
+                    found += cores.get(marks) or self._piece(marks)
+            words[word] = found
         if whole:
-            self.words.update(zip([w for w, _ in whole], self._library([t for _, t in whole])))
+            words.update(zip(whole, self._library([w.decode("utf-8", "replace") for w in whole])))
 
     def encode(self, text: str | None) -> bytes:
-        """Ids of a whole text as little-endian unsigned 32-bit integers; null gives none."""
+        """Ids of a whole text as little-endian integers of type `dtype`; null gives none."""
         if not text:
             return b""
         if not self.by_word:
             return self._library([text])[0]
-        words, memo = text.encode("utf-8", "replace").split(), self.words
-        try:
-            return b"".join([memo[w] for w in words])
-        except KeyError:
-            pass
-        out = []
-        for i in range(0, len(words), self.WORDS):  # a text may hold more words than the memo
-            part = words[i : i + self.WORDS]
-            while new := [w for w in dict.fromkeys(part) if w not in memo]:  # twice if the memo had to be emptied
-                self._learn(new)
-            out += [memo[w] for w in part]
-        return b"".join(out)
+        words = text.encode("utf-8", "replace").split()
+        if len(words) <= self.WORDS:
+            return b"".join(self._look_up(words))
+        parts = (words[i : i + self.WORDS] for i in range(0, len(words), self.WORDS))  # a text may hold more words than the memo
+        return b"".join(b"".join(self._look_up(part)) for part in parts)
+
+    def _look_up(self, words: list[bytes]) -> list[bytes]:
+        found = list(map(self.words.get, words))
+        if None in found:
+            new = {w: None for w, ids in zip(words, found) if ids is None}
+            self._learn(list(new))
+            memo = self.words
+            found = [memo[w] if ids is None else ids for w, ids in zip(words, found)]
+        return found
