@@ -36,7 +36,7 @@ ORDER_BITS = 21
 BLOCK_BITS = 16
 #: A shingle that more than this many documents share (above what its cell holds by chance) is split.
 HOT = 20_000
-BUCKET_SHINGLES = 1_000_000
+BUCKET_SHINGLES = 500_000
 SLICE = 1 << 20
 BITMAP_BITS = 1024
 #: Sets of `LONG` shingles or more have `EXTRA` more in their prefixes, and must share as many more.
@@ -262,6 +262,17 @@ def _scatter(buckets: int, cells, noise: float):
     return run
 
 
+def _distinct(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each distinct row of equally long columns, and how often it occurs."""
+    order = np.lexsort(columns[::-1])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[order[1:]] != c[order[:-1]]
+    at = np.flatnonzero(new)
+    return order[at], np.diff(np.append(at, len(order)))
+
+
 LIST_SCHEMA = "l1 long, l2 long, salt int, weight int, need int, grps binary, ns binary"
 #: Marks rows of `_lists` that are pairs (l1, l2) and not lists.
 PAIR = -2
@@ -306,11 +317,13 @@ def _bucket_lists(table: pa.Table, percent: int) -> pa.Table:
     left, right = np.concatenate(left), np.concatenate(right)
     fits = (n[left].astype(np.int64) * 100 >= n[right].astype(np.int64) * percent) & (n[right].astype(np.int64) * 100 >= n[left].astype(np.int64) * percent)
     left, right = left[fits], right[fits]
-    both = np.stack([np.minimum(grp[left], grp[right]), np.maximum(grp[left], grp[right]), np.where((n[left] >= LONG) & (n[right] >= LONG), 1 + EXTRA, 1)], 1)
-    both, shared = np.unique(both, axis=0, return_counts=True)
+    low, high = np.minimum(grp[left], grp[right]), np.maximum(grp[left], grp[right])
+    need = np.where((n[left] >= LONG) & (n[right] >= LONG), 1 + EXTRA, 1).astype(np.int32)
+    one, shared = _distinct(low, high)
+    low, high, need = low[one], high[one], need[one]
     # Longer lists, each once, with the shingles that have it.
     keep = np.flatnonzero((size > SHORT) | split)
-    _, first, same = np.unique(np.stack([l1[keep], l2[keep], salt[start][keep].astype(np.int64)], 1), axis=0, return_index=True, return_counts=True)
+    first, same = _distinct(l1[keep], l2[keep], salt[start][keep])
     keep = keep[first]
     # In a list first come the groups that share most with others here.
     names, place = np.unique(grp, return_inverse=True)
@@ -318,13 +331,13 @@ def _bucket_lists(table: pa.Table, percent: int) -> pa.Table:
     order = np.lexsort((grp, n, -shares, np.repeat(np.arange(len(size)), size)))
     grp, n = grp[order], n[order]
     spans = [(int(start[i]), int(start[i] + size[i])) for i in keep]
-    none = [None] * len(both)
+    none = [None] * len(low)
     cat = lambda a, b: pa.array(np.concatenate([a, b]))
     return pa.table(
         {
-            "l1": cat(both[:, 0], l1[keep]), "l2": cat(both[:, 1], l2[keep]),
-            "salt": cat(np.full(len(both), PAIR, np.int32), salt[start][keep]),
-            "weight": cat(shared.astype(np.int32), same.astype(np.int32)), "need": cat(both[:, 2].astype(np.int32), np.ones(len(keep), np.int32)),
+            "l1": cat(low, l1[keep]), "l2": cat(high, l2[keep]),
+            "salt": cat(np.full(len(low), PAIR, np.int32), salt[start][keep]),
+            "weight": cat(shared.astype(np.int32), same.astype(np.int32)), "need": cat(need, np.ones(len(keep), np.int32)),
             "grps": pa.array(none + [grp[a:b].tobytes() for a, b in spans], pa.binary()),
             "ns": pa.array(none + [n[a:b].tobytes() for a, b in spans], pa.binary()),
         }
