@@ -13,10 +13,12 @@ precision of the order, never a link.
 Large groups of near copies aren't expanded to all pairs. A first round links
 the members of each list to two of their own, those that share most, and
 verifies that. The next rounds take from the lists that still hold several
-components, for each member, the closest members of other components, twice
-as many each round, until no pair is left that could link two components; pairs inside one are
+components, for each member, the closest members of other components, four times
+as many each round, until no list has pairs left that could link two components; pairs inside one are
 skipped. Before texts are moved, a pair must pass a bound: the bits in which two
 parity bitmaps differ are no more than the shingles in which the sets differ.
+Long sets have a second bitmap, as wide as they are long: the first would be
+full of noise and let all their pairs pass.
 """
 
 from __future__ import annotations
@@ -39,6 +41,8 @@ HOT = 20_000
 BUCKET_SHINGLES = 500_000
 SLICE = 1 << 20
 BITMAP_BITS = 1024
+#: Sets of more than `BITMAP_BITS` shingles have a second bitmap of about their size, up to this many bits.
+WIDE_BITS = 1 << 17
 #: Sets of `LONG` shingles or more have `EXTRA` more in their prefixes, and must share as many more.
 EXTRA, LONG = 3, 8
 #: Lists up to this long are done by the first round: it names all their pairs.
@@ -165,12 +169,22 @@ def shingle_frequencies(docs: DataFrame, k: int, bits: int) -> np.ndarray:
     return np.minimum(out, np.iinfo(np.uint32).max).astype(np.uint32)
 
 
-def parity(own: np.ndarray) -> bytes:
-    """Bitmap in which every shingle flips one bit."""
-    odd = np.bincount((mix(own) % np.uint64(BITMAP_BITS)).astype(np.int64), minlength=BITMAP_BITS) & 1
+def parity(own: np.ndarray, bits: int = BITMAP_BITS) -> bytes:
+    """Bitmap in which every shingle flips one bit; `bits` is a power of two."""
+    odd = np.bincount((mix(own) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def wide_parity(own: np.ndarray) -> bytes | None:
+    return parity(own, min(WIDE_BITS, 1 << (len(own) - 1).bit_length())) if len(own) > BITMAP_BITS else None
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """Bits in which two bitmaps differ; the wider one is folded to the other's width."""
+    x, y = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
+    return int(np.bitwise_count(np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0) ^ x).sum(dtype=np.int64))
+
+
 def may_link(n_a, n_b, differing, percent: int):
     """Whether sets of these sizes that differ in at least so many elements can be similar enough."""
     return (100 + percent) * differing <= (100 - percent) * (n_a + n_b)
@@ -187,7 +201,7 @@ def _describe(k: int, percent: int, cells):
         shift = np.uint64(64 - int(len(counts)).bit_length() + 1)
         for batch in batches:
             sets = shingle_sets(batch.column(1).to_pylist(), k)
-            classes, groups, prefixes, bitmaps = [], [], [], []
+            classes, groups, prefixes, bitmaps, wide = [], [], [], [], []
             for own in sets:
                 order = np.lexsort((own, counts[(own >> shift).astype(np.int64)]))
                 prefix = own[order[: prefix_size(len(own), percent)]].tobytes()
@@ -195,10 +209,11 @@ def _describe(k: int, percent: int, cells):
                 groups.append(int.from_bytes(hashlib.blake2b(prefix, digest_size=8, salt=len(own).to_bytes(8, "little")).digest(), "little", signed=True))
                 prefixes.append(prefix)
                 bitmaps.append(parity(own))
+                wide.append(wide_parity(own))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(classes, pa.binary()),
-                 pa.array(groups, pa.int64()), pa.array(prefixes, pa.binary()), pa.array(bitmaps, pa.binary())],
-                names=["doc_id", "row_key", "n", "cls", "grp", "prefix", "bitmap"],
+                 pa.array(groups, pa.int64()), pa.array(prefixes, pa.binary()), pa.array(bitmaps, pa.binary()), pa.array(wide, pa.binary())],
+                names=["doc_id", "row_key", "n", "cls", "grp", "prefix", "bitmap", "wide"],
             )
 
     return run
@@ -387,9 +402,9 @@ def _members(column: pa.Array) -> list[Members]:
 
 
 def _closest(percent: int, most: int):
-    """Per member the `most` closest members of other components that could link; `cut` if there were more."""
+    """Per member the `most` closest members of other components that could link; if there were more, with the list's name."""
 
-    def pairs(x: Members, y: Members, out: list) -> None:
+    def pairs(x: Members, y: Members, name: tuple, out: list) -> None:
         for lo in range(0, len(x.n), 128):
             part = slice(lo, lo + 128)
             # Members are sorted by size: only a stretch of y fits.
@@ -412,22 +427,21 @@ def _closest(percent: int, most: int):
                 me = x.cls[lo + rows[i]].tobytes()
                 for j in found:
                     them = y.cls[a + j].tobytes()
-                    out.append((min(me, them), max(me, them), cut))
+                    out.append((min(me, them), max(me, them), *(name if cut else (None, None))))
 
     def run(batches):
         for batch in batches:
             out: list[tuple] = []
-            for x, y in zip(_members(batch.column(0)), _members(batch.column(1))):
+            names = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
+            for x, y, name in zip(_members(batch.column(0)), _members(batch.column(1)), names):
                 if len(y.n):
-                    pairs(x, y, out)
-                    pairs(y, x, out)
+                    pairs(x, y, name, out)
+                    pairs(y, x, name, out)
                 else:
-                    pairs(x, x, out)
+                    pairs(x, x, name, out)
             out = list(dict.fromkeys(out))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.binary()), pa.array([o[2] for o in out], pa.bool_())],
-                names=["a", "b", "cut"],
-            )
+            kinds = (pa.binary(), pa.binary(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], kind) for i, kind in enumerate(kinds)], names=["a", "b", "l1", "l2"])
 
     return run
 
@@ -459,6 +473,35 @@ def _bounded(percent: int):
     return run
 
 
+def _bounded_long(percent: int):
+    """Pairs without those of long sets that their wide bitmaps rule out; `apart` by these where there are two."""
+
+    def run(batches):
+        for batch in batches:
+            at, apart = [], []
+            columns = (batch.column(i).to_pylist() for i in range(2, 7))
+            for i, (far, n_a, n_b, a, b) in enumerate(zip(*columns)):
+                if a is not None and b is not None:
+                    differ = differing(a, b)
+                    if not may_link(n_a, n_b, differ, percent):
+                        continue
+                    far = differ * 1000 // (n_a + n_b)
+                at.append(i)
+                apart.append(far)
+            at = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(apart, pa.int64())], names=["a", "b", "apart"])
+
+    return run
+
+
+def without_far(classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """(a, b, apart) pairs that the wide bitmaps of long sets leave."""
+    long_ = classes.where("wide is not null")
+    one = lambda c: long_.select(F.col("cls").alias(c), F.col("n").alias(f"n{c}"), F.col("wide").alias(f"w{c}"))
+    both = pairs.join(one("a"), "a", "left").join(one("b"), "b", "left").select("a", "b", "apart", "na", "nb", "wa", "wb")
+    return both.mapInArrow(_bounded_long(percent), "a binary, b binary, apart long")
+
+
 def _verify(k: int, percent: int):
     def run(batches):
         for batch in batches:
@@ -522,14 +565,14 @@ def _near_duplicates(spark: SparkSession, docs: DataFrame, k: int, percent: int,
     noise = mean + 6 * mean**0.5
     rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_key"))
     info = scratch.keep(
-        rows.mapInArrow(_describe(k, percent, cells), "doc_id long, row_key long, n long, cls binary, grp long, prefix binary, bitmap binary"), "sets"
+        rows.mapInArrow(_describe(k, percent, cells), "doc_id long, row_key long, n long, cls binary, grp long, prefix binary, bitmap binary, wide binary"), "sets"
     )
     some = info.where("n > 0")
     first = F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), F.col("row_key").alias("k"))).alias("first")
     classes = some.groupBy("cls").agg(
-        first, F.min("n").alias("n"), F.min("grp").alias("grp"), F.min("doc_id").alias("doc_id"), F.min("bitmap").alias("bitmap")
+        first, F.min("n").alias("n"), F.min("grp").alias("grp"), F.min("doc_id").alias("doc_id"), F.min("bitmap").alias("bitmap"), F.min("wide").alias("wide")
     )
-    classes = scratch.keep(classes.select("cls", "n", "grp", "doc_id", "bitmap", F.col("first.k").alias("row_key")), "classes")
+    classes = scratch.keep(classes.select("cls", "n", "grp", "doc_id", "bitmap", "wide", F.col("first.k").alias("row_key")), "classes")
 
     total = some.agg(F.sum(F.octet_length("prefix")) / 8).first()[0] or 0
     buckets = max(spark.sparkContext.defaultParallelism, int(total // BUCKET_SHINGLES) + 1)
@@ -556,7 +599,7 @@ def _near_duplicates(spark: SparkSession, docs: DataFrame, k: int, percent: int,
     members = own.join(one("grp", "a"), "grp").where("a != b").select("a", "b", "na", "nb", "ma", "mb")
     passed = expanded.unionAll(members).mapInArrow(_bounded(percent), "a binary, b binary, apart long")
     passed = passed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "apart").where("a != b").distinct()
-    passed = scratch.keep(passed, "pairs")
+    passed = scratch.keep(without_far(classes, passed, percent), "pairs")
     # Most pairs of a group of near copies need no look at the texts: first each class tries its closest partner.
     ends = passed.select(F.col("a").alias("cls"), "a", "b", "apart").unionAll(passed.select(F.col("b").alias("cls"), "a", "b", "apart"))
     closest = ends.groupBy("cls").agg(F.min(F.struct("apart", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
@@ -579,7 +622,7 @@ def _near_duplicates(spark: SparkSession, docs: DataFrame, k: int, percent: int,
     wide = enough.join(several, F.col("ga") == F.col("grp"), "left_semi").unionAll(enough.join(several, F.col("gb") == F.col("grp"), "left_semi"))
     wide = wide.distinct().select(F.xxhash64("ga", "gb").alias("l1"), F.lit(-3).cast("long").alias("l2"), F.lit(-1).alias("salt"), F.explode(F.array("ga", "gb")).alias("grp"))
     entries = shared.unionAll(inside).unionAll(wide)
-    most, narrowed = NEAREST, False
+    most, former = NEAREST, None
     while True:
         placed = classes.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").select(
             "cls", "grp", F.coalesce("root", "cls").alias("root")
@@ -588,28 +631,29 @@ def _near_duplicates(spark: SparkSession, docs: DataFrame, k: int, percent: int,
         mixed = here.groupBy("l1", "l2").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo != hi").select("l1", "l2")
         # Lists of one component stay so; they are left out from here on.
         apart = scratch.keep(entries.join(mixed, ["l1", "l2"], "left_semi"), "apart")
-        if narrowed:
-            scratch.drop(entries)
-        entries, narrowed = apart, True
+        if former is not None:
+            scratch.drop(former)
+        former = apart
         full = apart.join(placed, "grp").join(classes.select("cls", "n", "bitmap"), "cls")
         member = F.struct("n", F.concat("cls", "root", "bitmap").alias("m"))
         parts = full.groupBy("l1", "l2", "salt").agg(F.sort_array(F.collect_list(member)).alias("members"))  # by size; at most about `HOT`
-        alone = parts.select("members", F.array().cast("array<struct<n:bigint,m:binary>>").alias("other"))
+        alone = parts.select("members", F.array().cast("array<struct<n:bigint,m:binary>>").alias("other"), "l1", "l2")
         x, y = parts.where("l2 = -1").alias("x"), parts.where("l2 = -1").alias("y")
-        crossed = x.join(y, (F.col("x.l1") == F.col("y.l1")) & (F.col("x.salt") < F.col("y.salt"))).select("x.members", F.col("y.members").alias("other"))
-        found = scratch.keep(alone.unionAll(crossed).mapInArrow(_closest(percent, most), "a binary, b binary, cut boolean"), "closest")
-        new = scratch.keep(found.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-        if new.isEmpty():
-            if found.where("cut").isEmpty():
-                break
-        else:
+        crossed = x.join(y, (F.col("x.l1") == F.col("y.l1")) & (F.col("x.salt") < F.col("y.salt"))).select("x.members", F.col("y.members").alias("other"), "x.l1", "x.l2")
+        found = scratch.keep(alone.unionAll(crossed).mapInArrow(_closest(percent, most), "a binary, b binary, l1 long, l2 long"), "closest")
+        new = found.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti").withColumn("apart", F.lit(0).cast("long"))
+        new = scratch.keep(without_far(classes, new, percent).select("a", "b"), "pairs")
+        if not new.isEmpty():
             late = verify_pairs(scratch, docs, classes, new, k, percent)
             tried = tried.unionAll(new)
             if not late.isEmpty():
                 links = links.unionAll(late)
                 roots = scratch.keep(connected_components(scratch, links), "components")
-            elif found.where("cut").isEmpty():
-                break
+        # A list that named all its pairs is done; only those that had more go on.
+        more = found.where("l1 is not null").select("l1", "l2").distinct()
+        if more.isEmpty():
+            break
+        entries = apart.join(more, ["l1", "l2"], "left_semi")
         most *= 4
 
     named = classes.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))

@@ -86,6 +86,31 @@ def test_split_lists_lose_no_link(spark, docs, corpus, monkeypatch):
     assert Counter(tuple(r) for r in got.collect()) == brute_components(corpus)
 
 
+def test_wide_bitmaps_bound_the_difference():
+    rng = np.random.default_rng(5)
+    pool = np.unique(rng.integers(0, 1 << 63, 9_000).astype(np.uint64))
+    for n, m, shared in ((1_025, 1_300, 1_000), (1_500, 2_049, 1_400), (5_000, 6_000, 4_800), (3_000, 3_000, 0), (4_000, 4_000, 4_000)):
+        x, y = pool[:n], pool[n - shared : n - shared + m]
+        apart = n + m - 2 * shared
+        found = ngram_join.differing(ngram_join.wide_parity(x), ngram_join.wide_parity(y))
+        assert found <= apart and (found == 0) == (apart == 0)
+    assert not ngram_join.may_link(3_000, 3_000, ngram_join.differing(ngram_join.wide_parity(pool[:3_000]), ngram_join.wide_parity(pool[3_000:6_000])), 75)
+    assert ngram_join.wide_parity(pool[:1_024]) is None
+
+
+def test_long_near_copies_link(spark):
+    """Long texts that share passages only are told apart by their wide bitmaps; near copies stay linked."""
+    words = [f"w{i}" for i in np.random.default_rng(6).integers(0, 50_000, 12_000)]
+    base, passage = words[:2_500], words[2_500:2_800]
+    rows = [(1, " ".join(base)), (2, " ".join([*base[:2_450], *words[3_000:3_040]])), (3, None)]
+    rows += [(10 + i, " ".join([*passage, *words[3_100 + 1_500 * i : 4_600 + 1_500 * i]])) for i in range(5)]
+    corpus = [(i, t) for i, t in rows]
+    got = ngram_join.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), order_bits=16)
+    want = brute_components(corpus)
+    assert Counter(tuple(r) for r in got.collect()) == want
+    assert len({c for _, _, c in want}) == 7
+
+
 def test_near_duplicates_keep_one(spark, docs, corpus):
     kept = ngram_join.drop_near_duplicates(spark, docs)
     assert kept.columns == docs.columns
