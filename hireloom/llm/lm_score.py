@@ -5,9 +5,11 @@ words form the model's vocabulary; the rest share one entry and are told apart
 by their counts, so every word has a probability and the model stays
 normalised. The output is factored into a class and a word within it.
 
-The network is trained in numpy by truncated backpropagation, data-parallel:
-in each round every task starts from the same weights, trains on its documents
-and returns its weights, whose mean (weighted by tokens) starts the next round.
+The network is trained in numpy by truncated backpropagation, data-parallel,
+on every training document once: the documents are dealt to rounds by hash. In
+each round every task starts from the same weights, trains on its documents of
+the round and returns its weights, whose mean (weighted by tokens) starts the
+next round.
 
 To score, documents are dealt to chunks. A chunk looks up the counts of its
 own distinct words in one join, so no task needs the whole list of words, and
@@ -29,10 +31,8 @@ VOCAB = 2_047
 CLASS_SIZE = 46
 HIDDEN = 24
 ROUNDS = 3
-#: Share of the training documents that the network is trained on; all of them count words.
-TRAIN_SHARE = 1 / 32
-#: Small corpora train on a larger share, up to this many tokens.
-TRAIN_TOKENS = 1_500_000
+#: A task trains on blocks of about this many tokens, which bounds its memory.
+BLOCK_TOKENS = 1 << 20
 STREAMS, WINDOW = 128, 16
 CHUNK_BYTES = 24 << 20
 MEMO_WORDS = 400_000
@@ -99,15 +99,25 @@ def output_logs(params, h: np.ndarray, target: np.ndarray) -> np.ndarray:
     return out
 
 
-def window_gradients(params, inputs: np.ndarray, targets: np.ndarray, fresh: np.ndarray, h: np.ndarray):
-    """Loss, gradients and last state of one window of (steps x streams); `fresh` marks a document's first step."""
+def _runs(keys: np.ndarray) -> np.ndarray:
+    """Where each run of equal keys starts, and the end."""
+    return np.append(np.flatnonzero(np.diff(keys, prepend=-1)), len(keys))
+
+
+def window_gradients(params, inputs: np.ndarray, targets: np.ndarray, fresh: np.ndarray, h: np.ndarray, real: np.ndarray | None = None):
+    """Loss, gradients and last state of one window of (steps x streams).
+
+    `fresh` marks a document's first step; steps where `real` is 0 only fill up and count for nothing.
+    """
     steps, streams = inputs.shape
     n = h.shape[1]
-    table = params["E"] @ params["W"] + params["b"]
+    words, row = np.unique(inputs, return_inverse=True)
+    row = row.reshape(inputs.shape)
+    table = params["E"][words] @ params["W"] + params["b"]
     saved, states = [], []
     for t in range(steps):
         h = h * (1 - fresh[t])[:, None]
-        new, z, r, c, u = gru_step(params, table[inputs[t]], h)
+        new, z, r, c, u = gru_step(params, table[row[t]], h)
         saved.append((h, z, r, c, u))
         states.append(new)
         h = new
@@ -115,61 +125,95 @@ def window_gradients(params, inputs: np.ndarray, targets: np.ndarray, fresh: np.
     rows = np.arange(len(hs))
     size = params["bw"].shape[1]
     cls, inside = tg // size, tg % size
-    logc = _log_softmax(hs @ params["Wc"] + params["bc"])
-    own = params["Ww"][cls]
-    logw = _log_softmax(np.matmul(own, hs[:, :, None])[:, :, 0] + params["bw"][cls])
-    loss = -(logc[rows, cls] + logw[rows, inside]).sum()
     g = {k: np.zeros_like(v) for k, v in params.items()}
+    logc = _log_softmax(hs @ params["Wc"] + params["bc"])
+    # Steps in order of their class, so that a class is one slice.
+    order = np.argsort(cls, kind="stable")
+    hc, cuts = hs[order], _runs(cls[order])
+    spans = [(cls[order[lo]], slice(lo, hi)) for lo, hi in zip(cuts[:-1], cuts[1:])]
+    logw = np.empty((len(hs), size), hs.dtype)
+    for k, at in spans:
+        logw[at] = hc[at] @ params["Ww"][k].T + params["bw"][k]
+    logw = _log_softmax(logw)
+    found = logc[rows, cls]
+    found[order] += logw[rows, inside[order]]
     dc, dw = np.exp(logc), np.exp(logw)
     dc[rows, cls] -= 1
-    dw[rows, inside] -= 1
+    dw[rows, inside[order]] -= 1
+    if real is not None:
+        weight = real.reshape(-1).astype(hs.dtype)
+        found, dc, dw = found * weight, dc * weight[:, None], dw * weight[order][:, None]
+    loss = -found.sum()
     g["Wc"], g["bc"] = hs.T @ dc, dc.sum(0)
-    order = np.argsort(cls, kind="stable")
-    for at in np.split(order, np.flatnonzero(np.diff(cls[order], prepend=-1))[1:]):
-        k = cls[at[0]]
-        g["Ww"][k] = dw[at].T @ hs[at]
+    dhs = dc @ params["Wc"].T
+    dhc = np.empty_like(hc)
+    for k, at in spans:
+        g["Ww"][k] = dw[at].T @ hc[at]
         g["bw"][k] = dw[at].sum(0)
-    dhs = (dc @ params["Wc"].T + np.matmul(dw[:, None, :], own)[:, 0, :]).reshape(steps, streams, n)
-    dtable = np.zeros_like(table)
-    dh = np.zeros((streams, n), np.float32)
+        dhc[at] = dw[at] @ params["Ww"][k]
+    dhs[order] += dhc
+    dhs = dhs.reshape(steps, streams, n)
+    d3s = np.empty((steps, streams, 3 * n), hs.dtype)
+    dh = np.zeros((streams, n), hs.dtype)
     for t in range(steps - 1, -1, -1):
         prev, z, r, c, u = saved[t]
         dh = dh + dhs[t]
         dz = dh * (prev - c) * z * (1 - z)
         dcand = dh * (1 - z) * (1 - c * c)
         dr = dcand * u * r * (1 - r)
-        d3 = np.concatenate([dz, dr, dcand], axis=1)
-        np.add.at(dtable, inputs[t], d3)
+        d3s[t] = np.concatenate([dz, dr, dcand], axis=1)
         du = np.concatenate([dz, dr, dcand * r], axis=1)
         g["U"] += prev.T @ du
         dh = (dh * z + du @ params["U"].T) * (1 - fresh[t])[:, None]
-    g["E"], g["W"], g["b"] = dtable @ params["W"].T, params["E"].T @ dtable, dtable.sum(0)
+    order = np.argsort(row.reshape(-1), kind="stable")
+    dtable = np.add.reduceat(d3s.reshape(-1, 3 * n)[order], _runs(row.reshape(-1)[order])[:-1], axis=0)
+    g["E"][words] = dtable @ params["W"].T
+    g["W"], g["b"] = params["E"][words].T @ dtable, dtable.sum(0)
     return loss, g, h
 
 
+class Trainer:
+    """Adam over blocks of documents; every token of every document counts once."""
+
+    def __init__(self, params: dict[str, np.ndarray], rate: float = 0.01):
+        self.params = {k: v.copy() for k, v in params.items()}
+        self.rate, self.steps, self.tokens = rate, 0, 0
+        self.m, self.v = ({k: np.zeros_like(x) for k, x in params.items()} for _ in range(2))
+
+    def feed(self, docs: list[np.ndarray]) -> None:
+        """One pass over `docs` (ids with their end), dealt to streams whose last places are filled up."""
+        flat = np.concatenate(docs)
+        first = np.zeros(len(flat), np.float32)
+        first[np.cumsum([0] + [len(d) for d in docs[:-1]])] = 1
+        streams = max(1, min(STREAMS, len(flat) // WINDOW))
+        length = -(-len(flat) // streams)
+        self.tokens += len(flat)
+        fill = (0, streams * length - len(flat))
+        real = np.pad(np.ones(len(flat), np.float32), fill)
+        flat, first, real = (x.reshape(streams, length).T for x in (np.pad(flat, fill), np.pad(first, fill), real))
+        previous = np.vstack([np.zeros((1, streams), flat.dtype), flat[:-1]])
+        inputs = np.where(first > 0, END, previous)
+        h = np.zeros((streams, self.params["U"].shape[0]), np.float32)
+        for at in range(0, length, WINDOW):
+            part = slice(at, at + WINDOW)
+            _, g, h = window_gradients(self.params, inputs[part], flat[part], first[part], h, real[part])
+            self._step(g, max(1.0, float(real[part].sum())))
+
+    def _step(self, g: dict[str, np.ndarray], tokens: float) -> None:
+        self.steps += 1
+        up1, up2 = 1 - 0.9**self.steps, 1 - 0.999**self.steps
+        for k, own in self.params.items():
+            d, m, v = g[k] / tokens, self.m[k], self.v[k]
+            m += 0.1 * (d - m)
+            v += 0.001 * (d * d - v)
+            own -= self.rate * (m / up1) / (np.sqrt(v / up2) + 1e-6)
+
+
 def train_on(params: dict[str, np.ndarray], docs: list[np.ndarray], rate: float = 0.01) -> tuple[dict[str, np.ndarray], int]:
     """Weights after one pass over `docs` (ids with their end) by Adam; the tokens seen."""
-    flat = np.concatenate(docs)
-    first = np.zeros(len(flat), np.float32)
-    first[np.cumsum([0] + [len(d) for d in docs[:-1]])] = 1
-    streams = max(1, min(STREAMS, len(flat) // WINDOW))
-    length = len(flat) // streams
-    flat, first = (x[: streams * length].reshape(streams, length).T for x in (flat, first))
-    previous = np.vstack([np.zeros((1, streams), flat.dtype), flat[:-1]])
-    inputs = np.where(first > 0, END, previous)
-    params = {k: v.copy() for k, v in params.items()}
-    m, v = ({k: np.zeros_like(x) for k, x in params.items()} for _ in range(2))
-    h = np.zeros((streams, params["U"].shape[0]), np.float32)
-    for i, at in enumerate(range(0, length, WINDOW)):
-        part = slice(at, at + WINDOW)
-        _, g, h = window_gradients(params, inputs[part], flat[part], first[part], h)
-        tokens = g["bc"].size and inputs[part].size
-        for k in params:
-            d = g[k] / tokens
-            m[k] += 0.1 * (d - m[k])
-            v[k] += 0.001 * (d * d - v[k])
-            params[k] -= rate * (m[k] / (1 - 0.9 ** (i + 1))) / (np.sqrt(v[k] / (1 - 0.999 ** (i + 1))) + 1e-6)
-    return params, flat.size
+    trainer = Trainer(params, rate)
+    trainer.feed(docs)
+    return trainer.params, trainer.tokens
 
 
 def score_documents(params, ids: list[np.ndarray]) -> np.ndarray:
@@ -230,16 +274,22 @@ def _count_words(batches):
 
 def _train_task(params, vocab: dict[bytes, int], rate: float):
     def run(batches):
-        docs = []
+        trainer = Trainer(params.value, rate)
+        docs, held = [], 0
         for batch in batches:
             for text in batch.column(0):
                 own = [vocab.get(w, RARE) for w in words_of(text.as_py())]
                 docs.append(np.array([*own, END], dtype=np.int64))
+                held += len(docs[-1])
+                if held >= BLOCK_TOKENS:
+                    trainer.feed(docs)
+                    docs, held = [], 0
         if docs:
-            found, tokens = train_on(params.value, docs, rate)
-            names = list(found)
+            trainer.feed(docs)
+        if trainer.tokens:
+            found, tokens = trainer.params, trainer.tokens
             yield pa.RecordBatch.from_arrays(
-                [pa.array([tokens]), pa.array([b"".join((found[k].astype(np.float64) * tokens).tobytes() for k in names)], pa.binary())], names=["tokens", "weights"]
+                [pa.array([tokens]), pa.array([b"".join((x.astype(np.float64) * tokens).tobytes() for x in found.values())], pa.binary())], names=["tokens", "weights"]
             )
 
     return run
@@ -250,25 +300,31 @@ def _mean_weights(table: pa.Table) -> pa.Table:
     return pa.table({"tokens": [sum(table.column("tokens").to_pylist())], "weights": pa.array([total.tobytes()], pa.binary())})
 
 
-def train(spark: SparkSession, sample: DataFrame, vocab: dict[bytes, int], counts: np.ndarray, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
+def train(
+    spark: SparkSession, docs: DataFrame, vocab: dict[bytes, int], counts: np.ndarray, rounds: int = ROUNDS
+) -> tuple[dict[str, np.ndarray], int]:
+    """Weights after each of `docs` was trained on once, and the tokens trained on; each round has its own share of the documents."""
     params = init_params(len(vocab) + 2)
     start_from_counts(params, counts)
+    seen = 0
+    turn = F.pmod(F.xxhash64("doc_id", "text", F.lit("network")), F.lit(rounds))
     for i in range(rounds):
         shared = spark.sparkContext.broadcast(params)
-        parts = sample.select("text").mapInArrow(_train_task(shared, vocab, 0.01 / (1 + i)), "tokens long, weights binary")
+        parts = docs.where(turn == i).select("text").mapInArrow(_train_task(shared, vocab, 0.01 / (1 + i)), "tokens long, weights binary")
         # Sums of weights are of fixed size; they are added up in a few groups before they meet.
         spread = parts.withColumn("g", F.pmod(F.spark_partition_id(), F.lit(16)))
         sums = spread.groupBy("g").applyInArrow(_mean_weights, "tokens long, weights binary").collect()
         tokens = sum(r["tokens"] for r in sums)
         if not tokens:
-            break
+            continue
+        seen += tokens
         flat = sum(np.frombuffer(bytes(r["weights"]), np.float64) for r in sums) / tokens
         new, at = {}, 0
         for k, v in params.items():
             new[k] = flat[at : at + v.size].reshape(v.shape).astype(np.float32)
             at += v.size
         params = new
-    return params
+    return params, seen
 
 
 def _own_words(table: pa.Table) -> pa.Table:
@@ -341,9 +397,7 @@ def score_texts(spark: SparkSession, docs: DataFrame, folds: int = 10, fold: int
     known = sum(r["c"] for r in top)
     vocab_counts = np.array([ends, summed["n"] - known, *[r["c"] for r in top]], dtype=np.float64)
     vocab_mass = float(ends + 0.1 + known + 0.1 * len(top))
-    share = min(1.0, max(TRAIN_SHARE, TRAIN_TOKENS / max(total, 1)))
-    place = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("network")), 11) / F.lit(float(1 << 53))
-    params = spark.sparkContext.broadcast(train(spark, train_rows.where(place < F.lit(share)), vocab, vocab_counts))
+    params = spark.sparkContext.broadcast(train(spark, train_rows, vocab, vocab_counts)[0])
 
     chunks = max(1, int(size["bytes"] // CHUNK_BYTES) + 1)
     dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int")).repartition(chunks, "chunk")

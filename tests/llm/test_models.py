@@ -158,3 +158,36 @@ def test_mix(spark, docs, corpus, empty, monkeypatch):
         want[r["doc_id"]] += r["copies"]
     assert Counter(r["doc_id"] for r in mixed.collect()) == +want
     assert mixing.mix_sources(spark, empty).count() == 0 == mixing.take_mix(spark, empty).count()
+
+
+def test_network_trains_on_every_token_once(spark, docs, corpus, monkeypatch):
+    seen = []
+    whole = lm_score.train
+
+    def spy(*args, **kwargs):
+        seen.append(whole(*args, **kwargs))
+        return seen[-1]
+
+    monkeypatch.setattr(lm_score, "train", spy)
+    tokens = lm_score.score_texts(spark, docs).first()["train_tokens"]
+    assert seen[0][1] == tokens
+
+
+def test_last_tokens_of_a_task_are_learned():
+    params = lm_score.init_params(9, hidden=3, class_size=4)
+    docs = [np.array([2, 3, 4] * 30 + [5, 0])]  # 92 tokens in 5 streams
+    found, tokens = lm_score.train_on(params, docs)
+    other, _ = lm_score.train_on(params, [np.array([2, 3, 4] * 30 + [5, 6])])
+    assert tokens == 92 and not np.allclose(found["bw"], other["bw"])
+
+
+def test_filled_places_count_for_nothing():
+    rng = np.random.default_rng(1)
+    params = lm_score.init_params(9, hidden=3, class_size=4)
+    inputs, targets, fresh = rng.integers(0, 9, (4, 2)), rng.integers(0, 9, (4, 2)), np.zeros((4, 2), np.float32)
+    real = np.ones((4, 2), np.float32)
+    real[3, 1] = 0
+    changed = targets.copy()
+    changed[3, 1] = (changed[3, 1] + 1) % 9
+    one, two = (lm_score.window_gradients(params, inputs, x, fresh, np.zeros((2, 3), np.float32), real) for x in (targets, changed))
+    assert np.isclose(one[0], two[0]) and all(np.allclose(one[1][k], two[1][k], atol=1e-6) for k in params)
