@@ -7,8 +7,8 @@ uniform at the bottom. All n-grams of all languages are kept as sorted arrays
 of 64-bit hashes with their counts. The language with the lowest cross-entropy
 per letter wins.
 
-The classifier is fitted on a bounded sample: `DOCS_PER_LANG` documents of each of
-at most `MAX_LANGS` languages, chosen by hash, whole texts. A quarter of the
+The classifier is fitted on a bounded sample: `DOCS_PER_LANG` documents of each
+language, chosen by hash, whole texts. A quarter of the
 sample is held back to fit the temperature of the scores and, per language, the
 cross-entropy above which a text is rejected. Everything else reads all rows.
 """
@@ -25,12 +25,16 @@ from pyspark.sql import functions as F
 
 ORDER = 4
 DOCS_PER_LANG = 800
-MAX_LANGS = 200
 MEMO_BITS = 18
+#: Numbers (n-grams x languages) that a table of n-grams or a step of scoring holds at most, for many languages.
+CELLS = 1 << 24
 SLICE = 1 << 19
-#: A text is rejected when its cross-entropy exceeds this many times the largest one held back,
-#: and the median of held-back texts whose letters were shuffled.
-REJECT_FACTOR = 1.5
+#: A text is rejected when its cross-entropy exceeds the `OWN` quantile of those held back by this
+#: share of the way to the `NOISE` quantile of the same texts with their letters shuffled.
+REJECT_AT = 0.25
+OWN, NOISE = 0.98, 0.05
+#: With fewer texts held back than this only what scores like shuffled letters is rejected.
+FEW_HELD = 5
 #: Languages with fewer documents than this hold none back.
 FEW_DOCS = 20
 UNDETERMINED = "und"
@@ -166,10 +170,11 @@ class Identifier:
     def _bits(self, columns: list[np.ndarray]) -> np.ndarray:
         """-log2 probability by language (columns) of n-grams; those met before come from a table of fixed size."""
         if self._memo is None:
-            self._memo = np.zeros(1 << MEMO_BITS, np.uint64), np.zeros((1 << MEMO_BITS, len(self.langs)), np.float32)
+            size = 1 << min(MEMO_BITS, max(1, (CELLS // len(self.langs)).bit_length() - 1))
+            self._memo = np.zeros(size, np.uint64), np.zeros((size, len(self.langs)), np.float32)
         keys, values = self._memo
         hashes = gram_hash(columns)
-        slot = (hashes >> np.uint64(64 - MEMO_BITS)).astype(np.int64)
+        slot = (hashes >> np.uint64(65 - len(keys).bit_length())).astype(np.int64)
         out = values[slot]
         miss = np.flatnonzero(keys[slot] != hashes)
         if len(miss):
@@ -199,8 +204,9 @@ class Identifier:
         has = np.add.reduceat(points != _SPACE, starts[:-1], dtype=np.int64) > 0
         columns, doc = _windows(points, starts)
         total = np.zeros((len(texts), len(self.langs)))
-        for at in range(0, len(doc), SLICE):
-            part = slice(at, at + SLICE)
+        step = max(1, min(SLICE, CELLS // max(1, len(self.langs))))
+        for at in range(0, len(doc), step):
+            part = slice(at, at + step)
             bits = self._bits([c[part] for c in columns])
             for k in range(len(self.langs)):
                 total[:, k] += np.bincount(doc[part], weights=bits[:, k], minlength=len(texts))
@@ -238,10 +244,13 @@ class Identifier:
         noise, _ = self.cross_entropies(["".join(rng.permutation(list(t))) for t, h in zip(texts, has) if h])
         loss = [np.log(np.exp(-(bits - own[:, None]) / t).sum(axis=1)).mean() for t in grid]
         self.temperature = grid[int(np.argmin(loss))]
+        noise = noise.min(axis=1)
         for k, lang in enumerate(self.langs):
-            if (truth == k).any():
-                shuffled = noise[truth == k].min(axis=1)
-                self.limits[lang] = float(max(own[truth == k].max() * REJECT_FACTOR, np.median(shuffled)))
+            mine = truth == k
+            far = float(np.quantile(noise[mine] if mine.any() else noise, NOISE))
+            near = float(np.quantile(own[mine], OWN)) if mine.sum() >= FEW_HELD else far
+            # Where real texts score no better than shuffled ones, the two can't be told apart and real ones stay.
+            self.limits[lang] = near + REJECT_AT * max(0.0, far - near)
 
 
 def _count_grams(batches):
@@ -267,7 +276,7 @@ def held_out(doc_id: Column, folds: int, fold: int) -> Column:
 def train(spark: SparkSession, labelled: DataFrame, docs_per_lang: int = DOCS_PER_LANG) -> Identifier:
     """Fit an identifier on (doc_id, text, lang); rows with null text or lang are left out."""
     rows = labelled.where("lang is not null and text is not null").select("doc_id", "text", "lang")
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    sizes = rows.groupBy("lang").count().orderBy("lang").collect()
     if not sizes:
         return Identifier({})
     share = spark.createDataFrame(

@@ -191,3 +191,31 @@ def test_filled_places_count_for_nothing():
     changed[3, 1] = (changed[3, 1] + 1) % 9
     one, two = (lm_score.window_gradients(params, inputs, x, fresh, np.zeros((2, 3), np.float32), real) for x in (targets, changed))
     assert np.isclose(one[0], two[0]) and all(np.allclose(one[1][k], two[1][k], atol=1e-6) for k in params)
+
+
+def _identifier(rows, langs):
+    models = {}
+    for lang in langs:
+        columns, _ = language_id._windows(*language_id.letters([r["text"] for r in rows if r["lang"] == lang]))
+        grams, counts = np.unique(np.stack(columns, 1), axis=0, return_counts=True)
+        models[lang] = language_id.KneserNey(grams, counts.astype(float), 40)
+    return language_id.Identifier(models)
+
+
+def test_shuffled_and_unlearned_texts_are_rejected(spark):
+    rows = spark.read.parquet(f"{DATA}/documents.parquet").where("lang is not null and length(text) > 200").orderBy("doc_id").collect()
+    learned, held = rows[::2], rows[1::2]
+    rng = np.random.default_rng(3)
+    mixed = lambda t: "".join(rng.permutation(list(t)))
+    found = _identifier(learned, ["en", "fr"])
+    own = [r for r in held if r["lang"] in ("en", "fr")]
+    # One junk text among the held-back ones must not lift the limit.
+    found.calibrate([r["text"] for r in own] + ["zq xj kvw qqz " * 40], [r["lang"] for r in own] + ["en"])
+    assert found.predict([mixed(r["text"]) for r in own])["rejected"].mean() > 0.97
+    assert found.predict([r["text"] for r in rows if r["lang"] in ("de", "es")])["rejected"].mean() > 0.9
+    assert found.predict([r["text"] for r in own])["rejected"].mean() < 0.03
+
+
+def test_every_language_is_learned(spark):
+    rows = [(i, f"word{chr(97 + i % 26)} text", f"l{i:03d}") for i in range(203)]
+    assert len(language_id.train(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string")).langs) == 203
