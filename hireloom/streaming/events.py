@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -54,20 +56,25 @@ def sliding_hits(events: DataFrame, seconds: int, limit: int) -> DataFrame:
 def accepted_hits(events: DataFrame, seconds: int, limit: int) -> DataFrame:
     """Rate limit by accepted hits only: refused ones don't count against a user."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "event_id"])
-        held: list[float] = []
-        allowed = []
-        for t in pdf["ts"].astype("int64") / 1e9 if pdf["ts"].dtype == "datetime64[ns]" else pdf["ts"].astype("int64") / 1e6:
-            while held and held[0] < t - seconds:
-                held.pop(0)
-            ok = len(held) < limit
-            if ok:
-                held.append(t)
-            allowed.append(ok)
-        return pdf[["event_id", "user_id"]].assign(allowed=allowed)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A partition has whole users in order, so the accepted times of the last user are all that is carried on.
+        user, held = None, deque()
+        for batch in batches:
+            allowed = []
+            for u, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                if u != user:
+                    user, held = u, deque()
+                while held and held[0] < t - seconds * 1_000_000:
+                    held.popleft()
+                allowed.append(len(held) < limit)
+                if allowed[-1]:
+                    held.append(t)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(allowed, pa.bool_())], names=["event_id", "user_id", "allowed"])
 
-    return events.select("event_id", "user_id", "ts").groupBy("user_id").applyInPandas(run, "event_id long, user_id long, allowed boolean")
+    micros = F.coalesce(F.unix_micros("ts"), F.lit(-(1 << 62)))  # events without a time come first
+    rows = events.select(F.col("event_id").cast("long"), F.col("user_id").cast("long"), micros.alias("micros"))
+    ordered = rows.repartition("user_id").sortWithinPartitions("user_id", "micros", "event_id")
+    return ordered.mapInArrow(run, "event_id long, user_id long, allowed boolean")
 
 
 def accepted_stream(events: DataFrame, seconds: int, limit: int) -> DataFrame:
@@ -103,10 +110,16 @@ def lockouts(events: DataFrame, failures: int = 5) -> DataFrame:
 
 
 def run_available(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Run a stream over what is there and return its result table."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Run a stream over what is there and return its result table, which lies as Parquet beside the checkpoint."""
+    spark, out = stream.sparkSession, f"{checkpoint}-out/{name}"
+    spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(out)  # a stream without a row has a result too
+    writer = stream.writeStream.queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    if mode == "append":
+        q = writer.format("parquet").option("path", out).start()
+    else:  # each batch has the whole table
+        q = writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out)).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(out)
 
 
 def ingest(stream: DataFrame, handle, checkpoint: str):

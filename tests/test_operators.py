@@ -94,3 +94,40 @@ def test_rate_limits(spark):
     assert every == {0: 1, 1: 2, 2: 3, 3: 4, 4: 4, 5: 4}
     kept = {r["event_id"]: r["allowed"] for r in ev.accepted_hits(events, 10, 2).collect()}
     assert kept == {0: True, 1: True, 2: False, 3: False, 4: False, 5: True}
+
+
+def test_stream_results_stay_off_the_driver(spark, tmp_path):
+    schema = "event_id long, user_id long, event_type string, ts timestamp"
+    rows = [(i % 50, i % 7, "view", None) for i in range(80)]
+    data = spark.createDataFrame(rows, schema).withColumn("ts", F.timestamp_seconds(F.col("event_id") * 10))
+    data.write.parquet(str(tmp_path / "in"))
+    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "none"))
+    for at, append, complete in (("in", 80, 50), ("none", 0, 0)):
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / at))
+        got = ev.run_available(stream, f"a_{at}", "append", f"file://{tmp_path}/check-a-{at}")
+        assert got.count() == append and (not append or all(f.endswith(".parquet") for f in got.inputFiles()) and got.inputFiles())
+        counted = stream.groupBy("event_id").count()
+        got = ev.run_available(counted, f"c_{at}", "complete", f"file://{tmp_path}/check-c-{at}")
+        assert got.count() == complete and (not complete or got.inputFiles())
+
+
+def test_accepted_hits_over_batches(spark):
+    rows = [(i, [None, 1, 1, (1 << 60) + 1][i % 4], (i * 37) % 1000) for i in range(600)]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, s long").withColumn("ts", F.timestamp_seconds("s")).drop("s")
+    want = {}
+    for user in {r[1] for r in rows}:
+        held = []
+        for i, _, t in sorted((r for r in rows if r[1] == user), key=lambda r: (r[2], r[0])):
+            held = [h for h in held if h >= t - 60]
+            want[i] = (user, len(held) < 3)
+            if want[i][1]:
+                held.append(t)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "50")
+    try:
+        found = ev.accepted_hits(events, 60, 3)
+        got = {r["event_id"]: (r["user_id"], r["allowed"]) for r in found.collect()}
+    finally:
+        spark.conf.set(key, before)
+    assert got == want and "FlatMapGroups" not in found._jdf.queryExecution().toString()
