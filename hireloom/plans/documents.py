@@ -89,6 +89,22 @@ def ngram_counts(v):
     return grams.groupBy("gram").agg(F.count("*").alias("n"))
 
 
+@query("tokenize_all_counts", f"SELECT token, count(*) AS n FROM (SELECT unnest({TOKENS.format('text')}) AS token FROM documents) GROUP BY 1")
+def tokenize_all_counts(v):
+    """Every token of the documents; `tokenize_counts` has the 200 most frequent."""
+    words = _docs(v).select(F.explode(text.tokenize(F.col("text"))).alias("token"))
+    return words.groupBy("token").agg(F.count("*").alias("n"))
+
+
+@query("ngram_document_counts")
+def ngram_document_counts(v):
+    """Tokens and pairs of whole documents; `ngram_counts` has those of the benchmark."""
+    # A column of its own, or every pair would split its document anew.
+    tokens = _docs(v).select(text.tokenize(F.col("text")).alias("t"))
+    grams = tokens.select(F.explode(text.ngrams(F.col("t"), 2)).alias("gram"))
+    return grams.groupBy("gram").agg(F.count("*").alias("n"))
+
+
 @query("chunk_text")
 def chunk_text(v):
     pieces = documents.chunks(_docs(v))

@@ -131,3 +131,23 @@ def test_accepted_hits_over_batches(spark):
     finally:
         spark.conf.set(key, before)
     assert got == want and "FlatMapGroups" not in found._jdf.queryExecution().toString()
+
+
+def test_document_tokens_and_ngrams_are_whole(spark):
+    import re
+    from collections import Counter
+
+    from hireloom.functions.text import STOPWORDS
+    from hireloom.plans import registry
+    from tests.conftest import DATA
+
+    words, grams = Counter(), Counter()
+    for row in spark.read.parquet(f"{DATA}/documents.parquet").collect():
+        found = [t.strip(".") for t in re.findall(r"[a-z0-9+#.]+", (row["text"] or "").lower())]
+        found = [t for t in found if len(t) >= 2 and t not in STOPWORDS]
+        words.update(found)
+        grams.update(found + [f"{a} {b}" for a, b in zip(found, found[1:])])
+    plans = registry.queries()
+    assert len(words) > 200
+    assert {r["token"]: r["n"] for r in plans["tokenize_all_counts"](spark, DATA).collect()} == words
+    assert {r["gram"]: r["n"] for r in plans["ngram_document_counts"](spark, DATA).collect()} == grams
