@@ -66,6 +66,10 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def together(self, frames: list[DataFrame]) -> DataFrame:
+        """Kept tables of one schema as one scan, however many they are."""
+        return self.spark.read.schema(frames[0].schema).parquet(*[df._scratch_path for df in frames])
+
     def drop(self, *frames: DataFrame) -> None:
         for df in frames:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)

@@ -13,24 +13,28 @@ EDGE = "a binary, b binary"
 CHUNK = 1_000_000
 
 
-def _forest(batches):
-    """Replace a partition's edges by stars of its own components; nothing else is lost."""
-    parent: dict[bytes, bytes] = {}
+def _forest(whole: bool):
+    """Replace a partition's edges by stars of its own components; nothing else is lost. `whole`: roots are named too."""
 
-    def root(x):
-        while parent[x] != x:
-            parent[x] = x = parent[parent[x]]
-        return x
+    def run(batches):
+        parent: dict[bytes, bytes] = {}
 
-    for batch in batches:
-        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            parent.setdefault(a, a)
-            parent.setdefault(b, b)
-            ra, rb = root(a), root(b)
-            if ra != rb:
-                parent[max(ra, rb)] = min(ra, rb)
-    stars = [(x, r) for x in parent if (r := root(x)) != x]
-    yield pa.RecordBatch.from_arrays([pa.array([s[k] for s in stars], pa.binary()) for k in (0, 1)], names=["a", "b"])
+        def root(x):
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                parent.setdefault(a, a)
+                parent.setdefault(b, b)
+                ra, rb = root(a), root(b)
+                if ra != rb:
+                    parent[max(ra, rb)] = min(ra, rb)
+        stars = [(x, r) for x in parent if (r := root(x)) != x or whole]
+        yield pa.RecordBatch.from_arrays([pa.array([s[k] for s in stars], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+    return run
 
 
 def connected_components(scratch: Scratch, edges: DataFrame) -> DataFrame:
@@ -43,10 +47,10 @@ def connected_components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """
     own = edges.where("a != b")
     chunks = own.count() // CHUNK + 1
-    stars = scratch.keep(own.coalesce(chunks).mapInArrow(_forest, EDGE), "edges")
+    stars = scratch.keep(own.coalesce(chunks).mapInArrow(_forest(chunks == 1), EDGE), "edges")
     before = None
     if chunks == 1:
-        return _named(stars)
+        return stars.select(F.col("a").alias("node"), F.col("b").alias("root"))
     stars = stars.distinct()
     while True:
         print_ = stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -60,10 +64,5 @@ def connected_components(scratch: Scratch, edges: DataFrame) -> DataFrame:
         small = large.join(down, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         new = scratch.keep(small.unionAll(down.select("a", F.col("m").alias("b"))).distinct(), "edges")
         stars = new
-    return _named(stars)
-
-
-def _named(stars: DataFrame) -> DataFrame:
-    return stars.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(
-        stars.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
-    )
+    roots = stars.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
+    return scratch.keep(stars.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(roots), "components")

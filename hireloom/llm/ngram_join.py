@@ -24,6 +24,7 @@ full of noise and let all their pairs pass.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +36,9 @@ from ._shared import Scratch, small_batches, split_by_key
 from .components import connected_components
 
 ORDER_BITS = 21
-BLOCK_BITS = 16
-#: A shingle that more than this many documents share (above what its cell holds by chance) is split.
+BLOCK_BITS = 14
+#: A shingle that more than this many documents share (above what its cell holds by chance) is split,
+#: and so is a list of more classes than this.
 HOT = 20_000
 BUCKET_SHINGLES = 500_000
 SLICE = 1 << 20
@@ -149,12 +151,15 @@ def _count_cells(k: int, bits: int):
 
 
 def _sum_cells(width: int):
-    def run(table: pa.Table) -> pa.Table:
-        total = np.zeros(width, dtype=np.int64)
-        for raw in table.column("counts"):
-            raw = raw.as_py()
-            total += np.frombuffer(raw, np.uint16 if len(raw) == 2 * width else np.int64)
-        return pa.table({"block": table.column("block").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, block = np.zeros(width, dtype=np.int64), None
+        for batch in batches:
+            block = batch.column(0).slice(0, 1)
+            for raw in batch.column(1):
+                raw = raw.as_py()
+                total += np.frombuffer(raw, np.uint16 if len(raw) == 2 * width else np.int64)
+        most = np.iinfo(np.uint32).max
+        yield pa.RecordBatch.from_arrays([block, pa.array([np.minimum(total, most).astype(np.uint32).tobytes()], pa.binary())], names=["block", "counts"])
 
     return run
 
@@ -163,10 +168,10 @@ def shingle_frequencies(docs: DataFrame, k: int, bits: int) -> np.ndarray:
     """Documents per cell of the shingle space, over all documents: 2**bits numbers."""
     width = min(1 << bits, 1 << BLOCK_BITS)
     parts = docs.select("text").mapInArrow(_count_cells(k, bits), "block int, counts binary")
-    out = np.zeros(1 << bits, dtype=np.int64)
-    for r in parts.groupBy("block").applyInArrow(_sum_cells(width), "block int, counts binary").collect():
-        out[r["block"] * width : (r["block"] + 1) * width] = np.frombuffer(r["counts"], np.int64)
-    return np.minimum(out, np.iinfo(np.uint32).max).astype(np.uint32)
+    out = np.zeros(1 << bits, dtype=np.uint32)
+    for r in parts.groupBy("block").applyInArrow(_sum_cells(width), "block int, counts binary").toLocalIterator():
+        out[r["block"] * width : (r["block"] + 1) * width] = np.frombuffer(r["counts"], np.uint32)
+    return out
 
 
 def parity(own: np.ndarray, bits: int = BITMAP_BITS) -> bytes:
@@ -520,14 +525,19 @@ def _verify(k: int, percent: int):
     return run
 
 
+def row_names() -> tuple:
+    """What tells rows apart: the id (null as the largest) and a hash of id and text."""
+    return F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("row_id"), F.xxhash64("doc_id", "text").alias("row_key")
+
+
 def verify_pairs(scratch: Scratch, docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """The (a, b) of class pairs whose sets are similar enough, by their texts."""
     need = pairs.select(F.col("a").alias("cls")).unionAll(pairs.select(F.col("b").alias("cls"))).distinct()
-    keys = need.join(classes, "cls").select("cls", "row_key")
-    rows = docs.select("text", F.xxhash64("doc_id", "text").alias("row_key"))
-    maybe, _ = split_by_key(rows, keys, ["row_key"])
-    # Rows that repeat have one key and one text; the join has dealt them by it already.
-    texts = scratch.keep(maybe.join(keys, "row_key").groupBy("row_key", "cls").agg(F.min("text").alias("text")).select("cls", "text"), "texts")
+    keys = need.join(classes, "cls").select("cls", "row_id", "row_key")
+    maybe, _ = split_by_key(docs.select("text", *row_names()), keys, ["row_key"])
+    # Rows that repeat have one name and one text; the join has dealt them by it already.
+    named = maybe.join(keys, ["row_id", "row_key"]).groupBy("row_id", "row_key", "cls").agg(F.min("text").alias("text"))
+    texts = scratch.keep(named.select("cls", "text"), "texts")
     left = pairs.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("ta")), "a")
     both = left.join(texts.select(F.col("cls").alias("b"), F.col("text").alias("tb")), "b")
     links = scratch.keep(both.select("a", "b", "ta", "tb").mapInArrow(_verify(k, percent), "a binary, b binary"), "links")
@@ -552,6 +562,12 @@ def near_duplicates(
     Rows that repeat have equal sets and so one component. An empty table
     gives an empty result; other columns are not read.
     """
+    found = near_components(spark, docs, k, percent, order_bits)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
+def near_components(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 75, order_bits: int = ORDER_BITS) -> DataFrame:
+    """`near_duplicates` with more columns: row_id and row_key name the row, root (binary) its component; null without words."""
     with small_batches(spark):
         return _near_duplicates(spark, docs, k, percent, order_bits)
 
@@ -560,19 +576,20 @@ def _near_duplicates(spark: SparkSession, docs: DataFrame, k: int, percent: int,
     scratch = Scratch(spark, "ngram-join")
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
     counts = shingle_frequencies(docs, k, order_bits)
-    cells = spark.sparkContext.broadcast(counts)  # 4 bytes x 2**order_bits, whatever the data
     mean = counts.mean(dtype=np.float64)
     noise = mean + 6 * mean**0.5
+    cells = spark.sparkContext.broadcast(counts)  # 4 bytes x 2**order_bits, whatever the data
+    del counts
     rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_key"))
     info = scratch.keep(
         rows.mapInArrow(_describe(k, percent, cells), "doc_id long, row_key long, n long, cls binary, grp long, prefix binary, bitmap binary, wide binary"), "sets"
     )
     some = info.where("n > 0")
-    first = F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), F.col("row_key").alias("k"))).alias("first")
+    first = F.min(F.struct(row_names()[0], "row_key")).alias("first")
     classes = some.groupBy("cls").agg(
         first, F.min("n").alias("n"), F.min("grp").alias("grp"), F.min("doc_id").alias("doc_id"), F.min("bitmap").alias("bitmap"), F.min("wide").alias("wide")
     )
-    classes = scratch.keep(classes.select("cls", "n", "grp", "doc_id", "bitmap", "wide", F.col("first.k").alias("row_key")), "classes")
+    classes = scratch.keep(classes.select("cls", "n", "grp", "doc_id", "bitmap", "wide", "first.row_id", "first.row_key"), "classes")
 
     total = some.agg(F.sum(F.octet_length("prefix")) / 8).first()[0] or 0
     buckets = max(spark.sparkContext.defaultParallelism, int(total // BUCKET_SHINGLES) + 1)
@@ -580,11 +597,13 @@ def _near_duplicates(spark: SparkSession, docs: DataFrame, k: int, percent: int,
         _scatter(buckets, cells, noise), "bucket int, tok binary, grp binary, n binary, count binary, salt binary"
     )
     found = scratch.keep(packed.groupBy("bucket").applyInArrow(_lists(percent), LIST_SCHEMA), "found")
+    cells.destroy()
     lists = found.where(F.col("salt") != PAIR).groupBy("l1", "l2", "salt").agg(F.first("grps").alias("grps"), F.first("ns").alias("ns"))
     lists = scratch.keep(lists, "lists")
     # A pair of short lists that shares too little is done: if it shares more in longer lists, the later rounds meet it there.
     enough = found.where(F.col("salt") == PAIR).groupBy(F.col("l1").alias("ga"), F.col("l2").alias("gb")).agg(F.sum("weight").alias("w"), F.max("need").alias("need"))
-    enough = enough.where("w >= need").select("ga", "gb")
+    enough = scratch.keep(enough.where("w >= need").select("ga", "gb"), "enough")
+    scratch.drop(found)
     # The parts of a split shingle are tied together by the first group of each.
     heads = (
         lists.where("l2 = -1").select("l1", "l2", "salt", "grps", "ns").mapInArrow(_heads, "l1 long, grp long, n int").groupBy("l1").applyInArrow(_head_list, "grps binary, ns binary")
@@ -592,75 +611,87 @@ def _near_duplicates(spark: SparkSession, docs: DataFrame, k: int, percent: int,
     stars = lists.select("grps", "ns").unionAll(heads).mapInArrow(_star_pairs(percent), "ga long, gb long").unionAll(enough).distinct()
 
     # A group stands for its smallest class; further classes of a group are tied to that one.
-    chosen = classes.groupBy("grp").agg(F.min(F.struct("cls", "n", "bitmap")).alias("c"))
-    one = lambda g, c: chosen.select(F.col("grp").alias(g), F.col("c.cls").alias(c), F.col("c.n").alias(f"n{c}"), F.col("c.bitmap").alias(f"m{c}"))
+    chosen = classes.groupBy("grp").agg(F.min(F.struct("cls", "n", "bitmap")).alias("c"), F.count("*").alias("classes"))
+    chosen = scratch.keep(chosen.select("grp", "c.cls", "c.n", "c.bitmap", "classes"), "groups")
+    one = lambda g, c: chosen.select(F.col("grp").alias(g), F.col("cls").alias(c), F.col("n").alias(f"n{c}"), F.col("bitmap").alias(f"m{c}"))
     expanded = stars.join(one("ga", "a"), "ga").join(one("gb", "b"), "gb").select("a", "b", "na", "nb", "ma", "mb")
+    several = chosen.where("classes > 1")
     own = classes.select("grp", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("bitmap").alias("mb"))
-    members = own.join(one("grp", "a"), "grp").where("a != b").select("a", "b", "na", "nb", "ma", "mb")
+    members = own.join(several.select("grp", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("bitmap").alias("ma")), "grp")
+    members = members.where("a != b").select("a", "b", "na", "nb", "ma", "mb")
     passed = expanded.unionAll(members).mapInArrow(_bounded(percent), "a binary, b binary, apart long")
     passed = passed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "apart").where("a != b").distinct()
     passed = scratch.keep(without_far(classes, passed, percent), "pairs")
     # Most pairs of a group of near copies need no look at the texts: first each class tries its closest partner.
     ends = passed.select(F.col("a").alias("cls"), "a", "b", "apart").unionAll(passed.select(F.col("b").alias("cls"), "a", "b", "apart"))
     closest = ends.groupBy("cls").agg(F.min(F.struct("apart", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
-    tried = scratch.keep(closest, "pairs")
-    links = verify_pairs(scratch, docs, classes, tried, k, percent)
-    roots = scratch.keep(connected_components(scratch, links), "components")
+    tried = [scratch.keep(closest, "tried")]
+    links = [verify_pairs(scratch, docs, classes, tried[0], k, percent)]
+    roots = connected_components(scratch, links[0])
     named = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-    open_ = passed.select("a", "b").join(tried, ["a", "b"], "left_anti").join(named("a"), "a", "left").join(named("b"), "b", "left")
-    open_ = scratch.keep(open_.where("root_a is null or root_b is null or root_a != root_b").select("a", "b"), "pairs")
+    open_ = passed.select("a", "b").join(tried[0], ["a", "b"], "left_anti").join(named("a"), "a", "left").join(named("b"), "b", "left")
+    open_ = scratch.keep(open_.where("root_a is null or root_b is null or root_a != root_b").select("a", "b"), "tried")
+    scratch.drop(passed)
     if not open_.isEmpty():
-        tried = tried.unionAll(open_)
-        links = links.unionAll(verify_pairs(scratch, docs, classes, open_, k, percent))
-        roots = scratch.keep(connected_components(scratch, links), "components")
+        tried.append(open_)
+        links.append(verify_pairs(scratch, docs, classes, open_, k, percent))
+        roots = connected_components(scratch, scratch.together(links))
 
-    shared = lists.select("l1", "l2", "salt", "grps").mapInArrow(_entries, "l1 long, l2 long, salt int, grp long")
-    inside = classes.groupBy("grp").count().where("count > 1")
-    inside = inside.select(F.col("grp").alias("l1"), F.lit(-2).cast("long").alias("l2"), F.lit(-1).alias("salt"), "grp")
+    shared = lists.select("l1", "l2", "salt", "grps").mapInArrow(_entries, "l1 long, l2 long, salt int, grp long").select("l1", "l2", "grp")
+    inside = several.select(F.col("grp").alias("l1"), F.lit(-2).cast("long").alias("l2"), "grp")
     # So do pairs of short lists in which a group has several classes: the first round tried one of each.
-    several = inside.select("grp")
     wide = enough.join(several, F.col("ga") == F.col("grp"), "left_semi").unionAll(enough.join(several, F.col("gb") == F.col("grp"), "left_semi"))
-    wide = wide.distinct().select(F.xxhash64("ga", "gb").alias("l1"), F.lit(-3).cast("long").alias("l2"), F.lit(-1).alias("salt"), F.explode(F.array("ga", "gb")).alias("grp"))
-    entries = shared.unionAll(inside).unionAll(wide)
-    most, former = NEAREST, None
+    wide = wide.distinct().select(F.xxhash64("ga", "gb").alias("l1"), F.lit(-3).cast("long").alias("l2"), F.explode(F.array("ga", "gb")).alias("grp"))
+    tied = scratch.keep(inside.unionAll(wide), "tied")
+    entries, former = shared.unionAll(tied), [lists, enough, tied]
+    most = NEAREST
     while True:
         placed = classes.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").select(
-            "cls", "grp", F.coalesce("root", "cls").alias("root")
+            "cls", "grp", "n", "bitmap", F.coalesce("root", "cls").alias("root")
         )
-        here = entries.join(placed.groupBy("grp").agg(F.min("root").alias("lo"), F.max("root").alias("hi")), "grp")
-        mixed = here.groupBy("l1", "l2").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo != hi").select("l1", "l2")
+        placed = scratch.keep(placed, "placed")
+        here = entries.join(placed.groupBy("grp").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("classes")), "grp")
+        mixed = here.groupBy("l1", "l2").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("classes").alias("size")).where("lo != hi")
         # Lists of one component stay so; they are left out from here on.
-        apart = scratch.keep(entries.join(mixed, ["l1", "l2"], "left_semi"), "apart")
-        if former is not None:
-            scratch.drop(former)
-        former = apart
-        full = apart.join(placed, "grp").join(classes.select("cls", "n", "bitmap"), "cls")
+        apart = scratch.keep(entries.join(mixed.select("l1", "l2", "size"), ["l1", "l2"]).select("l1", "l2", "size", "grp"), "apart")
+        scratch.drop(*former)
+        former = [apart, placed]
+        # A long list is dealt to parts of about `HOT` classes, which are crossed part by part.
+        parts = F.ceil(F.col("size") / F.lit(HOT))
+        full = apart.join(placed, "grp").withColumn("part", F.when(parts > 1, F.pmod(F.xxhash64("cls"), parts)).otherwise(0))
         member = F.struct("n", F.concat("cls", "root", "bitmap").alias("m"))
-        parts = full.groupBy("l1", "l2", "salt").agg(F.sort_array(F.collect_list(member)).alias("members"))  # by size; at most about `HOT`
-        alone = parts.select("members", F.array().cast("array<struct<n:bigint,m:binary>>").alias("other"), "l1", "l2")
-        x, y = parts.where("l2 = -1").alias("x"), parts.where("l2 = -1").alias("y")
-        crossed = x.join(y, (F.col("x.l1") == F.col("y.l1")) & (F.col("x.salt") < F.col("y.salt"))).select("x.members", F.col("y.members").alias("other"), "x.l1", "x.l2")
-        found = scratch.keep(alone.unionAll(crossed).mapInArrow(_closest(percent, most), "a binary, b binary, l1 long, l2 long"), "closest")
-        new = found.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti").withColumn("apart", F.lit(0).cast("long"))
-        new = scratch.keep(without_far(classes, new, percent).select("a", "b"), "pairs")
+        gathered = full.groupBy("l1", "l2", "part").agg(F.sort_array(F.collect_list(member)).alias("members"))  # by size
+        pairs = gathered.select("members", F.array().cast("array<struct<n:bigint,m:binary>>").alias("other"), "l1", "l2")
+        if not apart.where(F.col("size") > F.lit(HOT)).isEmpty():
+            long_ = full.where(F.col("size") > F.lit(HOT)).groupBy("l1", "l2", "part").agg(F.sort_array(F.collect_list(member)).alias("members"))
+            x, y = long_.alias("x"), long_.alias("y")
+            crossed = x.join(y, (F.col("x.l1") == F.col("y.l1")) & (F.col("x.l2") == F.col("y.l2")) & (F.col("x.part") < F.col("y.part")))
+            pairs = pairs.unionAll(crossed.select("x.members", F.col("y.members").alias("other"), "x.l1", "x.l2"))
+        found = scratch.keep(pairs.mapInArrow(_closest(percent, most), "a binary, b binary, l1 long, l2 long"), "closest")
+        new = found.select("a", "b").distinct().join(scratch.together(tried), ["a", "b"], "left_anti").withColumn("apart", F.lit(0).cast("long"))
+        new = scratch.keep(without_far(classes, new, percent).select("a", "b"), "tried")
         if not new.isEmpty():
-            late = verify_pairs(scratch, docs, classes, new, k, percent)
-            tried = tried.unionAll(new)
-            if not late.isEmpty():
-                links = links.unionAll(late)
-                roots = scratch.keep(connected_components(scratch, links), "components")
+            tried.append(new)
+            links.append(verify_pairs(scratch, docs, classes, new, k, percent))
+            roots = connected_components(scratch, scratch.together(links))
         # A list that named all its pairs is done; only those that had more go on.
-        more = found.where("l1 is not null").select("l1", "l2").distinct()
+        more = scratch.keep(found.where("l1 is not null").select("l1", "l2").distinct(), "more")
+        scratch.drop(found)
         if more.isEmpty():
             break
-        entries = apart.join(more, ["l1", "l2"], "left_semi")
+        entries = apart.select("l1", "l2", "grp").join(more, ["l1", "l2"], "left_semi")
+        former.append(more)
         most *= 4
-
-    named = classes.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    by_class = named.select("cls", "root").join(smallest, "root").select("cls", "component_id")
-    out = info.select("doc_id", "n", "cls").join(by_class, "cls", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    scratch.drop(*former)
+
+    by_class = classes.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").select("cls", "doc_id", F.coalesce("root", "cls").alias("root"))
+    smallest = by_class.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    by_class = scratch.keep(by_class.select("cls", "root").join(smallest, "root").select("cls", "root", "component_id"), "named")
+    out = info.select("doc_id", "row_key", "n", "cls").join(by_class, "cls", "left")
+    return out.select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        row_names()[0], "row_key", F.when(F.col("n") > 0, F.col("root")).alias("root"),
+    )
 
 
 def _heads(batches):
@@ -685,22 +716,30 @@ def _head_list(table: pa.Table) -> pa.Table:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
-    """`docs` with one document of each component, the one with the smallest id; all columns as they were.
+    """`docs` with one row of each component, the one with the smallest id; all columns as they were.
 
-    Documents without words all stay. If rows repeat the smallest id, one of them stays.
+    Null ids come last, and of rows with one id and different texts any may
+    stay. Rows that repeat are one component, so one of them stays. Rows
+    without words (null and empty texts too) link with nothing and all stay.
+    Whole texts count, however long. An empty table gives an empty result, and
+    columns of any name are carried through.
     """
     from pyspark.sql import Window as W
 
     scratch = Scratch(spark, "near-dedup")
-    found = near_duplicates(spark, docs, k, percent)
-    counted = scratch.keep(found.where("component_id is not null"), "found")
-    drop = counted.where("doc_id is null or doc_id != component_id").select(F.col("doc_id").alias("__id")).distinct()
-    twice = counted.where("doc_id = component_id and n_shingles > 0").groupBy("component_id").count().where("count > 1").select(F.col("component_id").alias("__id"))
-    keyed = docs.withColumn("__id", docs["doc_id"].cast("long"))
-    marked = scratch.keep(drop.withColumn("__drop", F.lit(True)).unionAll(twice.withColumn("__drop", F.lit(False))), "drop")
-    suspects, clear = split_by_key(keyed, marked, ["__id"])
-    joined = suspects.join(marked.groupBy("__id").agg(F.max("__drop").alias("__drop")), "__id", "left")
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    single = joined.where("__drop is null")
-    again = joined.where("not __drop").withColumn("__k", F.row_number().over(W.partitionBy("__id").orderBy("__drop"))).where("__k = 1")
-    return clear.select(*names).unionAll(single.select(*names)).unionAll(again.select(*names))
+    found = scratch.keep(near_components(spark, docs, k, percent).where("root is not null").select("row_id", "row_key", "root"), "found")
+    stays = found.groupBy("root").agg(F.min(F.struct("row_id", "row_key")).alias("s")).select("s.row_id", "s.row_key")
+    # Most rows have a component of their own: they are named once and stay where they are.
+    several = found.groupBy("root").count().where("count > 1").select("root")
+    marked = found.join(several, "root", "left_semi").select("row_id", "row_key").distinct().join(stays.withColumn("stays", F.lit(True)), ["row_id", "row_key"], "left")
+    marked = scratch.keep(marked, "marked")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    keyed = docs.select(whole, F.coalesce(docs["doc_id"].cast("long"), F.lit((1 << 63) - 1)).alias("row_id"), F.xxhash64(docs["doc_id"].cast("long"), docs["text"]).alias("row_key"))
+    suspects, clear = split_by_key(keyed, marked, ["row_id", "row_key"])
+    joined = suspects.join(marked.withColumn("seen", F.lit(True)), ["row_id", "row_key"], "left")
+    single = joined.where("seen is null")
+    # Rows that repeat share a name: one of each task, then one of all.
+    again = joined.where("stays").withColumn("task", F.spark_partition_id())
+    for names in (["row_id", "row_key", "task"], ["row_id", "row_key"]):
+        again = again.withColumn("nth", F.row_number().over(W.partitionBy(*names).orderBy("task"))).where("nth = 1")
+    return clear.select("doc.*").unionAll(single.select("doc.*")).unionAll(again.select("doc.*"))

@@ -86,6 +86,44 @@ def test_split_lists_lose_no_link(spark, docs, corpus, monkeypatch):
     assert Counter(tuple(r) for r in got.collect()) == brute_components(corpus)
 
 
+def test_a_group_of_many_classes_is_split(spark, monkeypatch):
+    """Sets that share prefix and size are one group; with a tiny bound it is dealt to many parts and loses no link."""
+    from itertools import combinations
+
+    passage = lambda name, n: [f"{name}{i}" for i in range(n)]
+    gap = passage("gap", 8)
+    often = [passage(f"often{k}x", 12) for k in range(7)]
+    shared = passage("shared", 26)
+    rows = []
+    for i, chosen in enumerate(combinations(range(7), 3)):
+        words = shared + gap
+        for k in chosen:
+            words = words + often[k] + gap
+        rows.append((i, " ".join(words)))
+    for i in range(60):  # these make the passages commoner than what the group shares
+        rows.append((100 + i, " ".join(passage(f"own{i}x", 200) + gap + [w for o in often for w in o + gap])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute_components(rows)
+    for hot, nearest in ((4, 1), (ngram_join.HOT, ngram_join.NEAREST)):
+        monkeypatch.setattr(ngram_join, "HOT", hot)
+        monkeypatch.setattr(ngram_join, "NEAREST", nearest)
+        assert Counter(tuple(r) for r in ngram_join.near_duplicates(spark, docs, order_bits=16).collect()) == want
+
+
+def test_rows_and_not_ids_are_kept(spark):
+    """Null ids, an id with two texts, repeated rows and clashing names: one row of each component stays."""
+    one, two = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(None, one), (None, one + " x"), (7, two), (7, "alone in the world it is"), (8, two + " y"), (9, "same row"), (9, "same row"), (9, "same row"), (None, None), (3, "")]
+    names = ["__id", "__drop", "__bucket", "row_key", "root", "doc", "n", "part", "a.b"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select("*", *[ngram_join.F.lit(k).alias(c) for k, c in enumerate(names)])
+    kept = ngram_join.drop_near_duplicates(spark, docs.repartition(3))
+    assert kept.columns == docs.columns
+    got = Counter((r["doc_id"], r["text"]) for r in kept.collect())
+    assert all(tuple(r)[2:] == tuple(range(len(names))) for r in kept.collect())
+    assert got.pop((None, one), 0) + got.pop((None, one + " x"), 0) == 1
+    assert got == {(7, two): 1, (7, "alone in the world it is"): 1, (9, "same row"): 1, (None, None): 1, (3, ""): 1}
+
+
 def test_wide_bitmaps_bound_the_difference():
     rng = np.random.default_rng(5)
     pool = np.unique(rng.integers(0, 1 << 63, 9_000).astype(np.uint64))
