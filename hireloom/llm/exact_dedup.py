@@ -4,10 +4,12 @@ Every map task fills a memtable of (digest, identifier) and flushes it as
 sorted runs without repeats, one per index shard, each with a Bloom filter. A shard's task
 compacts its runs tier by tier; equal digests meet there and the smallest
 identifier stays. Digests that stand for more than one row are *hits*, and the
-texts of hits are compared byte for byte with the text of the row that stays.
+texts of hits are compared byte for byte: the smallest and the largest text of
+a digest must be one, and both are found with a partial sum in the map tasks.
 
 Copies collapse in the memtables before anything is shuffled, so a group that
-holds a third of all rows costs a shard one entry per memtable.
+holds a third of all rows costs a shard one entry per memtable, and its texts
+cost the check one text per map task.
 """
 
 from __future__ import annotations
@@ -20,24 +22,25 @@ from pyspark.sql import functions as F
 
 from ._shared import Scratch, split_by_key
 
-MEMTABLE_ROWS = 131_072
-SHARD_ROWS = 500_000
+MEMTABLE_ROWS = 262_144
+SHARD_ROWS = 1_000_000
+#: Groups that hold at least this share of all rows are named to every task; there are at most as many as this goes into 1.
+HOT_SHARE = 1 / 10_000
 FILTER_BITS_PER_KEY = 10
 FILTER_HASHES = 4
 TIER = 4
-NO_ID = np.iinfo(np.int64).max
 
-RUN_SCHEMA = "shard int, entries int, digests binary, idents binary, counts binary, filter binary"
+RUN_SCHEMA = "shard int, digests binary, idents binary, known binary, counts binary, filter binary"
 ENTRY_SCHEMA = "digest binary, ident long, n long"
 
 
 class Run:
-    """A sorted run: digests without repeats, the smallest identifier and the row count of each."""
+    """A sorted run: digests without repeats; of each the smallest identifier, the rows that have one, and all its rows."""
 
-    __slots__ = ("digests", "idents", "counts", "filter")
+    __slots__ = ("digests", "idents", "known", "counts", "filter")
 
-    def __init__(self, digests, idents, counts, filter_=None):
-        self.digests, self.idents, self.counts = digests, idents, counts
+    def __init__(self, digests, idents, known, counts, filter_=None):
+        self.digests, self.idents, self.known, self.counts = digests, idents, known, counts
         self.filter = bloom(digests) if filter_ is None else filter_
 
 
@@ -65,13 +68,14 @@ def may_contain(filter_: np.ndarray, digests: np.ndarray) -> np.ndarray:
     return found
 
 
-def flush(digests: np.ndarray, idents: np.ndarray) -> Run:
-    """Memtable to run: sort, keep the smallest identifier of a digest, count rows."""
-    order = np.lexsort((idents, digests))
-    digests, idents = digests[order], idents[order]
+def flush(digests: np.ndarray, idents: np.ndarray, has: np.ndarray | None = None) -> Run:
+    """Memtable to run: sort, keep the smallest identifier of a digest, count rows. `has`: which identifiers aren't null."""
+    has = np.ones(len(digests), bool) if has is None else has
+    order = np.lexsort((idents, ~has, digests))
+    digests, idents, has = digests[order], idents[order], has[order]
     first = np.flatnonzero(np.concatenate(([True], digests[1:] != digests[:-1])))
     counts = np.diff(np.append(first, len(digests)))
-    return Run(digests[first], idents[first], counts.astype(np.int64))
+    return Run(digests[first], idents[first], np.add.reduceat(has.astype(np.int64), first), counts.astype(np.int64))
 
 
 def merge(a: Run, b: Run) -> Run:
@@ -85,15 +89,16 @@ def merge(a: Run, b: Run) -> Run:
         equal = a.digests[at] == b.digests[maybe]
         same[maybe[equal]] = at[equal]
     hit, new = np.flatnonzero(same >= 0), np.flatnonzero(same < 0)
-    idents, counts = a.idents.copy(), a.counts.copy()
-    idents[same[hit]] = np.minimum(idents[same[hit]], b.idents[hit])
-    counts[same[hit]] += b.counts[hit]
+    idents, known, counts = a.idents.copy(), a.known.copy(), a.counts.copy()
+    here, theirs = same[hit], b.idents[hit]
+    # An identifier counts only where a row has one.
+    smaller = np.where(known[here] == 0, theirs, np.where(b.known[hit] == 0, idents[here], np.minimum(idents[here], theirs)))
+    idents[here] = smaller
+    known[here] += b.known[hit]
+    counts[here] += b.counts[hit]
     place = np.searchsorted(a.digests, b.digests[new])
-    return Run(
-        np.insert(a.digests, place, b.digests[new]),
-        np.insert(idents, place, b.idents[new]),
-        np.insert(counts, place, b.counts[new]),
-    )
+    both = ((a.digests, b.digests), (idents, b.idents), (known, b.known), (counts, b.counts))
+    return Run(*(np.insert(x, place, y[new]) for x, y in both))
 
 
 def compact(runs: list[Run]) -> Run:
@@ -122,25 +127,22 @@ def _flush_partition(shards: int):
         held, rows = [], 0
 
         def out():
-            digests = np.concatenate([d for d, _ in held])
-            idents = np.concatenate([i for _, i in held])
-            table = flush(digests, idents)
+            table = flush(*(np.concatenate(x) for x in zip(*held)))
             shard = (_words(table.digests)[:, 0] % np.uint64(shards)).astype(np.int64)
             records = []
             for s in np.unique(shard):
                 at = np.flatnonzero(shard == s)
-                part = Run(table.digests[at], table.idents[at], table.counts[at])
-                records.append((int(s), len(at), part.digests.tobytes(), part.idents.tobytes(), part.counts.tobytes(), part.filter.tobytes()))
+                part = Run(table.digests[at], table.idents[at], table.known[at], table.counts[at])
+                records.append((int(s), *(x.tobytes() for x in (part.digests, part.idents, part.known, part.counts, part.filter))))
             cols = list(zip(*records))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32())] + [pa.array(c, pa.binary()) for c in cols[2:]],
-                names=["shard", "entries", "digests", "idents", "counts", "filter"],
-            )
+            names = [f.split()[0] for f in RUN_SCHEMA.split(", ")]
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32())] + [pa.array(c, pa.binary()) for c in cols[1:]], names=names)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            held.append((np.array(batch.column(0).to_pylist(), dtype="S32"), batch.column(1).to_numpy(zero_copy_only=False)))
+            ids = batch.column(1)
+            held.append((np.array(batch.column(0).to_pylist(), dtype="S32"), ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_valid().to_numpy(zero_copy_only=False)))
             rows += batch.num_rows
             if rows >= MEMTABLE_ROWS:
                 yield out()
@@ -152,16 +154,14 @@ def _flush_partition(shards: int):
 
 
 def _compact_shard(table: pa.Table) -> pa.Table:
-    runs = [
-        Run(np.frombuffer(d, "S32"), np.frombuffer(i, np.int64), np.frombuffer(c, np.int64), np.frombuffer(f, np.uint8))
-        for d, i, c, f in zip(*(table.column(x).to_pylist() for x in ("digests", "idents", "counts", "filter")))
-    ]
-    done = compact(runs)
+    kinds = ("S32", np.int64, np.int64, np.int64, np.uint8)
+    columns = (table.column(x).to_pylist() for x in ("digests", "idents", "known", "counts", "filter"))
+    done = compact([Run(*(np.frombuffer(raw, kind) for raw, kind in zip(row, kinds))) for row in zip(*columns)])
     raw = done.digests.tobytes()
     return pa.table(
         {
             "digest": pa.array([raw[i : i + 32] for i in range(0, len(raw), 32)], pa.binary()),
-            "ident": pa.array(done.idents),
+            "ident": pa.array(done.idents, mask=done.known == 0),
             "n": pa.array(done.counts),
         }
     )
@@ -170,48 +170,61 @@ def _compact_shard(table: pa.Table) -> pa.Table:
 def build_index(keyed: DataFrame, shards: int) -> DataFrame:
     """LSM index of (digest binary, ident long) rows: one entry (digest, ident, n) per digest.
 
-    `ident` of an entry is the smallest of its rows.
+    `ident` of an entry is the smallest of its rows; null if none has one.
     """
     runs = keyed.select("digest", "ident").mapInArrow(_flush_partition(shards), RUN_SCHEMA)
     return runs.groupBy("shard").applyInArrow(_compact_shard, ENTRY_SCHEMA)
 
 
 def _ident(doc_id: Column, keep: str) -> Column:
-    """Identifiers order so that the smallest is the row to keep; null ids come last."""
-    return F.coalesce(F.bitwise_not(doc_id) if keep == "largest" else doc_id, F.lit(int(NO_ID)))
+    """Identifiers order so that the smallest is the row to keep; complementing one twice gives it back."""
+    return F.bitwise_not(doc_id.cast("long")) if keep == "largest" else doc_id.cast("long")
 
 
-def _doc_id(ident: Column, keep: str) -> Column:
-    back = F.bitwise_not(ident) if keep == "largest" else ident
-    return F.when(ident != F.lit(int(NO_ID)), back)
+def _digest(text: Column) -> Column:
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
 
 
-def _keyed(docs: DataFrame, keep: str) -> DataFrame:
-    text = F.coalesce(docs["text"], F.lit(""))
-    return docs.withColumn("__digest", F.unhex(F.sha2(text, 256))).withColumn("__ident", _ident(docs["doc_id"].cast("long"), keep))
+class Found:
+    """The index of a table's texts: `rows` (doc_id, digest, ident), `entries` and the `hits` among them."""
 
+    def __init__(self, spark: SparkSession, docs: DataFrame, keep: str):
+        self.scratch = Scratch(spark, "exact-dedup")
+        rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), _digest(docs["text"]).alias("digest"), _ident(docs["doc_id"], keep).alias("ident"))
+        self.rows = self.scratch.keep(rows, "rows")
+        self.n = self.rows.count()
+        shards = max(spark.sparkContext.defaultParallelism, -(-self.n // SHARD_ROWS))
+        self.entries = self.scratch.keep(build_index(self.rows, shards), "index")
+        self.hits = self.entries.where("n > 1").select("digest", F.col("ident").alias("keep"), "n")
 
-def find_hits(spark: SparkSession, docs: DataFrame, keep: str = "largest", scratch: Scratch | None = None) -> DataFrame:
-    """Groups of two or more rows with the same text: (__digest, __keep, __n), byte-verified.
+    def verify(self, docs: DataFrame) -> None:
+        """Compare the texts of hits byte for byte.
+
+        Raises ValueError if two different texts share a digest; no such pair of
+        texts is known for SHA-256, and none would be merged silently.
+        """
+        keyed = docs.select(F.coalesce(docs["text"], F.lit("")).alias("text"), _digest(docs["text"]).alias("digest"))
+        suspects, _ = split_by_key(keyed, self.hits, ["digest"])
+        apart = suspects.groupBy("digest").agg(F.min("text").alias("least"), F.max("text").alias("most")).where("least != most")
+        if apart.count():
+            raise ValueError("two different texts have the same SHA-256 digest")
+
+    def grouped(self) -> DataFrame:
+        """`rows` with keep and n of their group; null for texts that occur once."""
+        hot = self.hits.where(F.col("n") >= F.lit(max(2, int(self.n * HOT_SHARE)))).select("digest", F.col("keep").alias("hot_keep"), F.col("n").alias("hot_n"))
+        marked = self.rows.join(F.broadcast(hot), "digest", "left")  # at most 1 / HOT_SHARE rows
+        # Rows of hot groups are done; their key matches nothing and deals them evenly.
+        key = F.when(F.col("hot_n").isNull(), F.col("digest")).otherwise(F.concat("digest", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
+        joined = marked.withColumn("key", key).join(self.hits.select(F.col("digest").alias("key"), "keep", "n"), "key", "left")
+        return joined.select("doc_id", "digest", "ident", F.coalesce("hot_keep", "keep").alias("keep"), F.coalesce("hot_n", "n").alias("n"))
 
-    Raises ValueError if two different texts share a digest; no such pair of
-    texts is known for SHA-256, and none would be merged silently.
-    """
-    scratch = scratch or Scratch(spark, "exact-dedup")
-    rows = docs.count()
-    shards = max(spark.sparkContext.defaultParallelism, -(-rows // SHARD_ROWS))
-    keyed = _keyed(docs, keep)
-    index = build_index(keyed.select(F.col("__digest").alias("digest"), F.col("__ident").alias("ident")), shards)
-    hits = scratch.keep(
-        index.where("n > 1").select(F.col("digest").alias("__digest"), F.col("ident").alias("__keep"), F.col("n").alias("__n")), "hits"
-    )
-    suspects, _ = split_by_key(keyed.select("__digest", "__ident", F.coalesce("text", F.lit("")).alias("__text")), hits, ["__digest"])
-    suspects = suspects.join(hits, "__digest")
-    stays = suspects.where("__ident = __keep").groupBy("__digest").agg(F.min("__text").alias("__kept_text"))
-    differing = suspects.join(stays, "__digest").where("__text != __kept_text")
-    if not differing.isEmpty():
-        raise ValueError("two different texts have the same SHA-256 digest")
-    return hits
+
+def _one_of_each(rows: DataFrame, names: list[str]) -> DataFrame:
+    """One of the rows that share the values of `names`: first one of each task, then one of all."""
+    rows = rows.withColumn("task", F.spark_partition_id())
+    for group in ([*names, "task"], names):
+        rows = rows.withColumn("nth", F.row_number().over(W.partitionBy(*group).orderBy("task"))).where("nth = 1")
+    return rows.drop("task", "nth")
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, keep: str = "largest") -> DataFrame:
@@ -220,31 +233,40 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, keep: str = "largest"
     Null text counts as empty; empty texts are equal to each other. Of rows
     with equal text the one with the largest (or smallest) doc_id stays; null
     ids lose to all others. If the row that stays occurs several times with
-    one doc_id, one of its occurrences is kept. An empty table gives an empty
-    result, and other columns of `docs` are not read.
+    one doc_id, one of its occurrences is kept. Whole texts count, however
+    long. An empty table gives an empty result, and other columns of `docs`
+    are not read.
     """
     docs = docs.select(docs["doc_id"], docs["text"])
-    hits = find_hits(spark, docs, keep)
-    keyed = _keyed(docs, keep).select("doc_id", "__digest", "__ident")
-    joined = keyed.join(hits, "__digest", "left")
-    one, many = joined.where("__n is null or __ident != __keep"), joined.where("__ident = __keep")
-    many = many.withColumn("__k", F.row_number().over(W.partitionBy("__digest").orderBy("__ident")))
-    both = one.withColumn("__kept", F.col("__n").isNull()).unionByName(many.withColumn("__kept", F.col("__k") == 1).drop("__k"))
-    return both.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        _doc_id(F.coalesce("__keep", "__ident"), keep).alias("keep_id"),
-        F.coalesce("__n", F.lit(1)).cast("long").alias("group_size"),
-        F.col("__kept").alias("kept"),
-        F.lower(F.hex("__digest")).alias("text_sha256"),
-    )
+    found = Found(spark, docs, keep)
+    found.verify(docs)
+    grouped = found.scratch.keep(found.grouped(), "grouped")
+    stays = F.col("n").isNotNull() & F.col("ident").eqNullSafe(F.col("keep"))
+    many = grouped.where(stays).withColumn("task", F.spark_partition_id())
+    nth = {}
+    for name, group in (("in_task", ["digest", "task"]), ("in_all", ["digest", "in_task"])):
+        nth[name] = F.row_number().over(W.partitionBy(*group).orderBy("task"))
+        many = many.withColumn(name, nth[name])
+    many = many.withColumn("kept", (F.col("in_task") == 1) & (F.col("in_all") == 1)).drop("task", "in_task", "in_all")
+    both = grouped.where(~stays).withColumn("kept", F.col("n").isNull()).unionByName(many)
+    keep_id = F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(_ident(F.col("keep"), keep))
+    return both.select("doc_id", keep_id.alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def drop_exact_duplicates(spark: SparkSession, docs: DataFrame, keep: str = "largest") -> DataFrame:
-    """`docs` without the rows that `exact_duplicates` doesn't keep, all columns as they were."""
-    hits = find_hits(spark, docs, keep)
-    suspects, clear = split_by_key(_keyed(docs, keep), hits, ["__digest"])
-    joined = suspects.join(hits, "__digest", "left")
-    single = joined.where("__n is null")
-    stays = joined.where("__ident = __keep").withColumn("__k", F.row_number().over(W.partitionBy("__digest").orderBy("__ident"))).where("__k = 1")
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    return clear.select(*names).unionAll(single.select(*names)).unionAll(stays.select(*names))
+    """`docs` without the rows that `exact_duplicates` doesn't keep, all columns as they were.
+
+    Null text counts as empty, so one of the rows without text stays. Null ids
+    lose to all others; of rows that repeat one stays. Whole texts count,
+    however long. An empty table gives an empty result, and columns of any
+    name are carried through.
+    """
+    found = Found(spark, docs, keep)
+    found.verify(docs)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    keyed = docs.select(whole, _digest(docs["text"]).alias("digest"), _ident(docs["doc_id"], keep).alias("ident"))
+    suspects, clear = split_by_key(keyed, found.hits, ["digest"])
+    # Every text that may be meant has one entry, and with its identifier a key that is spread however large the group.
+    entries, _ = split_by_key(found.entries.select("digest", F.col("ident").alias("keep")), found.hits, ["digest"])
+    stays = suspects.join(entries.withColumnRenamed("digest", "key"), (F.col("digest") == F.col("key")) & F.col("ident").eqNullSafe(F.col("keep")))
+    return clear.select("doc.*").unionAll(_one_of_each(stays, ["digest", "ident"]).select("doc.*"))

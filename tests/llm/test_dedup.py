@@ -3,6 +3,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from hireloom.llm import exact_dedup, ngram_join
 from hireloom.llm._shared import Scratch
@@ -41,6 +42,28 @@ def test_exact_duplicates(spark, docs, corpus, empty):
     assert exact_dedup.exact_duplicates(spark, empty).count() == 0 == exact_dedup.drop_exact_duplicates(spark, empty).count()
 
 
+def test_ids_at_both_ends_nulls_and_clashing_names(spark):
+    low, high = -(1 << 63), (1 << 63) - 1
+    rows = [(low, "a"), (high, "b"), (low, "c"), (3, "c"), (high, "d"), (4, "d"), (None, "e"), (low, "e"), (None, "f"), (None, "f"), (9, "g"), (9, "g"), (None, None), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select("*", *[F.lit(c).alias(c) for c in ("__digest", "__ident", "digest", "ident", "keep", "key", "n", "task", "doc", "a.b")])
+    docs = docs.repartition(3)
+    for keep, pick in (("largest", max), ("smallest", min)):
+        groups = defaultdict(list)
+        for i, t in rows:
+            groups[t or ""].append(i)
+        want = Counter()
+        stays = {t: pick([i for i in ids if i is not None], default=None) for t, ids in groups.items()}
+        for i, t in rows:
+            want[(i, stays[t or ""], len(groups[t or ""]))] += 1
+        got = exact_dedup.exact_duplicates(spark, docs, keep).collect()
+        assert Counter((r["doc_id"], r["keep_id"], r["group_size"]) for r in got) == want
+        assert Counter(r["text_sha256"] for r in got if r["kept"]) == Counter(hashlib.sha256(t.encode()).hexdigest() for t in groups)
+        assert all(r["doc_id"] == r["keep_id"] for r in got if r["kept"])
+        kept = exact_dedup.drop_exact_duplicates(spark, docs, keep)
+        assert kept.columns == docs.columns and Counter((r["doc_id"], r["text"] or "") for r in kept.collect()) == Counter((i, t) for t, i in stays.items())
+        assert all(r["__digest"] == "__digest" and r["keep"] == "keep" for r in kept.collect())
+
+
 def test_smallest_id_can_stay(spark, docs):
     rows = exact_dedup.exact_duplicates(spark, docs, keep="smallest").where("doc_id between 75 and 84").collect()
     assert {r["keep_id"] for r in rows} == {75}
