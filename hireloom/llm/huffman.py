@@ -19,13 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import Scratch, running_total
+from ._shared import Scratch, running_total, tidy
 from .tokens import encoder, tokenizer_path
 
 MAX_BITS = 18
 CHECKPOINT = 256
 BLOCK_IDS = 65_536
-BLOCK_SCHEMA = "part int, seq int, n_ids long, doc_ids binary, doc_lens binary, bits binary, checkpoints binary"
+BLOCK_SCHEMA = "part int, seq int, n_ids long, doc_ids binary, doc_nulls binary, doc_lens binary, bits binary, checkpoints binary"
 
 
 def code_lengths(counts: np.ndarray, max_bits: int = MAX_BITS) -> np.ndarray:
@@ -94,7 +94,7 @@ def write_bits(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tuple
     high = np.bincount(word, weights=(value >> np.uint64(32)).astype(np.float64), minlength=words)
     low = np.bincount(word + 1, weights=(value & np.uint64(0xFFFFFFFF)).astype(np.float64), minlength=words)
     raw = (high[:words] + low[:words]).astype(np.uint64).astype(">u4").tobytes()
-    return raw[: (int(ends[-1]) + 7) // 8 if len(ids) else 0], at[::CHECKPOINT].astype("<u4")
+    return raw[: (int(ends[-1]) + 7) // 8 if len(ids) else 0], at[::CHECKPOINT].astype("<u8")
 
 
 def read_bits(raw: bytes, checkpoints: np.ndarray, n: int, table: np.ndarray, max_bits: int = MAX_BITS) -> np.ndarray:
@@ -150,10 +150,11 @@ def _write_blocks(lengths: np.ndarray):
         def block():
             ids = np.concatenate([_unpack(raw, n) for _, n, raw in held])
             bits, marks = write_bits(ids, codes, lengths)
-            doc_ids = np.array([NO_DOC if d is None else d for d, _, _ in held], dtype="<i8")
+            doc_ids = np.array([0 if d is None else d for d, _, _ in held], dtype="<i8")
+            nulls = np.packbits([d is None for d, _, _ in held])
             lens = np.array([n for _, n, _ in held], dtype="<i8")
-            cols = [part, seq, len(ids), doc_ids.tobytes(), lens.tobytes(), bits, marks.tobytes()]
-            types = [pa.int32(), pa.int32(), pa.int64()] + [pa.binary()] * 4
+            cols = [part, seq, len(ids), doc_ids.tobytes(), nulls.tobytes(), lens.tobytes(), bits, marks.tobytes()]
+            types = [pa.int32(), pa.int32(), pa.int64()] + [pa.binary()] * 5
             return pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cols, types)], names=NAMES)
 
         for batch in batches:
@@ -170,22 +171,22 @@ def _write_blocks(lengths: np.ndarray):
     return run
 
 
-NAMES = ["part", "seq", "n_ids", "doc_ids", "doc_lens", "bits", "checkpoints"]
-NO_DOC = np.iinfo(np.int64).min
+NAMES = [f.split()[0] for f in BLOCK_SCHEMA.split(", ")]
 
 
 def _read_blocks(lengths: np.ndarray):
     def run(batches):
         table = decode_table(lengths)
         for batch in batches:
-            for part, seq, n, docs, lens, bits, marks in zip(*(batch.column(c).to_pylist() for c in NAMES)):
-                ids = read_bits(bits, np.frombuffer(marks, "<u4"), n, table).astype("<u4")
+            for part, seq, n, docs, nulls, lens, bits, marks in zip(*(batch.column(c).to_pylist() for c in NAMES)):
+                ids = read_bits(bits, np.frombuffer(marks, "<u8"), n, table).astype("<u4")
                 docs, lens = np.frombuffer(docs, "<i8"), np.frombuffer(lens, "<i8")
+                null = np.unpackbits(np.frombuffer(nulls, np.uint8), count=len(docs)).astype(bool)
                 starts = np.cumsum(lens) - lens
                 crcs = [zlib.crc32(ids[s : s + k].tobytes()) for s, k in zip(starts.tolist(), lens.tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(docs, mask=docs == NO_DOC), pa.array(np.full(len(docs), part, np.int32)), pa.array(np.full(len(docs), seq, np.int32)),
+                        pa.array(docs, mask=null), pa.array(np.full(len(docs), part, np.int32)), pa.array(np.full(len(docs), seq, np.int32)),
                         pa.array(starts), pa.array(lens), pa.array(crcs, pa.int64()),
                     ],
                     names=["doc_id", "part", "seq", "within", "n_tokens", "ids_crc32"],
@@ -200,12 +201,14 @@ def write_token_files(
     """Write the ids of all documents (null text: only `end_id`) under `path`: blocks/ and code/.
 
     Documents are in ascending doc_id order, null ids first; rows that repeat
-    are written as often as they occur, and an empty table gives files without
-    blocks. Other columns are not read.
+    are written as often as they occur, rows of one doc_id in order of their
+    length and ids, and an empty table gives files without blocks. A block holds
+    whole documents, so a very long text is a block of its own. Other columns
+    are not read.
     """
     scratch = scratch or Scratch(spark, "token-files")
     source = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
-    ids = scratch.keep(source.mapInArrow(_encode_ids(tokenizer or tokenizer_path(), end_id), "doc_id long, n long, ids binary"), "ids")
+    ids = scratch.keep(source.mapInArrow(tidy(_encode_ids(tokenizer or tokenizer_path(), end_id)), "doc_id long, n long, ids binary"), "ids")
     counted = ids.select("n", "ids").mapInArrow(_count_ids, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     found = counted.toPandas()  # at most the vocabulary
     counts = np.zeros(int(found["id"].max()) + 1 if len(found) else 1, dtype=np.int64)

@@ -15,6 +15,8 @@ cross-entropy above which a text is rejected. Everything else reads all rows.
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._shared import give_back, tidy
+
 ORDER = 4
 DOCS_PER_LANG = 800
 MEMO_BITS = 18
@@ -230,21 +234,29 @@ class Identifier:
             }
         )
 
-    def calibrate(self, texts: list[str], langs: list[str]) -> None:
-        """Temperature by likelihood, and limits, from labelled texts that the models haven't seen."""
+    def measure(self, texts: list[str], langs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of labelled texts with letters: the language's number, the bits by language, and the least bits with the letters shuffled."""
         texts, langs = zip(*[(t, x) for t, x in zip(texts, langs) if x in self.models]) if texts else ((), ())
+        if not texts:
+            return np.empty(0, int), np.empty((0, len(self.langs))), np.empty(0)
         bits, has = self.cross_entropies(list(texts))
         truth = np.array([self.langs.index(x) for x in langs], dtype=int)
-        bits, truth = bits[has], truth[has]
+        shuffled = lambda t: "".join(np.random.default_rng(zlib.crc32(t.encode("utf-8", "replace"))).permutation(list(t)))
+        noise, _ = self.cross_entropies([shuffled(t) for t, h in zip(texts, has) if h])
+        return truth[has], bits[has], noise.min(axis=1)
+
+    def calibrate(self, texts: list[str], langs: list[str]) -> None:
+        """Temperature by likelihood, and limits, from labelled texts that the models haven't seen."""
+        self.fit_limits(*self.measure(texts, langs))
+
+    def fit_limits(self, truth: np.ndarray, bits: np.ndarray, noise: np.ndarray) -> None:
+        """`calibrate` from what `measure` found."""
         if not len(truth):
             return
         own = bits[np.arange(len(truth)), truth]
         grid = [0.01, 0.02, 0.05, 0.1, 0.2, 0.5, 1.0]
-        rng = np.random.default_rng(0)
-        noise, _ = self.cross_entropies(["".join(rng.permutation(list(t))) for t, h in zip(texts, has) if h])
         loss = [np.log(np.exp(-(bits - own[:, None]) / t).sum(axis=1)).mean() for t in grid]
         self.temperature = grid[int(np.argmin(loss))]
-        noise = noise.min(axis=1)
         for k, lang in enumerate(self.langs):
             mine = truth == k
             far = float(np.quantile(noise[mine] if mine.any() else noise, NOISE))
@@ -288,7 +300,7 @@ def train(spark: SparkSession, labelled: DataFrame, docs_per_lang: int = DOCS_PE
     grams = (
         sample.where(~part | F.col("few"))
         .select("text", "lang")
-        .mapInArrow(_count_grams, "lang string, " + ", ".join(f"c{k} int" for k in range(ORDER)) + ", n long")
+        .mapInArrow(tidy(_count_grams), "lang string, " + ", ".join(f"c{k} int" for k in range(ORDER)) + ", n long")
         .groupBy("lang", *[f"c{k}" for k in range(ORDER)])
         .agg(F.sum("n").alias("n"))
         .toPandas()
@@ -300,18 +312,39 @@ def train(spark: SparkSession, labelled: DataFrame, docs_per_lang: int = DOCS_PE
     for lang, own in grams.sort_values(["lang", *[f"c{k}" for k in range(ORDER)]]).groupby("lang"):
         models[lang] = KneserNey(own[[f"c{k}" for k in range(ORDER)]].to_numpy(np.uint32), own["n"].to_numpy(float), alphabet)
     found = Identifier(models)
-    held = sample.where(part).select("text", "lang").orderBy("doc_id").toPandas()
-    found.calibrate(held["text"].tolist(), held["lang"].tolist())
+    # The texts stay in the tasks; only their numbers come here.
+    model = spark.sparkContext.broadcast(found)
+    held = sample.where(part).select("doc_id", "text", "lang").mapInArrow(tidy(_measure(model)), "doc_id long, truth int, bits array<double>, noise double")
+    held = held.orderBy("doc_id", "noise").toPandas()
+    model.destroy()
+    if len(held):
+        found.fit_limits(held["truth"].to_numpy(int), np.stack(held["bits"].to_list()), held["noise"].to_numpy(float))
     return found
 
 
+def _measure(model):
+    def run(batches):
+        for batch in batches:
+            for at in range(batch.num_rows):  # one by one, so that doc_id stays with its numbers
+                truth, bits, noise = model.value.measure(batch.column(1).slice(at, 1).to_pylist(), batch.column(2).slice(at, 1).to_pylist())
+                if len(truth):
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).slice(at, 1), pa.array(truth, pa.int32()), pa.array(bits.tolist(), pa.list_(pa.float64())), pa.array(noise)],
+                        names=["doc_id", "truth", "bits", "noise"],
+                    )
+
+    return run
+
+
 def predictor(spark: SparkSession, identifier: Identifier):
     """A pandas UDF text -> struct(lang_pred, score, bits, rejected)."""
     model = spark.sparkContext.broadcast(identifier)  # bounded by the sample it was fitted on
 
     @F.pandas_udf("lang_pred string, score double, bits double, rejected boolean")
-    def predict(text: pd.Series) -> pd.DataFrame:
-        return model.value.predict([None if t is None else t for t in text])
+    def predict(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for text in texts:
+            yield model.value.predict([None if t is None else t for t in text])
+        give_back()
 
     return predict
 
@@ -335,7 +368,15 @@ def identify(spark: SparkSession, docs: DataFrame, folds: int = 4, fold: int = 2
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, folds: int = 4, fold: int = 2) -> DataFrame:
-    """`docs` without the rows that `identify` rejects, all columns as they were."""
+    """`docs` without the rows that `identify` rejects, all columns as they were.
+
+    Texts that are null, empty or without letters go; so do those that score
+    nearer to shuffled letters than to any learned language. Null ids and
+    langs are kept like others, and rows that repeat stay or go together. Ties
+    of languages change nothing here. Whole texts count, however long. An
+    empty table gives an empty result, and columns of any name are carried
+    through.
+    """
     found = train(spark, docs.select("doc_id", "text", "lang").where(~held_out(F.col("doc_id"), folds, fold)))
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    return docs.withColumn("__p", predictor(spark, found)(docs["text"])).where("not __p.rejected").select(*names)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    return docs.select(whole, predictor(spark, found)(docs["text"]).alias("p")).where("not p.rejected").select("doc.*")

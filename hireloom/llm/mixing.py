@@ -6,7 +6,7 @@ it is certain. The fractional part is a copy probability, and probabilities are
 settled in pairs: the pair shifts words from one to the other, in a random
 direction that keeps both expectations, until one of the two is 0 or 1. The
 sum of words never changes, so what a source misses its target by is the
-rounding of one last document, and small documents of the root take that up.
+rounding of one last document, and other documents of the root take that up.
 
 Pairs meet inside groups of a source (hash buckets of bounded size); each group leaves
 at most one unsettled document, and those meet again in a tree of the same
@@ -27,6 +27,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MAX_REPEAT = 3.0
 GROUP = 4096
 FAN_IN = 256
+#: Twice so many documents of a source's root group are tried in all combinations.
+HALF = 12
 
 
 def source_targets(spark: SparkSession, sizes: DataFrame, weights=WEIGHTS, max_repeat: float = MAX_REPEAT) -> DataFrame:
@@ -43,6 +45,7 @@ def source_targets(spark: SparkSession, sizes: DataFrame, weights=WEIGHTS, max_r
     turn = (F.row_number().over(order) - 1) % len(weights)
     ranked = sizes.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (turn + 1).cast("int")))
     ranked = ranked.withColumn("most", F.col("source_size") * F.lit(float(max_repeat)))
+    ranked = Scratch(spark, "mixing").keep(ranked, "sources")
     total = ranked.agg(F.sum("source_size")).first()[0] or 0
     level = 0.0
     while True:
@@ -95,8 +98,8 @@ def settle(share: np.ndarray, size: np.ndarray, draw: np.ndarray) -> np.ndarray:
 def absorb(share: np.ndarray, size: np.ndarray, draw: np.ndarray) -> np.ndarray:
     """Round the one open share by its draw and let settled documents take up the words that it misses.
 
-    The open document is among the largest, so its rounding may miss many words. Documents that
-    fit into the miss change sides, largest first, until it is smaller than any that could.
+    The open document may be large, so its rounding may miss many words. Few documents are
+    tried in all combinations; of more, single ones and pairs change sides as long as that brings the sum nearer.
     """
     out = share.copy()
     at = np.flatnonzero((share > 0) & (share < 1))
@@ -105,13 +108,67 @@ def absorb(share: np.ndarray, size: np.ndarray, draw: np.ndarray) -> np.ndarray:
     i = at[0]
     out[i] = float(draw[i] < share[i])
     miss = (share[i] - out[i]) * size[i]  # words still to take, or taken too many
-    for j in np.lexsort((draw, -size)).tolist():
-        if j != i and 0 < size[j] <= abs(miss) and out[j] == (0.0 if miss > 0 else 1.0):
-            out[j] = 1.0 - out[j]
-            miss += size[j] if miss < 0 else -size[j]
+    free = np.flatnonzero(size > 0)
+    gain = np.where(out[free] > 0.5, -size[free], size[free])  # words that a change of sides adds
+    for k in _nearest(gain, miss):
+        out[free[k]] = 1.0 - out[free[k]]
     return out
 
 
+def _sums(gain: np.ndarray) -> np.ndarray:
+    """Sums of all subsets; bit k of a place stands for number k."""
+    sums = np.zeros(1)
+    for g in gain:
+        sums = np.concatenate([sums, sums + g])
+    return sums
+
+
+def _best_subset(gain: np.ndarray, miss: float) -> list[int]:
+    """The numbers of at most `2 * HALF` whose sum is nearest to `miss`: all subsets of one half meet those of the other."""
+    left, right = _sums(gain[:HALF]), _sums(gain[HALF:])
+    # Of equally good choices one that changes few.
+    by = np.lexsort((np.bitwise_count(np.arange(len(right))), right))
+    ranked = right[by]
+    spot = np.searchsorted(ranked, miss - left)
+    tries = [np.clip(spot - 1, 0, len(ranked) - 1), np.clip(spot, 0, len(ranked) - 1)]
+    far = np.concatenate([np.abs(miss - left - ranked[t]) for t in tries])
+    changes = np.concatenate([np.bitwise_count(np.arange(len(left))) + np.bitwise_count(by[t]) for t in tries])
+    best = int(np.lexsort((changes, np.round(far, 6)))[0])
+    one, other = best % len(left), int(by[tries[best // len(left)][best % len(left)]])
+    return [k for k in range(len(gain)) if (one >> k if k < HALF else other >> (k - HALF)) & 1]
+
+
+def _nearest(gain: np.ndarray, miss: float) -> list[int]:
+    """Numbers of `gain` whose sum is near to `miss`: the best for up to `2 * HALF`, else by steps of one or two and then the smallest ones."""
+    if len(gain) <= 2 * HALF:
+        return _best_subset(gain, miss)
+    chosen = np.zeros(len(gain), bool)
+    while abs(miss) > 0:
+        now = np.where(chosen, -gain, gain)
+        order = np.argsort(now, kind="stable")
+        # The best partner of each number is the one nearest to what is left; number 0 stands for none.
+        value = np.concatenate([[0.0], now[order]])
+        by = np.argsort(value, kind="stable")
+        ranked = value[by]
+        want = miss - ranked
+        spot = np.clip(np.searchsorted(ranked, want), 1, len(ranked) - 1)
+        tries = np.stack([np.abs(ranked[spot - 1] - want), np.abs(ranked[spot] - want)])
+        other = np.where(tries[0] <= tries[1], spot - 1, spot)
+        far = np.minimum(tries[0], tries[1])
+        far[other == np.arange(len(ranked))] = np.inf  # not twice the same
+        k = int(np.argmin(far))
+        if not far[k] < abs(miss) - 1e-9:
+            break
+        for j in (by[k], by[other[k]]):
+            if j:
+                chosen[order[j - 1]] ^= True
+        miss -= ranked[k] + ranked[other[k]]
+    small = np.argsort(np.abs(gain), kind="stable")[: 2 * HALF]
+    for k in _best_subset(np.where(chosen, -gain, gain)[small], miss):
+        chosen[small[k]] ^= True
+    return np.flatnonzero(chosen).tolist()
+
+
 def _settle_group(last: bool):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["size", "draw", "row_key"], ascending=[False, True, True], kind="stable")
@@ -150,7 +207,7 @@ def settle_shares(scratch: Scratch, shares: DataFrame, largest: int) -> DataFram
 
 
 def _plan(spark: SparkSession, docs: DataFrame, weights, max_repeat: float, seed: int) -> tuple[Scratch, DataFrame]:
-    """(doc_id, __text_key, __turn, size, source, source_size, target, copies) per row of `docs`."""
+    """(doc_id, text_key, turn, turns, size, source, source_size, target, copies) per row of `docs`."""
     scratch = Scratch(spark, "mixing")
     rows = docs.select(
         docs["doc_id"].cast("long").alias("doc_id"),
@@ -161,7 +218,8 @@ def _plan(spark: SparkSession, docs: DataFrame, weights, max_repeat: float, seed
     # Rows that repeat are one entry each; a number tells them apart.
     from pyspark.sql import Window as W
 
-    rows = rows.withColumn("turn", F.row_number().over(W.partitionBy("doc_id", "text_key", "source").orderBy("size")))
+    same = W.partitionBy("doc_id", "text_key", "source")
+    rows = rows.withColumn("turn", F.row_number().over(same.orderBy("size"))).withColumn("turns", F.count("*").over(same))
     rows = rows.withColumn("row_key", F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.hex("text_key"), "turn", F.hex(F.xxhash64("source"))))
     rows = scratch.keep(rows, "sizes")
     targets = scratch.keep(
@@ -180,7 +238,7 @@ def _plan(spark: SparkSession, docs: DataFrame, weights, max_repeat: float, seed
     out = joined.join(rounded, "row_key", "left").withColumn(
         "copies", F.when(F.col("size") > 0, (F.col("whole") + F.coalesce("share", F.lit(0.0))).cast("int")).otherwise(0)
     )
-    return scratch, out.select("doc_id", "text_key", "turn", "source", "size", "source_size", "target", "copies")
+    return scratch, out.select("doc_id", "text_key", "turn", "turns", "source", "size", "source_size", "target", "copies")
 
 
 def mix_sources(
@@ -191,8 +249,10 @@ def mix_sources(
     Size counts words (null text: 0). `taken` is copies times size: the words
     that the mix takes of the document. Documents without words are never
     taken; sources without words get the target 0; null sources are one source,
-    the last; rows that repeat are drawn one by one; an empty table gives an empty
-    result. Other columns are not read.
+    the last; null ids are values like others; rows that repeat are drawn one
+    by one; of documents equal in size and draw the first by name meets first. Whole
+    texts are counted, however long. An empty table gives an empty result. Other
+    columns are not read.
     """
     _, plan = _plan(spark, docs, weights, max_repeat, seed)
     return plan.select(
@@ -201,21 +261,24 @@ def mix_sources(
 
 
 def take_mix(spark: SparkSession, docs: DataFrame, weights=WEIGHTS, max_repeat: float = MAX_REPEAT, seed: int = 20_240) -> DataFrame:
-    """`docs` as the mix takes it: every row as often as it has copies, all columns as they were."""
+    """`docs` as the mix takes it: every row as often as it has copies, all columns as they were.
+
+    Null ids and null sources are values like others (null sources are the
+    last source); rows without words, null and empty texts too, are never
+    taken. Rows that repeat are interchangeable and share their copies. Whole
+    texts count, however long. An empty table gives an empty result, and
+    columns of any name are carried through.
+    """
     from pyspark.sql import Window as W
 
     scratch, plan = _plan(spark, docs, weights, max_repeat, seed)
-    plan = scratch.keep(plan.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("source").alias("__source"), "turn", F.col("copies").alias("__copies")), "copies")
-    rows = docs.withColumn("__id", docs["doc_id"].cast("long")).withColumn("__key", F.xxhash64(docs["text"])).withColumn("__source", docs["source"].cast("string"))
-    # Rows that repeat are interchangeable: their copies may be summed per key and dealt to any of them.
-    many = plan.groupBy("__id", "__key", "__source").agg(F.sum("__copies").cast("int").alias("__copies"), F.count("*").alias("__rows"))
-    same = (
-        rows["__id"].eqNullSafe(many["__id"]) & (rows["__key"] == many["__key"]) & rows["__source"].eqNullSafe(many["__source"])
-    )
-    once = rows.join(many.where("__rows = 1"), same, "inner").drop(many["__id"], many["__key"], many["__source"])
-    again = rows.join(many.where("__rows > 1"), same, "inner").drop(many["__id"], many["__key"], many["__source"])
-    again = again.withColumn("__k", F.row_number().over(W.partitionBy("__id", "__key", "__source").orderBy("__copies")))
-    share = F.floor(F.col("__copies") / F.col("__rows")) + F.when(F.col("__k") <= F.col("__copies") % F.col("__rows"), 1).otherwise(0)
-    again = again.withColumn("__copies", share.cast("int")).drop("__k")
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    return once.unionByName(again).where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*names)
+    many = plan.where("copies > 0").groupBy("doc_id", "text_key", "source").agg(F.sum("copies").cast("int").alias("copies"), F.max("turns").alias("turns"))
+    many = scratch.keep(many.select(F.col("doc_id").alias("id"), "text_key", F.col("source").alias("of"), "copies", "turns"), "copies")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    rows = docs.select(whole, docs["doc_id"].cast("long").alias("row_id"), F.xxhash64(docs["text"]).alias("row_text"), docs["source"].cast("string").alias("row_source"))
+    same = F.col("row_id").eqNullSafe(F.col("id")) & (F.col("row_text") == F.col("text_key")) & F.col("row_source").eqNullSafe(F.col("of"))
+    # The join has dealt the rows by their key already, so numbering those that repeat moves nothing.
+    nth = F.row_number().over(W.partitionBy("row_id", "row_text", "row_source").orderBy("copies"))
+    joined = rows.join(many, same).withColumn("nth", nth)
+    times = F.floor(F.col("copies") / F.col("turns")) + F.when(F.col("nth") <= F.col("copies") % F.col("turns"), 1).otherwise(0)
+    return joined.withColumn("times", times.cast("int")).where("times > 0").select("doc", F.explode(F.sequence(F.lit(1), F.col("times")))).select("doc.*")

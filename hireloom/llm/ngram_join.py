@@ -32,7 +32,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import Scratch, small_batches, split_by_key
+from ._shared import Scratch, small_batches, split_by_key, tidy
 from .components import connected_components
 
 ORDER_BITS = 21
@@ -167,7 +167,7 @@ def _sum_cells(width: int):
 def shingle_frequencies(docs: DataFrame, k: int, bits: int) -> np.ndarray:
     """Documents per cell of the shingle space, over all documents: 2**bits numbers."""
     width = min(1 << bits, 1 << BLOCK_BITS)
-    parts = docs.select("text").mapInArrow(_count_cells(k, bits), "block int, counts binary")
+    parts = docs.select("text").mapInArrow(tidy(_count_cells(k, bits)), "block int, counts binary")
     out = np.zeros(1 << bits, dtype=np.uint32)
     for r in parts.groupBy("block").applyInArrow(_sum_cells(width), "block int, counts binary").toLocalIterator():
         out[r["block"] * width : (r["block"] + 1) * width] = np.frombuffer(r["counts"], np.uint32)
@@ -540,7 +540,7 @@ def verify_pairs(scratch: Scratch, docs: DataFrame, classes: DataFrame, pairs: D
     texts = scratch.keep(named.select("cls", "text"), "texts")
     left = pairs.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("ta")), "a")
     both = left.join(texts.select(F.col("cls").alias("b"), F.col("text").alias("tb")), "b")
-    links = scratch.keep(both.select("a", "b", "ta", "tb").mapInArrow(_verify(k, percent), "a binary, b binary"), "links")
+    links = scratch.keep(both.select("a", "b", "ta", "tb").mapInArrow(tidy(_verify(k, percent)), "a binary, b binary"), "links")
     scratch.drop(texts)
     return links
 
@@ -582,7 +582,7 @@ def _near_duplicates(spark: SparkSession, docs: DataFrame, k: int, percent: int,
     del counts
     rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_key"))
     info = scratch.keep(
-        rows.mapInArrow(_describe(k, percent, cells), "doc_id long, row_key long, n long, cls binary, grp long, prefix binary, bitmap binary, wide binary"), "sets"
+        rows.mapInArrow(tidy(_describe(k, percent, cells)), "doc_id long, row_key long, n long, cls binary, grp long, prefix binary, bitmap binary, wide binary"), "sets"
     )
     some = info.where("n > 0")
     first = F.min(F.struct(row_names()[0], "row_key")).alias("first")
@@ -594,7 +594,7 @@ def _near_duplicates(spark: SparkSession, docs: DataFrame, k: int, percent: int,
     total = some.agg(F.sum(F.octet_length("prefix")) / 8).first()[0] or 0
     buckets = max(spark.sparkContext.defaultParallelism, int(total // BUCKET_SHINGLES) + 1)
     packed = some.select(F.col("n").cast("int"), "grp", "prefix").mapInArrow(
-        _scatter(buckets, cells, noise), "bucket int, tok binary, grp binary, n binary, count binary, salt binary"
+        tidy(_scatter(buckets, cells, noise)), "bucket int, tok binary, grp binary, n binary, count binary, salt binary"
     )
     found = scratch.keep(packed.groupBy("bucket").applyInArrow(_lists(percent), LIST_SCHEMA), "found")
     cells.destroy()
@@ -667,7 +667,7 @@ def _near_duplicates(spark: SparkSession, docs: DataFrame, k: int, percent: int,
             x, y = long_.alias("x"), long_.alias("y")
             crossed = x.join(y, (F.col("x.l1") == F.col("y.l1")) & (F.col("x.l2") == F.col("y.l2")) & (F.col("x.part") < F.col("y.part")))
             pairs = pairs.unionAll(crossed.select("x.members", F.col("y.members").alias("other"), "x.l1", "x.l2"))
-        found = scratch.keep(pairs.mapInArrow(_closest(percent, most), "a binary, b binary, l1 long, l2 long"), "closest")
+        found = scratch.keep(pairs.mapInArrow(tidy(_closest(percent, most)), "a binary, b binary, l1 long, l2 long"), "closest")
         new = found.select("a", "b").distinct().join(scratch.together(tried), ["a", "b"], "left_anti").withColumn("apart", F.lit(0).cast("long"))
         new = scratch.keep(without_far(classes, new, percent).select("a", "b"), "tried")
         if not new.isEmpty():

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._shared import Scratch
+from ._shared import Scratch, tidy
 from .tokens import encoder, tokenizer_path
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -126,7 +126,10 @@ def _place(places: list[tuple[int, int, int, int, int]]):
 
 def pack_pieces(scratch: Scratch, pieces: DataFrame, capacity: int) -> DataFrame:
     """Add sequence_id and offset to (doc_id, piece, start, length, ids_crc32) rows that were written."""
-    keyed = pieces.withColumn("__bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(RANK_BUCKETS)).cast("int"))
+    # Pieces that fill a sequence have one of their own, with a number below zero; the rest find theirs by rank.
+    whole = pieces.where(F.col("length") == capacity)
+    whole = whole.select(*pieces.columns, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    keyed = pieces.where(F.col("length") < capacity).withColumn("__bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(RANK_BUCKETS)).cast("int"))
     counts = keyed.groupBy("length", "__bucket").agg(F.count("*").alias("__n"))
     before = W.partitionBy("length").orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)
     bases = scratch.keep(counts.withColumn("__base", F.coalesce(F.sum("__n").over(before), F.lit(0))), "lengths")
@@ -138,7 +141,7 @@ def pack_pieces(scratch: Scratch, pieces: DataFrame, capacity: int) -> DataFrame
         .withColumn("__rank", (F.col("__rank") + F.col("__base")).cast("long"))
         .select("doc_id", "piece", "start", "length", "ids_crc32", "__rank")
     )
-    return ranked.mapInArrow(_place(plan(totals, capacity)), PIECE_SCHEMA + ", sequence_id long, offset long")
+    return whole.unionByName(ranked.mapInArrow(_place(plan(totals, capacity)), PIECE_SCHEMA + ", sequence_id long, offset long"))
 
 
 def pack_documents(
@@ -150,9 +153,11 @@ def pack_documents(
     Only documents longer than `capacity` are cut, into pieces of `capacity`
     and a rest. Every document has at least its end, so even an empty one has
     a piece; rows that repeat are packed as often as they occur; null ids are
-    kept; an empty table gives an empty result. Other columns are not read.
+    kept; pieces of one length are interchangeable and ordered by id, place and
+    crc; a very long text gives as many pieces as it fills; an empty table gives
+    an empty result. Other columns are not read.
     """
     scratch = Scratch(spark, "packing")
     source = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
-    pieces = source.mapInArrow(_pieces(tokenizer or tokenizer_path(), capacity, end_id), PIECE_SCHEMA)
+    pieces = source.mapInArrow(tidy(_pieces(tokenizer or tokenizer_path(), capacity, end_id)), PIECE_SCHEMA)
     return pack_pieces(scratch, scratch.keep(pieces, "pieces"), capacity)

@@ -69,7 +69,7 @@ class WordEncoder:
     """
 
     #: Words of the memo's newer half; when it is full it becomes the older half.
-    WORDS, CORES = 400_000, 400_000
+    WORDS, CORES = 200_000, 200_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer

@@ -160,6 +160,49 @@ def test_mix(spark, docs, corpus, empty, monkeypatch):
     assert mixing.mix_sources(spark, empty).count() == 0 == mixing.take_mix(spark, empty).count()
 
 
+def test_small_sources_come_as_near_as_they_can(spark):
+    """Of a few documents the mix takes a set whose sum is the best that floors and ceilings reach; of more, nearly."""
+    from itertools import product
+
+    rng = np.random.default_rng(11)
+    for seed in range(40):
+        size = rng.integers(1, 900, 9).astype(float)
+        share = np.full(9, rng.uniform(0.05, 0.95))
+        want = (share * size).sum()
+        out = mixing.absorb(mixing.settle(share, size, rng.random(9)), size, rng.random(9))
+        best = min(abs(sum(a * b for a, b in zip(bits, size)) - want) for bits in product((0, 1), repeat=9))
+        assert set(out) <= {0.0, 1.0} and abs(abs((out * size).sum() - want) - best) < 1e-6
+    for n in (17, 60, 400):
+        size = rng.integers(1, 20_000, n).astype(float)
+        share = np.full(n, 0.37)
+        out = mixing.absorb(mixing.settle(share, size, rng.random(n)), size, rng.random(n))
+        assert abs((out * size).sum() - (share * size).sum()) < 2
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    by = defaultdict(list)
+    for r in mixing.mix_sources(spark, docs).join(docs.select("doc_id", "source"), "doc_id").collect():
+        by[r["source"]].append(r)
+    for rows in by.values():
+        target, rate = rows[0]["target"], rows[0]["target"] / rows[0]["source_size"]
+        sums = np.zeros(1)
+        for r in rows:  # all that whole copies and one more can reach
+            sums = np.unique(np.concatenate([sums + r["size"] * int(rate), sums + r["size"] * math.ceil(rate)]))
+        assert abs(abs(sum(r["taken"] for r in rows) - target) - np.abs(sums - target).min()) < 1e-6
+
+
+def test_mix_carries_clashing_names_and_repeats(spark):
+    names = ["__id", "__key", "__source", "__copies", "copies", "id", "of", "nth", "times", "doc", "a.b"]
+    rows = [(i, " ".join(["w"] * (i + 1)), "a" if i % 3 else None) for i in range(12)] + [(4, "w w w w w", "a")] * 3 + [(None, "x y", "b")] * 2 + [(50, None, "b"), (51, "", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").select("*", *[mixing.F.lit(c).alias(c) for c in names])
+    mixed = mixing.take_mix(spark, docs.repartition(3))
+    assert mixed.columns == docs.columns
+    want = Counter()
+    for r in mixing.mix_sources(spark, docs).collect():
+        want[r["doc_id"], r["size"]] += r["copies"]
+    got = mixed.collect()
+    assert Counter((r["doc_id"], len((r["text"] or "").split())) for r in got) == +want
+    assert all(list(r)[3:] == names for r in got)
+
+
 def test_network_trains_on_every_token_once(spark, docs, corpus, monkeypatch):
     seen = []
     whole = lm_score.train
@@ -216,6 +259,51 @@ def test_shuffled_and_unlearned_texts_are_rejected(spark):
     assert found.predict([r["text"] for r in own])["rejected"].mean() < 0.03
 
 
+def brute_kneser_ney(texts, order=4):
+    """Probability of a letter after others, by dictionaries over whole texts."""
+    counts = Counter()
+    for t in texts:
+        t = " " * order + " ".join("".join(c if c.isalpha() else " " for c in t.lower()).split())
+        for i in range(order + 1, len(t) + 1) if t.strip() else ():
+            counts[t[max(0, i - order) : i]] += 1
+    levels = {order: counts}
+    for n in range(order - 1, 0, -1):
+        levels[n] = Counter(g[1:] for g in levels[n + 1])
+    alphabet = len({g[-1] for g in counts})
+
+    def p(before, c):
+        out = 1 / (alphabet + 1)
+        for n in range(1, order + 1):
+            table = levels[n]
+            ones, twos = sum(v == 1 for v in table.values()), sum(v == 2 for v in table.values())
+            d = min(0.95, ones / (ones + 2 * twos)) if ones else 0.5
+            context = before[len(before) - n + 1 :] if n > 1 else ""
+            own = {g: v for g, v in table.items() if g[:-1] == context}
+            if own:
+                out = max(own.get(context + c, 0) - d, 0) / sum(own.values()) + d * len(own) / sum(own.values()) * out
+        return out
+
+    return p
+
+
+def test_models_equal_dictionaries():
+    texts = ["the cat, the HAT and the rat", "she sells sea shells", "a b c"]
+    columns, _ = language_id._windows(*language_id.letters(texts))
+    grams, counts = np.unique(np.stack(columns, 1), axis=0, return_counts=True)
+    model = language_id.KneserNey(grams, counts.astype(float), len(np.unique(grams[:, -1])))
+    plain = brute_kneser_ney([*texts])
+    for before, c in ((" th", "e"), ("the", " "), ("she", "l"), ("zzz", "q"), (" sh", "e"), ("xth", "a"), ("   ", "t")):
+        arrays = [np.array([ord(x)], np.uint32) for x in before + c]
+        assert abs(model.probability(arrays)[0] - plain(before, c)) < 1e-9, (before, c)
+
+
+def test_rejection_carries_clashing_names(spark):
+    names = ["__p", "p", "doc", "lang_pred", "a.b"]
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("*", *[mixing.F.lit(c).alias(c) for c in names])
+    kept = language_id.keep_identified(spark, docs)
+    assert kept.columns == docs.columns and all(list(r)[-len(names) :] == names for r in kept.limit(50).collect())
+
+
 def test_every_language_is_learned(spark):
     rows = [(i, f"word{chr(97 + i % 26)} text", f"l{i:03d}") for i in range(203)]
     assert len(language_id.train(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string")).langs) == 203
