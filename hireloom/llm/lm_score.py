@@ -11,20 +11,25 @@ each round every task starts from the same weights, trains on its documents of
 the round and returns its weights, whose mean (weighted by tokens) starts the
 next round.
 
-To score, documents are dealt to chunks. A chunk looks up the counts of its
-own distinct words in one join, so no task needs the whole list of words, and
-runs all its documents side by side, state carried from window to window over
-their whole length.
+To score, documents are dealt to chunks. Every task knows the counts of the
+`HEAD` most frequent words; a chunk looks up those of its other distinct words
+in one join, so no task needs the whole list of words and no word is asked for
+by every chunk. A chunk runs all its documents side by side, state carried
+from window to window over their whole length.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+from itertools import repeat
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import Scratch
+from ._shared import Scratch, give_back, small_batches, tidy
 from .language_id import held_out
 
 VOCAB = 2_047
@@ -33,9 +38,14 @@ HIDDEN = 24
 ROUNDS = 3
 #: A task trains on blocks of about this many tokens, which bounds its memory.
 BLOCK_TOKENS = 1 << 20
-STREAMS, WINDOW = 128, 16
+#: Streams of a block: at most so many, and so few that a block makes some steps.
+STREAMS, WINDOW, STEPS = 512, 16, 16
 CHUNK_BYTES = 24 << 20
 MEMO_WORDS = 400_000
+#: Words whose counts every task knows, and the longest of them in bytes: 10 MB at most.
+HEAD, HEAD_BYTES = 100_000, 64
+#: Weights of so many tasks are added up in one.
+FAN_IN = 32
 END, RARE = 0, 1
 
 
@@ -75,27 +85,48 @@ def gru_step(params, x3: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
     """One step from input projections x3 and state h: (new h, update gate, reset gate, candidate, h's candidate part)."""
     n = h.shape[1]
     h3 = h @ params["U"]
-    z = _sigmoid(x3[:, :n] + h3[:, :n])
-    r = _sigmoid(x3[:, n : 2 * n] + h3[:, n : 2 * n])
+    gates = _sigmoid(x3[:, : 2 * n] + h3[:, : 2 * n])
+    z, r = gates[:, :n], gates[:, n:]
     c = np.tanh(x3[:, 2 * n :] + r * h3[:, 2 * n :])
-    return z * h + (1 - z) * c, z, r, c, h3[:, 2 * n :]
-
-
-def _log_softmax(x):
-    x = x - x.max(axis=-1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=-1, keepdims=True))
+    return z * (h - c) + c, z, r, c, h3[:, 2 * n :]
+
+
+def _softmax_at(x: np.ndarray, at: np.ndarray, whole: bool = True) -> np.ndarray:
+    """Turn x into its softmax by rows, in place; returns the log probability at one column of each row."""
+    if not len(x):
+        return x[:, 0].copy()
+    x -= x.max()  # one number for all rows is cheaper; rows far below it are shifted on their own
+    found = x[np.arange(len(x)), at]
+    low = np.flatnonzero(x.max(axis=1) < -40) if found.min() < -40 else ()
+    if len(low):
+        shift = x[low].max(axis=1)
+        x[low] -= shift[:, None]
+        found[low] -= shift
+    np.exp(x, out=x)
+    total = x @ np.ones(x.shape[1], x.dtype)
+    if whole:
+        x /= total[:, None]
+    return found - np.log(total)
+
+
+def _by_class(cls: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+    """Order of the steps by their class, and the slice of each class in it."""
+    order = np.argsort(cls.astype(np.uint16), kind="stable")
+    cuts = _runs(cls[order]).tolist()
+    return order, [(int(cls[order[lo]]), slice(lo, hi)) for lo, hi in zip(cuts[:-1], cuts[1:])]
 
 
 def output_logs(params, h: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Natural log probability of the target words for states h: class first, then word in class."""
     size = params["bw"].shape[1]
     cls, inside = target // size, target % size
-    out = _log_softmax(h @ params["Wc"] + params["bc"])[np.arange(len(h)), cls]
-    order = np.argsort(cls, kind="stable")
-    cuts = np.flatnonzero(np.diff(cls[order], prepend=-1))
-    for at in np.split(order, cuts[1:]) if len(order) else []:
-        k = cls[at[0]]
-        out[at] += _log_softmax(h[at] @ params["Ww"][k].T + params["bw"][k])[np.arange(len(at)), inside[at]]
+    out = _softmax_at(h @ params["Wc"] + params["bc"], cls, whole=False)
+    order, spans = _by_class(cls)
+    hc = h[order]
+    logits = np.empty((len(h), size), h.dtype)
+    for k, at in spans:
+        logits[at] = hc[at] @ params["Ww"][k].T + params["bw"][k]
+    out[order] += _softmax_at(logits, inside[order], whole=False)
     return out
 
 
@@ -111,13 +142,12 @@ def window_gradients(params, inputs: np.ndarray, targets: np.ndarray, fresh: np.
     """
     steps, streams = inputs.shape
     n = h.shape[1]
-    words, row = np.unique(inputs, return_inverse=True)
-    row = row.reshape(inputs.shape)
-    table = params["E"][words] @ params["W"] + params["b"]
+    table = params["E"] @ params["W"] + params["b"]
     saved, states = [], []
+    keep = 1 - fresh
     for t in range(steps):
-        h = h * (1 - fresh[t])[:, None]
-        new, z, r, c, u = gru_step(params, table[row[t]], h)
+        h = h * keep[t][:, None]
+        new, z, r, c, u = gru_step(params, table[inputs[t]], h)
         saved.append((h, z, r, c, u))
         states.append(new)
         h = new
@@ -125,72 +155,85 @@ def window_gradients(params, inputs: np.ndarray, targets: np.ndarray, fresh: np.
     rows = np.arange(len(hs))
     size = params["bw"].shape[1]
     cls, inside = tg // size, tg % size
-    g = {k: np.zeros_like(v) for k, v in params.items()}
-    logc = _log_softmax(hs @ params["Wc"] + params["bc"])
+    g = {}
+    dc = hs @ params["Wc"] + params["bc"]
+    found = _softmax_at(dc, cls)
     # Steps in order of their class, so that a class is one slice.
-    order = np.argsort(cls, kind="stable")
-    hc, cuts = hs[order], _runs(cls[order])
-    spans = [(cls[order[lo]], slice(lo, hi)) for lo, hi in zip(cuts[:-1], cuts[1:])]
-    logw = np.empty((len(hs), size), hs.dtype)
+    order, spans = _by_class(cls)
+    hc = hs[order]
+    dw = np.empty((len(hs), size), hs.dtype)
     for k, at in spans:
-        logw[at] = hc[at] @ params["Ww"][k].T + params["bw"][k]
-    logw = _log_softmax(logw)
-    found = logc[rows, cls]
-    found[order] += logw[rows, inside[order]]
-    dc, dw = np.exp(logc), np.exp(logw)
+        np.matmul(hc[at], params["Ww"][k].T, out=dw[at])
+        dw[at] += params["bw"][k]
+    found[order] += _softmax_at(dw, inside[order])
     dc[rows, cls] -= 1
     dw[rows, inside[order]] -= 1
-    if real is not None:
+    if real is not None and not real.all():
         weight = real.reshape(-1).astype(hs.dtype)
-        found, dc, dw = found * weight, dc * weight[:, None], dw * weight[order][:, None]
+        found *= weight
+        dc *= weight[:, None]
+        dw *= weight[order][:, None]
     loss = -found.sum()
     g["Wc"], g["bc"] = hs.T @ dc, dc.sum(0)
+    g["Ww"], g["bw"] = np.zeros_like(params["Ww"]), np.zeros_like(params["bw"])
     dhs = dc @ params["Wc"].T
     dhc = np.empty_like(hc)
     for k, at in spans:
         g["Ww"][k] = dw[at].T @ hc[at]
         g["bw"][k] = dw[at].sum(0)
-        dhc[at] = dw[at] @ params["Ww"][k]
+        np.matmul(dw[at], params["Ww"][k], out=dhc[at])
     dhs[order] += dhc
     dhs = dhs.reshape(steps, streams, n)
     d3s = np.empty((steps, streams, 3 * n), hs.dtype)
+    dus = np.empty((steps, streams, 3 * n), hs.dtype)
     dh = np.zeros((streams, n), hs.dtype)
     for t in range(steps - 1, -1, -1):
         prev, z, r, c, u = saved[t]
         dh = dh + dhs[t]
-        dz = dh * (prev - c) * z * (1 - z)
-        dcand = dh * (1 - z) * (1 - c * c)
-        dr = dcand * u * r * (1 - r)
-        d3s[t] = np.concatenate([dz, dr, dcand], axis=1)
-        du = np.concatenate([dz, dr, dcand * r], axis=1)
-        g["U"] += prev.T @ du
-        dh = (dh * z + du @ params["U"].T) * (1 - fresh[t])[:, None]
-    order = np.argsort(row.reshape(-1), kind="stable")
-    dtable = np.add.reduceat(d3s.reshape(-1, 3 * n)[order], _runs(row.reshape(-1)[order])[:-1], axis=0)
-    g["E"][words] = dtable @ params["W"].T
-    g["W"], g["b"] = params["E"][words].T @ dtable, dtable.sum(0)
-    return loss, g, h
+        rest = dh * (1 - z)
+        d3, du = d3s[t], dus[t]
+        d3[:, :n] = (prev - c) * z * rest
+        dcand = d3[:, 2 * n :]
+        np.multiply(rest, 1 - c * c, out=dcand)
+        d3[:, n : 2 * n] = dcand * u * r * (1 - r)
+        du[:, : 2 * n] = d3[:, : 2 * n]
+        np.multiply(dcand, r, out=du[:, 2 * n :])
+        dh = (dh * z + du @ params["U"].T) * keep[t][:, None]
+    g["U"] = np.concatenate([x[0] for x in saved]).T @ dus.reshape(-1, 3 * n)
+    # Gradients of the input projections, added up by word.
+    flat = inputs.reshape(-1)
+    order = np.argsort(flat.astype(np.uint16), kind="stable") if len(params["E"]) <= 1 << 16 else np.argsort(flat, kind="stable")
+    cuts = _runs(flat[order])
+    dtable = np.zeros_like(table)
+    dtable[flat[order[cuts[:-1]]]] = np.add.reduceat(d3s.reshape(-1, 3 * n)[order], cuts[:-1], axis=0)
+    g["E"], g["W"], g["b"] = dtable @ params["W"].T, params["E"].T @ dtable, dtable.sum(0)
+    return loss, {k: g[k] for k in params}, h
 
 
 class Trainer:
     """Adam over blocks of documents; every token of every document counts once."""
 
     def __init__(self, params: dict[str, np.ndarray], rate: float = 0.01):
-        self.params = {k: v.copy() for k, v in params.items()}
-        self.rate, self.steps, self.tokens = rate, 0, 0
-        self.m, self.v = ({k: np.zeros_like(x) for k, x in params.items()} for _ in range(2))
+        flat = np.concatenate([v.reshape(-1) for v in params.values()])
+        self.flat, self.rate, self.steps, self.tokens = flat, rate, 0, 0
+        # The weights by name are views of one array, so a step is a few operations.
+        self.params, at = {}, 0
+        for k, v in params.items():
+            self.params[k] = flat[at : at + v.size].reshape(v.shape)
+            at += v.size
+        self.m, self.v = np.zeros_like(flat), np.zeros_like(flat)
 
     def feed(self, docs: list[np.ndarray]) -> None:
         """One pass over `docs` (ids with their end), dealt to streams whose last places are filled up."""
         flat = np.concatenate(docs)
         first = np.zeros(len(flat), np.float32)
         first[np.cumsum([0] + [len(d) for d in docs[:-1]])] = 1
-        streams = max(1, min(STREAMS, len(flat) // WINDOW))
+        streams = max(1, min(STREAMS, len(flat) // (WINDOW * STEPS)))
         length = -(-len(flat) // streams)
         self.tokens += len(flat)
         fill = (0, streams * length - len(flat))
         real = np.pad(np.ones(len(flat), np.float32), fill)
-        flat, first, real = (x.reshape(streams, length).T for x in (np.pad(flat, fill), np.pad(first, fill), real))
+        flat, first, real = (np.ascontiguousarray(x.reshape(streams, length).T) for x in (np.pad(flat, fill), np.pad(first, fill), real))
         previous = np.vstack([np.zeros((1, streams), flat.dtype), flat[:-1]])
         inputs = np.where(first > 0, END, previous)
         h = np.zeros((streams, self.params["U"].shape[0]), np.float32)
@@ -201,12 +244,14 @@ class Trainer:
 
     def _step(self, g: dict[str, np.ndarray], tokens: float) -> None:
         self.steps += 1
-        up1, up2 = 1 - 0.9**self.steps, 1 - 0.999**self.steps
-        for k, own in self.params.items():
-            d, m, v = g[k] / tokens, self.m[k], self.v[k]
-            m += 0.1 * (d - m)
-            v += 0.001 * (d * d - v)
-            own -= self.rate * (m / up1) / (np.sqrt(v / up2) + 1e-6)
+        d = np.concatenate([g[k].reshape(-1) for k in self.params])
+        d /= tokens
+        self.m += 0.1 * (d - self.m)
+        d *= d
+        self.v += 0.001 * (d - self.v)
+        far = np.sqrt(self.v / (1 - 0.999**self.steps))
+        far += 1e-6
+        self.flat -= (self.rate / (1 - 0.9**self.steps)) * self.m / far
 
 
 def train_on(params: dict[str, np.ndarray], docs: list[np.ndarray], rate: float = 0.01) -> tuple[dict[str, np.ndarray], int]:
@@ -227,7 +272,7 @@ def score_documents(params, ids: list[np.ndarray]) -> np.ndarray:
     total = np.zeros(len(ids))
     previous = np.zeros(len(ids), np.int64)
     at = 0
-    active = len(ids)
+    active, shorter = len(ids), -lens
     held: list[tuple] = []
     rows = 0
 
@@ -236,7 +281,7 @@ def score_documents(params, ids: list[np.ndarray]) -> np.ndarray:
         total[:] += np.bincount(who, weights=output_logs(params, states, targets), minlength=len(ids))
 
     while active:
-        active = int(np.searchsorted(-lens, -at, side="left"))  # documents longer than `at`
+        active = int(np.searchsorted(shorter, -at, side="left"))  # documents longer than `at`
         if not active:
             break
         new, *_ = gru_step(params, table[previous[:active]], h[:active])
@@ -257,29 +302,28 @@ def score_documents(params, ids: list[np.ndarray]) -> np.ndarray:
 
 
 def _count_words(batches):
-    counts: dict[bytes, int] = {}
+    counts: Counter[bytes] = Counter()
 
     def out():
         return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "c"])
 
     for batch in batches:
         for text in batch.column(0):
-            for w in words_of(text.as_py()):
-                counts[w] = counts.get(w, 0) + 1
+            counts.update(words_of(text.as_py()))
             if len(counts) > MEMO_WORDS:
                 yield out()
-                counts = {}
+                counts = Counter()
     yield out()
 
 
-def _train_task(params, vocab: dict[bytes, int], rate: float):
+def _train_task(params, vocab, rate: float):
     def run(batches):
-        trainer = Trainer(params.value, rate)
+        trainer, ids_of = Trainer(params.value, rate), vocab.value
         docs, held = [], 0
         for batch in batches:
             for text in batch.column(0):
-                own = [vocab.get(w, RARE) for w in words_of(text.as_py())]
-                docs.append(np.array([*own, END], dtype=np.int64))
+                own = words_of(text.as_py())
+                docs.append(np.append(np.fromiter(map(ids_of.get, own, repeat(RARE)), np.int64, len(own)), END))
                 held += len(docs[-1])
                 if held >= BLOCK_TOKENS:
                     trainer.feed(docs)
@@ -295,9 +339,14 @@ def _train_task(params, vocab: dict[bytes, int], rate: float):
     return run
 
 
-def _mean_weights(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(raw.as_py(), np.float64) for raw in table.column("weights"))
-    return pa.table({"tokens": [sum(table.column("tokens").to_pylist())], "weights": pa.array([total.tobytes()], pa.binary())})
+def _add_weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total, tokens = 0.0, 0
+    for batch in batches:
+        tokens += sum(batch.column("tokens").to_pylist())
+        for raw in batch.column("weights"):
+            total = total + np.frombuffer(raw.as_py(), np.float64)
+        grp = batch.column("grp").slice(0, 1)
+    yield pa.RecordBatch.from_arrays([pa.array([tokens]), pa.array([total.tobytes()], pa.binary()), grp], names=["tokens", "weights", "grp"])
 
 
 def train(
@@ -307,13 +356,20 @@ def train(
     params = init_params(len(vocab) + 2)
     start_from_counts(params, counts)
     seen = 0
+    words = spark.sparkContext.broadcast(vocab)
     turn = F.pmod(F.xxhash64("doc_id", "text", F.lit("network")), F.lit(rounds))
+    tasks = docs.rdd.getNumPartitions()
     for i in range(rounds):
         shared = spark.sparkContext.broadcast(params)
-        parts = docs.where(turn == i).select("text").mapInArrow(_train_task(shared, vocab, 0.01 / (1 + i)), "tokens long, weights binary")
-        # Sums of weights are of fixed size; they are added up in a few groups before they meet.
-        spread = parts.withColumn("g", F.pmod(F.spark_partition_id(), F.lit(16)))
-        sums = spread.groupBy("g").applyInArrow(_mean_weights, "tokens long, weights binary").collect()
+        parts = docs.where(turn == i).select("text").mapInArrow(tidy(_train_task(shared, words, 0.01 / (1 + i))), "tokens long, weights binary")
+        # Sums of weights are of fixed size; a tree adds them up.
+        parts, groups = parts.withColumn("grp", F.spark_partition_id()), tasks
+        while groups > 1:
+            groups = -(-groups // FAN_IN)
+            parts = parts.withColumn("grp", F.pmod("grp", F.lit(groups))).groupBy("grp").applyInArrow(_add_weights, "tokens long, weights binary, grp int")
+        with small_batches(spark, FAN_IN):
+            sums = parts.collect()
+        shared.destroy()
         tokens = sum(r["tokens"] for r in sums)
         if not tokens:
             continue
@@ -324,33 +380,40 @@ def train(
             new[k] = flat[at : at + v.size].reshape(v.shape).astype(np.float32)
             at += v.size
         params = new
+    words.destroy()
     return params, seen
 
 
-def _own_words(table: pa.Table) -> pa.Table:
-    found: set[bytes] = set()
-    for text in table.column("text"):
-        found.update(words_of(text.as_py()))
-    return pa.table({"chunk": pa.array([table.column("chunk")[0].as_py()] * len(found), pa.int32()), "word": pa.array(list(found), pa.binary())})
+def _own_words(head):
+    def run(table: pa.Table) -> pa.Table:
+        found: set[bytes] = set()
+        for text in table.column("text"):
+            found.update(words_of(text.as_py()))
+        found.difference_update(head.value[0])
+        return pa.table({"chunk": pa.array([table.column("chunk")[0].as_py()] * len(found), pa.int32()), "word": pa.array(list(found), pa.binary())})
+
+    return run
 
 
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _score_chunk(params, vocab: dict[bytes, int], total: int, distinct: int, ends: int, vocab_mass: float):
+def _score_chunk(params, head, vocab_size: int, total: int, distinct: int, ends: int, vocab_mass: float):
     def run(docs: pa.Table, words: pa.Table) -> pa.Table:
-        place = {w: i + 1 for i, w in enumerate(words.column("word").to_pylist())}
-        c = np.concatenate(([ends], words.column("c").to_numpy().astype(np.float64)))
-        ids = np.concatenate(([END], np.array([vocab.get(w, RARE) for w in place], dtype=np.int64)))
+        known, known_counts = head.value  # the model's vocabulary comes first
+        place = dict(known)
+        place.update(zip(words.column("word").to_pylist(), range(len(known) + 1, len(known) + 1 + words.num_rows)))
+        c = np.concatenate(([ends], known_counts, words.column("c").to_numpy().astype(np.float64)))
+        ids = np.full(len(c), RARE, dtype=np.int64)
+        ids[0], ids[1 : vocab_size + 1] = END, np.arange(2, vocab_size + 2)
         whole = total + 0.1 * (distinct + 1)
         base = np.log10((c + 0.1) / whole)
         rare = np.where(ids == RARE, np.log10((c + 0.1) / max(whole - vocab_mass, 1e-9)), 0.0)
         tokens, lens = [], []
         for text in docs.column("text"):
-            own = [place[w] for w in words_of(text.as_py())]
-            own.append(0)
-            tokens.append(np.array(own, dtype=np.int64))
-            lens.append(len(own))
+            own = words_of(text.as_py())
+            tokens.append(np.append(np.fromiter(map(place.__getitem__, own), np.int64, len(own)), 0))
+            lens.append(len(tokens[-1]))
         flat = np.concatenate(tokens)
         starts = np.cumsum(lens) - np.array(lens)
         model = score_documents(params.value, [ids[t] for t in tokens]) / np.log(10) + np.add.reduceat(rare[flat], starts)
@@ -364,6 +427,7 @@ def _score_chunk(params, vocab: dict[bytes, int], total: int, distinct: int, end
         )
 
     def safe(docs: pa.Table, words: pa.Table) -> pa.Table:
+        give_back()
         if not docs.num_rows:
             return pa.table({f.split()[0]: pa.array([], t) for f, t in zip(RESULT.split(", "), (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()))})
         return run(docs, words)
@@ -378,15 +442,17 @@ def score_texts(spark: SparkSession, docs: DataFrame, folds: int = 10, fold: int
     lower-cased) of the whole text and one end; null text counts as empty.
     Learns from the rows outside the fold. `base_score` is the smoothed
     unigram log10 probability, `score` the network's. Words that training
-    never met have the probability of one unseen word. Rows that repeat count
-    and score as often as they occur; an empty table gives an empty result;
-    other columns are not read.
+    never met have the probability of one unseen word; of words equally
+    frequent the first by bytes enters the vocabulary. Rows that repeat count
+    and score as often as they occur, and two texts of one doc_id score apart;
+    null ids are in no fold and are learned from; very long texts are scored
+    whole; an empty table gives an empty result; other columns are not read.
     """
     scratch = Scratch(spark, "lm-score")
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
     rows = rows.withColumn("held_out", held_out(F.col("doc_id"), folds, fold))
     train_rows = rows.where("not held_out")
-    counted = train_rows.select("text").mapInArrow(_count_words, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    counted = train_rows.select("text").mapInArrow(tidy(_count_words), "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
     counts = scratch.keep(counted, "counts")
     summed = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"), F.count_if(~F.col("held_out")).alias("ends")).first()
@@ -398,10 +464,15 @@ def score_texts(spark: SparkSession, docs: DataFrame, folds: int = 10, fold: int
     vocab_counts = np.array([ends, summed["n"] - known, *[r["c"] for r in top]], dtype=np.float64)
     vocab_mass = float(ends + 0.1 + known + 0.1 * len(top))
     params = spark.sparkContext.broadcast(train(spark, train_rows, vocab, vocab_counts)[0])
+    often = counts.where(F.octet_length("word") <= HEAD_BYTES).orderBy(F.desc("c"), "word").limit(HEAD).toPandas()
+    more = [(bytes(w), c) for w, c in zip(often["word"], often["c"]) if bytes(w) not in vocab]
+    counted = np.array([*[r["c"] for r in top], *[c for _, c in more]], dtype=np.float64)
+    head = spark.sparkContext.broadcast(({w: i + 1 for i, w in enumerate([*vocab, *[w for w, _ in more]])}, counted))
 
     chunks = max(1, int(size["bytes"] // CHUNK_BYTES) + 1)
-    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int")).repartition(chunks, "chunk")
-    asked = dealt.groupBy("chunk").applyInArrow(_own_words, "chunk int, word binary")  # the same columns, so texts are dealt once
+    # Several times as many partitions as chunks, so that few chunks share one.
+    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int")).repartition(4 * chunks, "chunk")
+    asked = dealt.groupBy("chunk").applyInArrow(_own_words(head), "chunk int, word binary")  # the same columns, so texts are dealt once
     told = asked.join(counts, "word", "left").select("chunk", "word", F.coalesce("c", F.lit(0)).alias("c"))
-    scorer = _score_chunk(params, vocab, int(total), int(distinct), int(ends), vocab_mass)
+    scorer = _score_chunk(params, head, len(vocab), int(total), int(distinct), int(ends), vocab_mass)
     return dealt.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(scorer, RESULT)
