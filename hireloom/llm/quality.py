@@ -1,18 +1,21 @@
 """Quality scores by co-training a text view and a page-metadata view.
 
 The text view sees hashed words and the make-up of words (case, digits, marks,
-repeats); the metadata view sees source, language, length and layout numbers.
-Each view is a logistic regression. Over some rounds each labels the pool
-documents that it is surest of, and the other learns from them. Both are then
+repeats); the metadata view sees source, language, length and the layout of lines.
+Each view is a logistic regression. Over some rounds each scores all unlabelled
+training documents and labels those that it is surest of, and the other learns from them. Both are then
 calibrated on labelled documents that neither has seen, and their calibrated
 log-odds are combined.
 
-The classifiers are fitted on bounded samples, chosen by hash: `LABELLED` labelled
-documents and a pool of `POOL` others, whole texts. All documents are scored.
+The classifiers are fitted on a bounded sample of the labelled documents, chosen
+by hash: `LABELLED`, whole texts. Every unlabelled document outside the held-out
+fold is a candidate in every round, and all documents are scored. Texts stay in
+the tasks; the driver gets the features of labelled and chosen documents only.
 """
 
 from __future__ import annotations
 
+import copy
 import zlib
 
 import numpy as np
@@ -20,16 +23,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._shared import Scratch, tidy
 from .language_id import held_out
 from .ngram_join import SLICE, word_hashes
 
-LABELLED, POOL = 4_000, 4_000
+LABELLED = 4_000
 WORD_CELLS, SHAPE_CELLS = 1 << 14, 1 << 9
+#: Numbers of the text view: shares of capitals, digits and marks, of distinct words, and the length of words.
+SHARES = 5
 SOURCES, LANGS = 64, 16
-NUMBERS = 8
+#: Numbers of the metadata view: characters, lines, characters a line.
+NUMBERS = 3
 ROUNDS, PER_ROUND = 4, 200
-#: Of good documents that the classifiers haven't seen, at most this share may fall below the threshold.
-GOOD_BELOW = 0.002
+#: The threshold lies below this quantile of good documents that the classifiers haven't seen, by a margin,
+#: and above this quantile of the bad ones where the two are apart. Some wrong labels move neither.
+GOOD_AT, BAD_AT = 0.02, 0.75
 
 _KIND = np.zeros(256, np.uint8)
 _KIND[65:91] = 1
@@ -39,6 +47,9 @@ _KIND[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = 8
 _KIND[128:] = 16
 
 
+TEXT_CELLS = WORD_CELLS + SHAPE_CELLS + SHARES
+
+
 class Rows:
     """A sparse matrix by rows."""
 
@@ -55,10 +66,12 @@ class Rows:
     def dot_t(self, r: np.ndarray) -> np.ndarray:
         return np.bincount(self.index, weights=np.repeat(r, np.diff(self.starts)) * self.value, minlength=self.width)
 
-    def take(self, rows: np.ndarray) -> "Rows":
-        size = np.diff(self.starts)[rows]
-        at = np.repeat(self.starts[:-1][rows] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        return Rows(self.index[at], self.value[at], np.concatenate(([0], np.cumsum(size))), self.width)
+    @classmethod
+    def of(cls, parts: list[tuple[np.ndarray, np.ndarray]], width: int | None = None) -> "Rows":
+        """From (index, value) of each row."""
+        starts = np.concatenate(([0], np.cumsum([len(i) for i, _ in parts]))).astype(np.int64)
+        cat = lambda k, t: np.concatenate([p[k] for p in parts]) if parts else np.empty(0, t)
+        return cls(cat(0, np.int64), cat(1, np.float64), starts, width or TEXT_CELLS)
 
 
 def features(texts: list[str | None], sources: list, langs: list, n_chars: list) -> tuple[Rows, np.ndarray]:
@@ -75,9 +88,7 @@ def features(texts: list[str | None], sources: list, langs: list, n_chars: list)
         parts += p
         meta.append(m)
         lo = hi
-    starts = np.concatenate(([0], np.cumsum([len(i) for i, _ in parts]))).astype(np.int64)
-    cat = lambda k, t: np.concatenate([p[k] for p in parts]) if parts else np.empty(0, t)
-    text = Rows(cat(0, np.int64), cat(1, np.float64), starts, WORD_CELLS + SHAPE_CELLS)
+    text = Rows.of(parts)
     dense = np.zeros((len(raw), NUMBERS + SOURCES + LANGS + 1))
     if raw:
         dense[:, :NUMBERS] = np.concatenate(meta)
@@ -106,15 +117,17 @@ def _slice_features(raw: list[bytes]):
         own = kind[offsets[i] : offsets[i + 1] - 1]
         n = max(1, len(own))
         lines = raw[i].count(b"\n") + 1
-        meta[i, 1:] = [
-            np.log1p(lines) / 4, np.log1p(n / lines) / 8, (own == 1).sum() / n * 4, (own == 4).sum() / n * 8, (own == 8).sum() / n * 8,
+        meta[i, 1:] = [np.log1p(lines) / 4, np.log1p(n / lines) / 8]
+        shares = [
+            (own == 1).sum() / n * 4, (own == 4).sum() / n * 8, (own == 8).sum() / n * 8,
             len(np.unique(words[a:b])) / max(1, b - a) if b > a else 0, n / max(1, b - a) / 16,
         ]
         if b > a:
             w, c = np.unique(cell[a:b], return_counts=True)
             v = np.log1p(c)
             s, k = np.unique(shape[a:b], return_counts=True)
-            parts.append((np.concatenate([w, WORD_CELLS + s]), np.concatenate([v / np.sqrt((v * v).sum()), 3 * np.sqrt(k / (b - a))])))
+            made_of = np.arange(TEXT_CELLS - SHARES, TEXT_CELLS)
+            parts.append((np.concatenate([w, WORD_CELLS + s, made_of]), np.concatenate([v / np.sqrt((v * v).sum()), 3 * np.sqrt(k / (b - a)), shares])))
         else:
             parts.append((np.empty(0, np.int64), np.empty(0)))
     return parts, meta
@@ -153,51 +166,39 @@ class CoTrained:
     def _logit(view, w):
         return np.clip((view.dot(w[:-1]) if isinstance(view, Rows) else view @ w[:-1]) + w[-1], -30, 30)
 
-    def fit(self, text: Rows, meta: np.ndarray, y: np.ndarray, labelled: np.ndarray, calibration: np.ndarray) -> None:
-        """`y` counts where `labelled`; rows in `calibration` are never learned from by the views."""
-        known = [np.flatnonzero(labelled & ~calibration)] * 2
-        truth = [y[known[0]].astype(float)] * 2
-        pool = np.flatnonzero(~labelled)
-        good = truth[0].mean()
-        for turn in range(ROUNDS + 1):
-            self.text = self._fit(text.take(known[0]), truth[0])
-            self.meta = self._fit(meta[known[1]], truth[1])
-            if turn == ROUNDS or not len(pool):
-                break
-            # Each view teaches the other, in the proportion of the classes, what it is surest of.
-            logits = self._logit(text.take(pool), self.text), self._logit(meta[pool], self.meta)
-            used = np.zeros(len(pool), bool)
-            for teacher, pupil in ((0, 1), (1, 0)):
-                order = np.argsort(logits[teacher], kind="stable")
-                up, down = order[::-1][: max(1, int(PER_ROUND * good))], order[: max(1, int(PER_ROUND * (1 - good)))]
-                up, down = up[logits[teacher][up] > 0], down[logits[teacher][down] < 0]
-                known[pupil] = np.concatenate([known[pupil], pool[up], pool[down]])
-                truth[pupil] = np.concatenate([truth[pupil], np.ones(len(up)), np.zeros(len(down))])
-                used[up] = used[down] = True
-            pool = pool[~used]
-        held = np.flatnonzero(calibration & labelled)
-        if len(held) and 0 < y[held].mean() < 1:
-            good = y[held] == 1
-            # Smoothed targets and a pull to plain, equally weighted views: few documents change little.
-            target = np.where(good, (good.sum() + 1) / (good.sum() + 2), 1 / ((~good).sum() + 2))
-            pull = 0.1 / (1.0 + min(good.sum(), (~good).sum()))
-            both = np.stack([self._logit(text.take(held), self.text), self._logit(meta[held], self.meta)], 1)
-            for k in range(2):
-                one = both[:, [k]]
-                self.scale[k] = logistic(lambda w: one @ w, lambda r: one.T @ r, target, 1, steps=300, decay=pull, prior=[1.0, 0.0])
-                self.scale[k, 0] = max(self.scale[k, 0], 0.05)
-            scaled = both * self.scale[:, 0] + self.scale[:, 1]
-            self.blend = logistic(lambda w: scaled @ w, lambda r: scaled.T @ r, target, 2, steps=300, decay=pull, prior=[0.5, 0.5, 0.0])
-            self.blend[:2] = np.maximum(self.blend[:2], 0.05)
-            logits = scaled @ self.blend[:2] + self.blend[2]
-            low, bad = np.quantile(logits[good], GOOD_BELOW), np.median(logits[~good])
-            # A margin below the good documents, but above the bulk of the bad ones.
-            self.threshold = float(1 / (1 + np.exp(-np.clip(min(0.0, max(low - 1.0, bad + 0.1 * (low - bad))), -30, 30))))
+    def fit_views(self, known: list[list["Known"]]) -> None:
+        """Each view learns from its own list of known documents."""
+        self.text = self._fit(Rows.of([d.text for d in known[0]]), np.array([d.label for d in known[0]], float))
+        self.meta = self._fit(np.stack([d.meta for d in known[1]]), np.array([d.label for d in known[1]], float))
+
+    def logits(self, text: Rows, meta: np.ndarray) -> np.ndarray:
+        return np.stack([self._logit(text, self.text), self._logit(meta, self.meta)], 1)
+
+    def calibrate(self, held: list["Known"]) -> None:
+        """Scales, blend and threshold from labelled documents that the views haven't seen."""
+        good = np.array([d.label == 1 for d in held], bool)
+        if not len(held) or not 0 < good.mean() < 1:
+            return
+        # Smoothed targets and a pull to plain, equally weighted views: few documents change little.
+        target = np.where(good, (good.sum() + 1) / (good.sum() + 2), 1 / ((~good).sum() + 2))
+        pull = 0.1 / (1.0 + min(good.sum(), (~good).sum()))
+        both = self.logits(Rows.of([d.text for d in held]), np.stack([d.meta for d in held]))
+        for k in range(2):
+            one = both[:, [k]]
+            self.scale[k] = logistic(lambda w: one @ w, lambda r: one.T @ r, target, 1, steps=300, decay=pull, prior=[1.0, 0.0])
+            self.scale[k, 0] = max(self.scale[k, 0], 0.05)
+        scaled = both * self.scale[:, 0] + self.scale[:, 1]
+        self.blend = logistic(lambda w: scaled @ w, lambda r: scaled.T @ r, target, 2, steps=300, decay=pull, prior=[0.5, 0.5, 0.0])
+        self.blend[:2] = np.maximum(self.blend[:2], 0.05)
+        logits = scaled @ self.blend[:2] + self.blend[2]
+        low, bad = np.quantile(logits[good], GOOD_AT), np.quantile(logits[~good], BAD_AT)
+        # A margin below the good documents, but above most of the bad ones.
+        self.threshold = float(1 / (1 + np.exp(-np.clip(min(0.0, max(low - 1.0, bad + 0.1 * (low - bad))), -30, 30))))
 
     def predict(self, text: Rows, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if self.text is None:
             return tuple(np.full(len(text), 0.5) for _ in range(3))
-        both = np.stack([self._logit(text, self.text), self._logit(meta, self.meta)], 1) * self.scale[:, 0] + self.scale[:, 1]
+        both = self.logits(text, meta) * self.scale[:, 0] + self.scale[:, 1]
         squash = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
         return squash(both[:, 0]), squash(both[:, 1]), squash(both @ self.blend[:2] + self.blend[2])
 
@@ -215,24 +216,97 @@ def _score(model):
     return run
 
 
-def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> CoTrained:
+class Known:
+    """A document that a view learns from or is calibrated on: its features and its label."""
+
+    def __init__(self, row):
+        self.doc_id, self.label = row["doc_id"], row["label"]
+        self.text, self.meta = (np.array(row["cells"], np.int64), np.array(row["weights"], float)), np.array(row["meta"], float)
+
+    def labelled(self, label: int) -> "Known":
+        other = copy.copy(self)
+        other.label = label
+        return other
+
+
+def _features(batches):
+    for batch in batches:
+        text, meta = features(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5)))
+        spans = list(zip(text.starts[:-1].tolist(), text.starts[1:].tolist()))
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column(0), batch.column(1), pa.array([text.index[a:b] for a, b in spans], pa.list_(pa.int64())),
+                pa.array([text.value[a:b] for a, b in spans], pa.list_(pa.float64())), pa.array(list(meta), pa.list_(pa.float64())),
+            ],
+            names=["doc_id", "label", "cells", "weights", "meta"],
+        )
+
+
+def known_documents(docs: DataFrame, chosen: DataFrame) -> list[Known]:
+    """The documents of a short list (doc_id, label); of several rows with one id the first by hash of its text."""
+    rows = docs.join(F.broadcast(chosen), "doc_id")  # at most a few thousand ids
+    one = rows.groupBy("doc_id").agg(F.min("label").alias("label"), F.min(F.struct(F.xxhash64("text").alias("at"), "text", "source", "lang", "n_chars")).alias("d"))
+    ready = one.select("doc_id", "label", "d.text", "d.source", "d.lang", "d.n_chars")
+    found = ready.mapInArrow(tidy(_features), "doc_id long, label int, cells array<long>, weights array<double>, meta array<double>")
+    return sorted(map(Known, found.collect()), key=lambda d: d.doc_id)
+
+
+def _logits(model):
+    def run(batches):
+        for batch in batches:
+            both = model.value.logits(*features(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(both[:, 0]), pa.array(both[:, 1])], names=["doc_id", "text_logit", "meta_logit"])
+
+    return run
+
+
+def surest(pool: DataFrame, good: float) -> DataFrame:
+    """(teacher, label, doc_id): what each view is surest of, in the proportion of the classes."""
+    parts = []
+    for teacher, column in ((0, "text_logit"), (1, "meta_logit")):
+        for label, order, most in ((1, F.desc(column), max(1, int(PER_ROUND * good))), (0, F.asc(column), max(1, int(PER_ROUND * (1 - good))))):
+            sure = pool.where(F.col(column) > 0 if label else F.col(column) < 0).orderBy(order, "doc_id").limit(most)
+            parts.append(sure.select(F.lit(teacher).alias("teacher"), F.lit(label).alias("label"), "doc_id"))
+    return parts[0].unionAll(parts[1]).unionAll(parts[2]).unionAll(parts[3])
+
+
+def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> CoTrained:
     """Fit on documents outside the held-out fold; a document with several labels has the lowest."""
-    known = labels.where("quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
-    rows = docs.where("not held_out").select("doc_id").join(known, "doc_id", "left")
-    counts = rows.select(F.count("quality").alias("yes"), F.count_if(F.col("quality").isNull()).alias("no")).first()
+    scratch = Scratch(spark, "quality")
+    known = labels.where("quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("label"))
+    known = scratch.keep(known, "labels")
+    rows = docs.where("not held_out").select("doc_id", "text", "source", "lang", "n_chars")
+    usable = scratch.keep(rows.select("doc_id").join(known, "doc_id").distinct(), "labelled")
+    share = labelled / max(1, usable.count())
     place = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("quality")), 11) / F.lit(float(1 << 53))
-    share = F.when(F.col("quality").isNotNull(), F.lit(labelled / max(1, counts["yes"]))).otherwise(F.lit(pool / max(1, counts["no"])))
-    chosen = rows.where(place < share).distinct()  # `labelled` + `pool` rows, give or take their square root
-    sample = docs.where("not held_out").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
+    sample = known_documents(rows, usable.where(place < share))  # `labelled` rows, give or take their square root
     model = CoTrained()
-    is_labelled = sample["quality"].notna().to_numpy()
-    learn = is_labelled & ~np.array([zlib.crc32(f"calibrate {i}".encode()) % 4 == 0 for i in sample["doc_id"]], dtype=bool) if len(sample) else is_labelled
-    y = sample["quality"].fillna(0).to_numpy()
-    if not learn.any() or not 0 < y[learn].mean() < 1:
+    held = [d for d in sample if zlib.crc32(f"calibrate {d.doc_id}".encode()) % 4 == 0]
+    learn = [d for d in sample if zlib.crc32(f"calibrate {d.doc_id}".encode()) % 4 != 0]
+    good = float(np.mean([d.label for d in learn])) if learn else 0.0
+    if not 0 < good < 1:
         return model
-    null = lambda c: [None if v is None or v != v else v for v in sample[c]]
-    text, meta = features(null("text"), null("source"), null("lang"), null("n_chars"))
-    model.fit(text, meta, y, is_labelled, is_labelled & ~learn)
+    views = [list(learn), list(learn)]
+    used: set[int] = set()
+    for _ in range(ROUNDS):
+        model.fit_views(views)
+        shared = spark.sparkContext.broadcast(model)
+        scores = scratch.keep(rows.where("doc_id is not null").mapInArrow(tidy(_logits(shared)), "doc_id long, text_logit double, meta_logit double"), "logits")
+        shared.destroy()
+        taken = spark.createDataFrame([(i,) for i in sorted(used)], "doc_id long")  # at most ROUNDS x 2 x PER_ROUND ids
+        pool = scores.join(known, "doc_id", "left_anti").join(F.broadcast(taken), "doc_id", "left_anti")
+        picks = surest(pool, good).collect()
+        if not picks:
+            break
+        fresh = spark.createDataFrame([(i, 0) for i in sorted({r["doc_id"] for r in picks})], "doc_id long, label int")
+        by_id = {d.doc_id: d for d in known_documents(rows, fresh)}
+        for teacher in (0, 1):
+            for doc_id, label in sorted({r["doc_id"]: r["label"] for r in picks if r["teacher"] == teacher}.items()):
+                views[1 - teacher].append(by_id[doc_id].labelled(label))
+        used |= set(by_id)
+        scratch.drop(scores)
+    model.fit_views(views)
+    model.calibrate(held)
     return model
 
 
@@ -244,7 +318,9 @@ def score_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, folds
     documents pass. Null text counts as empty, null source and lang are values
     of their own, a null n_chars is counted from the text. Without labels of
     both kinds all scores are 0.5 and all rows are kept. Rows that repeat get
-    equal scores; an empty table gives an empty result; other columns are not read.
+    equal scores, as do null ids with equal text; a document with several labels
+    has the lowest, and of documents equally sure the smallest id is chosen. Whole texts count,
+    however long. An empty table gives an empty result; other columns are not read.
     """
     rows = docs.select(
         docs["doc_id"].cast("long").alias("doc_id"), docs["text"], docs["source"].cast("string").alias("source"),
@@ -252,5 +328,5 @@ def score_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, folds
     ).withColumn("held_out", held_out(F.col("doc_id"), folds, fold))
     model = spark.sparkContext.broadcast(train(spark, rows, labels))  # a few times WORD_CELLS numbers
     return rows.select("doc_id", "held_out", "text", "source", "lang", "n_chars").mapInArrow(
-        _score(model), "doc_id long, held_out boolean, text_score double, meta_score double, score double, keep boolean"
+        tidy(_score(model)), "doc_id long, held_out boolean, text_score double, meta_score double, score double, keep boolean"
     )

@@ -116,6 +116,85 @@ def test_quality(spark, docs, empty):
     assert quality.score_quality(spark, empty, labels).count() == 0
 
 
+def test_quality_of_documents_never_seen(spark):
+    """Accuracy on labels of the held-out fold only, with every tenth training label wrong."""
+    table = spark.read.parquet(f"{DATA}/documents.parquet".replace("sf0.001", "sf0.01"))
+    labels = spark.read.parquet(f"{DATA}/labels.parquet".replace("sf0.001", "sf0.01"))
+    wrong = labels.withColumn("quality", quality.F.expr("case when crc32(cast(doc_id as string)) % 4 != 2 and doc_id % 10 = 3 then 1 - quality else quality end"))
+    for given, least in ((labels, 0.95), (wrong, 0.9)):
+        got = quality.score_quality(spark, table, given).where("held_out").join(labels, "doc_id").collect()
+        good = [r for r in got if r["quality"] == 1]
+        assert len(good) > 50 and len(got) - len(good) > 10
+        assert sum(r["keep"] for r in good) >= 0.97 * len(good)
+        pairs = [(a["score"] > b["score"]) + 0.5 * (a["score"] == b["score"]) for a in good for b in got if b["quality"] == 0]
+        assert sum(pairs) / len(pairs) >= least
+
+
+def test_logistic_equals_plain_descent(spark):
+    rng = np.random.default_rng(8)
+    x, y = rng.standard_normal((60, 3)), (rng.random(60) < 0.4).astype(float)
+    w = quality.logistic(lambda v: x @ v, lambda r: x.T @ r, y, 3, steps=3000, decay=1e-2)
+    plain = np.zeros(4)
+    both = np.hstack([x, np.ones((60, 1))])
+    for _ in range(20_000):
+        plain -= 0.1 * (both.T @ (1 / (1 + np.exp(-both @ plain)) - y) / 60 + 1e-2 * plain)
+    assert np.allclose(w, plain, atol=1e-2)
+
+
+def test_surest_equals_a_sort(spark, monkeypatch):
+    monkeypatch.setattr(quality, "PER_ROUND", 10)
+    rng = np.random.default_rng(9)
+    rows = [(i, float(a), float(b)) for i, (a, b) in enumerate(np.round(rng.standard_normal((80, 2)), 1))]
+    got = Counter(tuple(r) for r in quality.surest(spark.createDataFrame(rows, "doc_id long, text_logit double, meta_logit double"), 0.3).collect())
+    want = Counter()
+    for teacher in (0, 1):
+        ups = sorted((r for r in rows if r[1 + teacher] > 0), key=lambda r: (-r[1 + teacher], r[0]))[:3]
+        downs = sorted((r for r in rows if r[1 + teacher] < 0), key=lambda r: (r[1 + teacher], r[0]))[:7]
+        want += Counter([(teacher, 1, r[0]) for r in ups] + [(teacher, 0, r[0]) for r in downs])
+    assert got == want
+
+
+def test_scores_equal_a_plain_network(spark, monkeypatch):
+    """Every score again, word by word with plain formulas and the trained weights."""
+    trained = []
+    whole = lm_score.train
+    monkeypatch.setattr(lm_score, "train", lambda *a, **k: trained.append(whole(*a, **k)) or trained[-1])
+    monkeypatch.setattr(lm_score, "VOCAB", 40)
+    monkeypatch.setattr(lm_score, "HEAD", 60)
+    monkeypatch.setattr(lm_score, "CHUNK_BYTES", 3_000)
+    rng = np.random.default_rng(12)
+    texts = [" ".join(f"W{min(int(x), 150)}" for x in rng.zipf(1.3, n)) for n in rng.integers(0, 60, 60)]
+    rows = [(i % 55, t) for i, t in enumerate(texts)] + [(None, None), (None, "never met"), (10, "")]
+    got = lm_score.score_texts(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    p = {k: v.astype(np.float64) for k, v in trained[0][0].items()}
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0
+    c = Counter(w for i, t in rows if not held(i) for w in (t or "").lower().split())
+    ends = sum(not held(i) for i, _ in rows)
+    n, v = sum(c.values()) + ends, len(c) + 1
+    top = sorted(c, key=lambda w: (-c[w], w.encode()))[:40]
+    mass = ends + 0.1 + sum(c[w] + 0.1 for w in top)
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    want = []
+    for i, t in rows:
+        words = (t or "").lower().split()
+        h, last, total, m = np.zeros(24), 0, 0.0, 24
+        for w in [*words, None]:
+            x, u = p["E"][last] @ p["W"] + p["b"], h @ p["U"]
+            z, r = sigmoid(x[:m] + u[:m]), sigmoid(x[m : 2 * m] + u[m : 2 * m])
+            h = z * h + (1 - z) * np.tanh(x[2 * m :] + r * u[2 * m :])
+            k = 0 if w is None else top.index(w) + 2 if w in top else 1
+            a, b = divmod(k, lm_score.CLASS_SIZE)
+            logc, logw = h @ p["Wc"] + p["bc"], p["Ww"][a] @ h + p["bw"][a]
+            total += logc[a] - np.log(np.exp(logc).sum()) + logw[b] - np.log(np.exp(logw).sum())
+            if k == 1:
+                total += np.log((c[w] + 0.1) / (n + 0.1 * (v + 1) - mass))
+            last = k
+        want.append((repr(i), len(words) + 1, total / np.log(10)))
+    got = sorted((repr(r["doc_id"]), r["n_tokens"], r["score"]) for r in got)
+    for g, w in zip(got, sorted(want)):
+        assert g[:2] == w[:2] and abs(g[2] - w[2]) < 1e-3 * (1 + abs(w[2])), (g, w)
+
+
 def test_targets_share_by_weight(spark):
     rows = [("a", 100, 1), ("b", 100, 1), ("c", 1000, 1), (None, 10, 1)]
     got = {r["source"]: r["target"] for r in mixing.source_targets(spark, spark.createDataFrame(rows, "source string, source_size long, docs long")).collect()}
