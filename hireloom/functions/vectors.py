@@ -34,34 +34,63 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(dot(a, b), norm(a) * norm(b)))), F.lit(0.0))
 
 
-def _cell(feature: str, dim: int, memo: dict) -> tuple[int, float]:
-    if feature not in memo:
-        v = int.from_bytes(hashlib.blake2b(feature.encode(), digest_size=8).digest(), "little")
-        memo[feature] = v % dim, 1.0 if v >> 63 else -1.0
-    return memo[feature]
-
-
-def embed_py(text: str | None, dim: int = DIM, memo: dict | None = None) -> np.ndarray:
-    """Signed hash of words (1.0), word pairs (0.7) and key trigrams (0.35), dampened and of length 1."""
-    memo = {} if memo is None else memo
-    out = np.zeros(dim)
-    tokens = tokenize_py(text or "")
-    key = normalize_key_py((text or "")[:4000])
-    for weight, features in ((1.0, tokens), (0.7, [f"{a}_{b}" for a, b in zip(tokens, tokens[1:])]), (0.35, [key[i : i + 3] for i in range(len(key) - 2)])):
-        for f in features:
-            at, sign = _cell(f, dim, memo)
-            out[at] += sign * weight
+#: Weights of the features, and how much of a text's key is read.
+WORD, PAIR, TRIGRAM, KEY_CHARS = 1.0, 0.7, 0.35, 4000
+MEMO = 1_000_000
+_CELLS: dict[str, int] = {}
+
+
+def signed_cell(feature: str, dim: int = DIM) -> int:
+    """The cell of a feature, counted from 1, negative where its sign is: a 64-bit hash modulo the width, its top bit the sign."""
+    value = int.from_bytes(hashlib.blake2b(feature.encode("utf-8", "replace"), digest_size=8).digest(), "big")
+    return (value % dim + 1) * (1 if value >> 63 else -1)
+
+
+def _cells(features: list[str], dim: int) -> np.ndarray:
+    """Signed cells of features; this worker hashes each distinct one once, as long as it remembers it."""
+    if len(_CELLS) > MEMO:
+        _CELLS.clear()
+    known = _CELLS if dim == DIM else {}
+    for f in set(features).difference(known):
+        known[f] = signed_cell(f, dim)
+    return np.fromiter(map(known.__getitem__, features), np.int32, len(features))
+
+
+def _trigram_cells(keys: list[str], dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """(key, signed cell) of the character trigrams of all keys."""
+    points = np.frombuffer("".join(keys).encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
+    size = np.array([len(k) for k in keys], dtype=np.int64)
+    count = np.maximum(size - 2, 0)
+    row = np.repeat(np.arange(len(keys)), count)
+    at = np.arange(count.sum()) + np.repeat(np.cumsum(size) - size - (np.cumsum(count) - count), count)
+    triples, back = np.unique(points[at] << 42 | points[at + 1] << 21 | points[at + 2], return_inverse=True)
+    mask = (1 << 21) - 1
+    names = ["c:" + chr(t >> 42) + chr(t >> 21 & mask) + chr(t & mask) for t in triples.tolist()]
+    return row, _cells(names, dim)[back]
+
+
+def embed_many(texts: list[str | None], dim: int = DIM) -> np.ndarray:
+    """One row per text: signed hash of words, word pairs and the trigrams of its key, dampened and of length 1."""
+    tokens = [tokenize_py(t or "") for t in texts]
+    row, own = _trigram_cells([normalize_key_py(t)[:KEY_CHARS] for t in texts], dim)
+    rows, cells, weights = [row], [own], [np.full(len(own), TRIGRAM)]
+    for weight, features in ((WORD, [["w:" + t for t in x] for x in tokens]), (PAIR, [[f"b:{a}_{b}" for a, b in zip(x, x[1:])] for x in tokens])):
+        rows.append(np.repeat(np.arange(len(texts)), [len(x) for x in features]))
+        cells.append(_cells([f for x in features for f in x], dim))
+        weights.append(np.full(len(cells[-1]), weight))
+    row, cell, weight = (np.concatenate(x) for x in (rows, cells, weights))
+    out = np.bincount(row * dim + np.abs(cell) - 1, np.sign(cell) * weight, len(texts) * dim).reshape(len(texts), dim)
     out = np.sign(out) * np.log1p(np.abs(out))
-    n = np.linalg.norm(out)
-    return (out / n if n else out).astype(np.float32)
+    norms = np.linalg.norm(out, axis=1, keepdims=True)
+    return (out / np.where(norms == 0, 1.0, norms)).astype(np.float32)
+
+
+def embed_py(text: str | None, dim: int = DIM) -> np.ndarray:
+    """`embed_many` for a driver-side query string."""
+    return embed_many([text], dim)[0]
 
 
 @F.pandas_udf(T.ArrayType(T.FloatType()))
 def hash_embedding(texts: pd.Series) -> pd.Series:
-    memo: dict = {}
-    out = []
-    for t in texts:
-        if len(memo) > 1_000_000:
-            memo.clear()
-        out.append(embed_py(t, memo=memo))
-    return pd.Series(out)
+    found = [v for at in range(0, len(texts), 256) for v in embed_many(texts.iloc[at : at + 256].tolist())]
+    return pd.Series(found, index=texts.index, dtype=object)

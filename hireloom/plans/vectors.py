@@ -60,7 +60,12 @@ def vector_delete(v):
 @query("hash_embed")
 def hash_embed(v):
     texts = v.table("documents").select("doc_id", "text")
-    return texts.select("doc_id", fn.hash_embedding("text").alias("vector")).select("doc_id", F.size("vector").alias("dim"), F.round(fn.norm(F.col("vector")), 4).alias("norm"))
+    made = texts.select("doc_id", fn.hash_embedding("text").alias("vector"))
+    rounded = F.transform("vector", lambda x: F.round(x.cast("double"), 4))
+    return made.select(
+        "doc_id", F.size("vector").alias("dim"), F.round(fn.norm(F.col("vector")), 4).alias("norm"), F.size(F.filter("vector", lambda x: x != 0)).alias("filled"),
+        F.slice(rounded, 1, 8).alias("head"), F.array_position(rounded, F.array_max(rounded)).alias("peak"),
+    )
 
 
 @query("hash_embed_search")
