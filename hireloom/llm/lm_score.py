@@ -39,16 +39,22 @@ ROUNDS = 3
 #: A task trains on blocks of about this many tokens, which bounds its memory.
 BLOCK_TOKENS = 1 << 20
 #: Streams of a block: at most so many, and so few that a block makes some steps.
-STREAMS, WINDOW, STEPS = 512, 16, 16
-CHUNK_BYTES = 24 << 20
+STREAMS, WINDOW, STEPS = 384, 16, 16
+CHUNK_CHARS = 24 << 20
 MEMO_WORDS = 400_000
 #: Words whose counts every task knows, and the longest of them in bytes: 10 MB at most.
 HEAD, HEAD_BYTES = 100_000, 64
 #: Weights of so many tasks are added up in one.
 FAN_IN = 32
+#: States whose output is worked out at once; their logits fit a core's cache.
+OUTPUT_ROWS = 1 << 13
 END, RARE = 0, 1
 
 
+#: Keys beside the words, which have no space: how many texts were counted, and their characters.
+DOCS, CHARS = b" docs", b" chars"
+
+
 def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "replace").lower().split() if text else []
 
@@ -289,7 +295,7 @@ def score_documents(params, ids: list[np.ndarray]) -> np.ndarray:
         target = flat[starts[:active] + at]
         held.append((np.arange(active), new, target))
         rows += active
-        if rows >= 1 << 16:
+        if rows >= OUTPUT_ROWS:
             settle()
             held, rows = [], 0
         previous[:active] = target
@@ -303,16 +309,21 @@ def score_documents(params, ids: list[np.ndarray]) -> np.ndarray:
 
 def _count_words(batches):
     counts: Counter[bytes] = Counter()
+    docs = size = 0
 
     def out():
         return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "c"])
 
     for batch in batches:
         for text in batch.column(0):
-            counts.update(words_of(text.as_py()))
+            text = text.as_py()
+            docs += 1
+            size += len(text)
+            counts.update(words_of(text))
             if len(counts) > MEMO_WORDS:
                 yield out()
                 counts = Counter()
+    counts.update({DOCS: docs, CHARS: size})
     yield out()
 
 
@@ -453,10 +464,13 @@ def score_texts(spark: SparkSession, docs: DataFrame, folds: int = 10, fold: int
     rows = rows.withColumn("held_out", held_out(F.col("doc_id"), folds, fold))
     train_rows = rows.where("not held_out")
     counted = train_rows.select("text").mapInArrow(tidy(_count_words), "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
-    counts = scratch.keep(counted, "counts")
+    every = scratch.keep(counted, "counts")
+    counts = every.where(~F.col("word").isin([F.lit(DOCS), F.lit(CHARS)]))
     summed = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"), F.count_if(~F.col("held_out")).alias("ends")).first()
-    ends = size["ends"]
+    told = {bytes(r["word"]): r["c"] for r in every.where(F.col("word").isin([F.lit(DOCS), F.lit(CHARS)])).collect()}
+    ends = told.get(DOCS, 0)
+    # The fold leaves out a share of the texts; the size of all only sets the number of chunks.
+    chars = told.get(CHARS, 0) * folds / max(1, folds - 1) if ends else rows.agg(F.sum(F.length("text"))).first()[0] or 0
     total, distinct = summed["n"] + ends, summed["v"] + (ends > 0)
     top = counts.orderBy(F.desc("c"), "word").limit(VOCAB).collect()  # the model's vocabulary
     vocab = {bytes(r["word"]): i + 2 for i, r in enumerate(top)}
@@ -469,7 +483,7 @@ def score_texts(spark: SparkSession, docs: DataFrame, folds: int = 10, fold: int
     counted = np.array([*[r["c"] for r in top], *[c for _, c in more]], dtype=np.float64)
     head = spark.sparkContext.broadcast(({w: i + 1 for i, w in enumerate([*vocab, *[w for w, _ in more]])}, counted))
 
-    chunks = max(1, int(size["bytes"] // CHUNK_BYTES) + 1)
+    chunks = max(1, int(chars // CHUNK_CHARS) + 1)
     # Several times as many partitions as chunks, so that few chunks share one.
     dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int")).repartition(4 * chunks, "chunk")
     asked = dealt.groupBy("chunk").applyInArrow(_own_words(head), "chunk int, word binary")  # the same columns, so texts are dealt once

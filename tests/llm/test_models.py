@@ -161,7 +161,7 @@ def test_scores_equal_a_plain_network(spark, monkeypatch):
     monkeypatch.setattr(lm_score, "train", lambda *a, **k: trained.append(whole(*a, **k)) or trained[-1])
     monkeypatch.setattr(lm_score, "VOCAB", 40)
     monkeypatch.setattr(lm_score, "HEAD", 60)
-    monkeypatch.setattr(lm_score, "CHUNK_BYTES", 3_000)
+    monkeypatch.setattr(lm_score, "CHUNK_CHARS", 3_000)
     rng = np.random.default_rng(12)
     texts = [" ".join(f"W{min(int(x), 150)}" for x in rng.zipf(1.3, n)) for n in rng.integers(0, 60, 60)]
     rows = [(i % 55, t) for i, t in enumerate(texts)] + [(None, None), (None, "never met"), (10, "")]
