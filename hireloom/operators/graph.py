@@ -109,10 +109,19 @@ def traverse(edges: DataFrame, start: DataFrame, depth: int, relations: list[str
     return seen
 
 
+def ball(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
+    """Distinct nodes within `depth` out-steps of any seed: one frontier for all seeds."""
+    frontier = seen = start.select(F.col("key").alias("node")).distinct()
+    for _ in range(depth):
+        frontier = edges.join(frontier, F.col("src") == F.col("node"), "left_semi").select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti")
+        seen = seen.unionByName(frontier)
+    return seen
+
+
 def subgraph(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     """Edges between the nodes within `depth` out-steps of any seed."""
-    ball = traverse(edges, start, depth).select("node").distinct()
-    return edges.join(ball, F.col("src") == F.col("node"), "left_semi").join(ball, F.col("dst") == F.col("node"), "left_semi")
+    near = ball(edges, start, depth)
+    return edges.join(near, F.col("src") == F.col("node"), "left_semi").join(near, F.col("dst") == F.col("node"), "left_semi")
 
 
 def candidates_by_skills(edges: DataFrame, skills: list[str]) -> DataFrame:
@@ -147,3 +156,65 @@ def similar_candidates(links: DataFrame, alive: DataFrame, ids, n: int) -> DataF
 def shortest_paths(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     """Unweighted, undirected distance from each seed, up to `depth`."""
     return traverse(edges, start, depth, undirected=True).select("seed", "node", F.col("depth").alias("distance"))
+
+
+def merge_properties(rows: DataFrame, key: str = "key", order: str = "seq") -> DataFrame:
+    """(key, properties): maps of one key merged, the last non-null value of each property by order; nulls are dropped."""
+    entries = rows.select(key, order, F.explode("properties").alias("name", "value")).where("value is not null")
+    last = entries.groupBy(key, "name").agg(F.max_by("value", order).alias("value"))
+    return last.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "value")))).alias("properties"))
+
+
+def first_properties(rows: DataFrame, key: str = "key", order: str = "seq") -> DataFrame:
+    """`merge_properties` where the first non-null value of each property stays."""
+    entries = rows.select(key, order, F.explode("properties").alias("name", "value")).where("value is not null")
+    first = entries.groupBy(key, "name").agg(F.min_by("value", order).alias("value"))
+    return first.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "value")))).alias("properties"))
+
+
+def role_edges(roles: DataFrame) -> DataFrame:
+    """Of (skill, role, department): what roles need, and the department they are part of."""
+    need = edge(roles, key_of("Skill", "skill"), key_of("JobRole", "role"), "REQUIRED_FOR", F.lit(0.9))
+    within = roles.where("department is not null").select("role", "department").distinct()
+    return need.unionByName(edge(within, key_of("JobRole", "role"), key_of("Department", "department"), "PART_OF", F.lit(1.0))).distinct()
+
+
+def stack_edges(skills: DataFrame, relation: DataFrame) -> DataFrame:
+    """Stacks that depend on each other because skills of theirs are related; each ordered pair once."""
+    stack = lambda c, name: skills.where("technology_stack is not null").select(F.col("skill_id").alias(c), F.col("technology_stack").alias(name))
+    pairs = relation.join(stack("source_skill_id", "a"), "source_skill_id").join(stack("target_skill_id", "b"), "target_skill_id").where("a != b").select("a", "b").distinct()
+    return edge(pairs, key_of("Technology", "a"), key_of("Technology", "b"), "DEPENDS_ON", F.lit(0.5))
+
+
+def work_edges(experience: DataFrame, projects: DataFrame, education: DataFrame) -> DataFrame:
+    """USES of companies (candidate_id, company_name, technology), COMPLETED and USED_SKILL of projects (candidate_id, project,
+    skill), STUDIED_AT of (candidate_id, institution, degree); without an institution the degree stands for it.
+    """
+    person = node_key("Candidate", F.col("candidate_id").cast("string"))
+    project = node_key("Project", F.concat_ws("-", F.col("candidate_id").cast("string"), normalize_key(F.col("project"))))
+    school = key_of_column("Education", F.coalesce("institution", "degree", F.lit("Unknown Institution")))
+    uses = edge(experience.where("technology is not null"), key_of("Company", "company_name"), key_of("Technology", "technology"), "USES", F.lit(0.6))
+    done = edge(projects, person, project, "COMPLETED", F.lit(1.0))
+    used = edge(projects.where("skill is not null"), project, key_of("Skill", "skill"), "USED_SKILL", F.lit(0.7))
+    return uses.unionByName(done).unionByName(used).unionByName(edge(education, person, school, "STUDIED_AT", F.lit(1.0))).distinct()
+
+
+def key_of_column(label: str, value):
+    return node_key(label, normalize_key(value))
+
+
+def reachable(nodes: DataFrame, walked: DataFrame, labels: list[str] | None = None, limit: int | None = None) -> DataFrame:
+    """A traversal's output: labels filter what is shown and not where it goes; per seed the heaviest, then nearest, then first by key."""
+    shown = walked.where("depth > 0").join(nodes.select(F.col("key").alias("node"), "label"), "node")
+    shown = shown.where(F.col("label").isin(labels)) if labels else shown
+    if limit is None:
+        return shown.select("seed", "node", "label", "weight", "depth")
+    place = F.row_number().over(W.partitionBy("seed").orderBy(F.desc("weight"), "depth", "node"))
+    return shown.withColumn("place", place).where(F.col("place") <= limit).select("seed", "node", "label", "weight", "depth", "place")
+
+
+def overview_seeds(candidates: DataFrame, edges: DataFrame, recent: int = 25, top: int = 20) -> DataFrame:
+    """Keys that an overview starts from: the latest candidates and the skills that most candidates have."""
+    people = candidates.orderBy(F.desc_nulls_last("created_at"), F.desc("candidate_id")).limit(recent).select(node_key("Candidate", F.col("candidate_id").cast("string")).alias("key"))
+    skills = edges.where("relation = 'HAS_SKILL'").groupBy(F.col("dst").alias("key")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "key").limit(top).select("key")
+    return people.unionByName(skills)

@@ -157,3 +157,105 @@ def narrative(ranked: DataFrame, request: Request) -> DataFrame:
         F.col("related"), F.lit(" by relation, "), F.col("missing"), F.lit(" missing."), F.when(F.col("mandatory_missing"), " A mandatory skill is missing.").otherwise(""),
     )
     return ranked.select("rank", "candidate_id", text.alias("explanation"))
+
+
+#: The reference bands of a recommendation, and the least score of one with a mandatory skill missing.
+RECOMMENDATIONS = [(85, "Highly Recommended"), (70, "Recommended"), (50, "Consider")]
+CONSIDER_MISSING = 60
+NO_EVIDENCE = 0.55
+MOST_ADDITIONAL = 15
+
+
+def recommendation(overall: Column, mandatory_missing: Column) -> Column:
+    plain = F.coalesce(*[F.when(overall >= at, F.lit(name)) for at, name in RECOMMENDATIONS], F.lit("Not Recommended"))
+    return F.when(mandatory_missing, F.when(overall >= CONSIDER_MISSING, "Consider").otherwise("Not Recommended")).otherwise(plain)
+
+
+def confidence(v, candidates: DataFrame, request: Request, evidence: DataFrame, complete: DataFrame, channels: DataFrame) -> DataFrame:
+    """(candidate_id, confidence) in percent: evidence, completeness of the profile, channels that found it, coverage.
+
+    `channels` has the number of retrieval channels of a candidate, at most 2 count; `complete` its completeness.
+    """
+    asked = requested_skills(v, request)
+    links = v.candidate_skill.join(F.broadcast(asked), (F.col("raw_text") == F.col("requested")) | (F.col("skill_id") == F.col("want_id")))
+    sure = links.groupBy("candidate_id", "requested").agg(F.max("confidence").alias("sure"))
+    matched = evidence.where("match_type = 'exact'").join(sure, ["candidate_id", "requested"], "left")
+    found = matched.groupBy("candidate_id").agg(F.avg(F.coalesce("sure", F.lit(NO_EVIDENCE))).alias("sure"), F.count("*").alias("n"))
+    total = max(1, len({n.lower() for n in request.required + request.preferred}))
+    rows = candidates.select("candidate_id").join(found, "candidate_id", "left").join(complete, "candidate_id", "left").join(channels, "candidate_id", "left")
+    c = lambda name, default: F.coalesce(name, F.lit(default))
+    raw = 0.30 + 0.25 * c("sure", NO_EVIDENCE) + 0.20 * c("completeness", 0.0) + 0.15 * F.least(F.lit(1.0), c("channels", 0) / 2) + 0.10 * c("n", 0) / total
+    return rows.select("candidate_id", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), raw)) * 100 + TIE, 1).alias("confidence"))
+
+
+def with_statuses(candidates: DataFrame, request: Request) -> DataFrame:
+    """Candidates in one of the statuses asked for; all if none is."""
+    return candidates.where(F.lower("status").isin([s.lower() for s in request.statuses])) if request.statuses else candidates
+
+
+def candidate_pool(retrieved: DataFrame, recent: DataFrame, candidates: DataFrame, request: Request) -> DataFrame:
+    """Candidates that a run scores: the best retrieved ones, filled up with recent ones if they are fewer than `top_k`.
+
+    `retrieved` (candidate_id, fused); `recent` (candidate_id, place).
+    """
+    most = max(4 * request.top_k, 60)
+    best = retrieved.orderBy(F.desc("fused"), "candidate_id").limit(most).select("candidate_id")
+    short = best.agg((F.count("*") < request.top_k).alias("short"))
+    fill = recent.orderBy("place").limit(most).crossJoin(F.broadcast(short)).where("short").select("candidate_id")  # one row says whether they are needed
+    pool = best.unionByName(fill.join(best, "candidate_id", "left_anti"))
+    # At most twice `most` ids, whatever the data; as a list they reach the scans of everything that is scored.
+    ids = sorted(r["candidate_id"] for r in pool.collect())
+    return with_statuses(candidates.where(F.col("candidate_id").isin(ids)) if ids else candidates.limit(0), request)
+
+
+def additional_skills(links: DataFrame, evidence: DataFrame, candidates: DataFrame) -> DataFrame:
+    """A candidate's skills that no request asked for, by confidence: (candidate_id, raw_text, place), at most `MOST_ADDITIONAL`."""
+    from pyspark.sql import Window as W
+
+    used = evidence.where("match_type = 'exact'").select("candidate_id", F.col("requested").alias("raw_text"))
+    rest = links.join(candidates.select("candidate_id"), "candidate_id", "left_semi").join(used, ["candidate_id", "raw_text"], "left_anti")
+    place = F.row_number().over(W.partitionBy("candidate_id").orderBy(F.desc("confidence"), "raw_text"))
+    return rest.select("candidate_id", "raw_text", place.alias("place")).where(F.col("place") <= MOST_ADDITIONAL)
+
+
+def strengths_and_gaps(ranked: DataFrame, evidence: DataFrame, request: Request) -> DataFrame:
+    """(candidate_id, strengths, gaps, questions, learning, career_fit) of ranked rows, as the template words them."""
+    own = evidence.join(ranked.select("candidate_id"), "candidate_id", "left_semi")
+    listed = lambda kind: F.transform(F.array_sort(F.collect_list(F.when(F.col("match_type") == kind, F.struct(-F.col("weight"), "requested")))), lambda x: x["requested"])
+    lists = own.groupBy("candidate_id").agg(listed("exact").alias("matched"), listed("related").alias("near"), listed("missing").alias("absent"))
+    rows = ranked.select("candidate_id", "total_experience_years", "overall").join(lists, "candidate_id", "left")
+    low, years = request.min_years, F.col("total_experience_years")
+    some = lambda a, n, f: F.transform(F.slice(a, 1, n), f)
+    meets = F.when((F.lit(low) > 0) & (years >= low), F.concat(F.lit("Meets the experience bar ("), years.cast("string"), F.lit(" yrs)")))
+    short = F.when((F.lit(low) > 0) & (years < low), F.concat(F.lit("Experience is "), F.round(low - years, 1).cast("string"), F.lit(" years short")))
+    questions = F.concat(
+        some("matched", 4, lambda s: F.concat(F.lit("Describe a project where "), s, F.lit(" was central to the outcome."))),
+        some("absent", 2, lambda s: F.concat(F.lit("How would you ramp up on "), s, F.lit("?"))), some("near", 2, lambda s: F.concat(F.lit("How does your experience carry over to "), s, F.lit("?"))),
+    )
+    label = F.when(F.col("overall") >= 85, f"Strong immediate fit for {request.job_title}").when(F.col("overall") >= 70, f"Good fit for {request.job_title}").when(
+        F.col("overall") >= 50, "Partial fit").otherwise("Not aligned with this requirement")
+    return rows.select(
+        "candidate_id", F.slice(F.array_compact(F.concat(F.slice("matched", 1, 6), F.array(meets))), 1, 8).alias("strengths"),
+        F.slice(F.array_compact(F.concat(some("absent", 6, lambda s: F.concat(F.lit("No evidence of "), s)), F.array(short))), 1, 8).alias("gaps"), F.slice(questions, 1, 8).alias("questions"),
+        F.slice(some("absent", 5, lambda s: F.concat(s, F.lit(": start with the fundamentals and a small project."))), 1, 6).alias("learning"), label.alias("career_fit"),
+    )
+
+
+def persist_run(ranked: DataFrame, path: str, run_id: int, title: str) -> None:
+    """Append a run's results under `path`/results and its summary under `path`/runs."""
+    rows = ranked.select(F.lit(run_id).cast("long").alias("run_id"), "rank", "candidate_id", "overall", "recommendation")
+    rows.write.mode("append").parquet(f"{path}/results")
+    told = rows.agg(F.first("run_id").alias("run_id"), F.lit(title).alias("title"), F.count("*").alias("returned"), F.max("overall").alias("top_score"))
+    told.where("run_id is not null").write.mode("append").parquet(f"{path}/runs")
+
+
+def run_detail(spark, path: str) -> DataFrame:
+    """Every run with its results, best first."""
+    results = spark.read.parquet(f"{path}/results").groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("rank", "candidate_id", "overall"))).alias("results"))
+    return spark.read.parquet(f"{path}/runs").join(results, "run_id")
+
+
+def with_last_score(candidates: DataFrame, results: DataFrame) -> DataFrame:
+    """Candidates with the score of the latest run that has them."""
+    last = results.groupBy("candidate_id").agg(F.max_by("overall", "run_id").alias("__score"))
+    return candidates.join(last, "candidate_id", "left").withColumn("last_match_score", F.coalesce("__score", "last_match_score")).drop("__score")

@@ -156,3 +156,76 @@ def graph_incremental(v):
     fresh = v.edges.join(own, "src", "left_semi")
     merged = v.edges.join(own, "src", "left_anti").unionByName(fresh)
     return merged.join(own, "src", "left_semi").groupBy("relation").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 3).alias("weight"))
+
+
+ROLES = "roles AS (SELECT name AS skill, technology_stack || ' engineer' AS role, upper(technology_stack[1]) || ' unit' AS department FROM skill)"
+
+
+def roles(v):
+    """A role per stack and a department per first letter."""
+    return v.skill.select(F.col("name").alias("skill"), F.concat("technology_stack", F.lit(" engineer")).alias("role"), F.concat(F.upper(F.substring("technology_stack", 1, 1)), F.lit(" unit")).alias("department"))
+
+
+@query("graph_roles", f"""WITH {ROLES} SELECT {K('Skill', 'skill')} AS src, {K('JobRole', 'role')} AS dst, 'REQUIRED_FOR' AS relation, 0.9::DOUBLE AS weight FROM roles
+    UNION SELECT {K('JobRole', 'role')}, {K('Department', 'department')}, 'PART_OF', 1.0::DOUBLE FROM roles""")
+def graph_roles(v):
+    return graph.role_edges(roles(v))
+
+
+@query("graph_stacks", f"""WITH r AS (SELECT skill_id AS a, lead(skill_id) OVER (PARTITION BY category ORDER BY skill_id) AS b FROM skill)
+    SELECT DISTINCT {K('Technology', 'x.technology_stack')} AS src, {K('Technology', 'y.technology_stack')} AS dst, 'DEPENDS_ON' AS relation, 0.5::DOUBLE AS weight
+    FROM r JOIN skill x ON x.skill_id = a JOIN skill y ON y.skill_id = b WHERE x.technology_stack <> y.technology_stack""")
+def graph_stacks(v):
+    from pyspark.sql import Window as W
+
+    after = F.lead("skill_id").over(W.partitionBy("category").orderBy("skill_id"))
+    relation = v.skill.select(F.col("skill_id").alias("source_skill_id"), after.alias("target_skill_id")).where("target_skill_id is not null")
+    return graph.stack_edges(v.skill, relation)
+
+
+@query("graph_work", f"""WITH p AS (SELECT candidate_id, 'Rollout' AS project, min(raw_text) AS skill FROM candidate_skill GROUP BY 1),
+    pk AS (SELECT *, 'Project:' || candidate_id || '-rollout' AS k FROM p)
+    SELECT DISTINCT {K('Company', 'company_name')} AS src, 'Technology:spark' AS dst, 'USES' AS relation, 0.6::DOUBLE AS weight FROM experience WHERE candidate_id % 2 = 0
+    UNION ALL SELECT 'Candidate:' || candidate_id, k, 'COMPLETED', 1.0 FROM pk UNION ALL SELECT k, {K('Skill', 'skill')}, 'USED_SKILL', 0.7 FROM pk
+    UNION ALL SELECT 'Candidate:' || candidate_id, {K('Education', 'highest_degree')}, 'STUDIED_AT', 1.0 FROM alive""")
+def graph_work(v):
+    jobs = v.experience.select("candidate_id", "company_name", F.when(F.col("candidate_id") % 2 == 0, "Spark").alias("technology"))
+    projects = v.candidate_skill.groupBy("candidate_id").agg(F.lit("Rollout").alias("project"), F.min("raw_text").alias("skill"))
+    schools = v.alive.select("candidate_id", F.lit(None).cast("string").alias("institution"), F.col("highest_degree").alias("degree"))
+    return graph.work_edges(jobs, projects, schools)
+
+
+@query("traverse_labels", f"""WITH {WALK} SELECT seed, node, label, weight, depth, row_number() OVER (PARTITION BY seed ORDER BY weight DESC, depth, node) AS place
+    FROM s2 JOIN gnodes ON key = node WHERE depth > 0 AND label IN ('Category', 'Technology') QUALIFY place <= 5""")
+def traverse_labels(v):
+    return graph.reachable(v.nodes, graph.traverse(v.edges, _seeds(v, "Candidate"), 2), ["Category", "Technology"], 5)
+
+
+@query("graph_overview", """WITH seeds AS (SELECT * FROM (SELECT 'Candidate:' || candidate_id AS key FROM alive ORDER BY created_at DESC NULLS LAST, candidate_id DESC LIMIT 25)
+      UNION ALL SELECT key FROM (SELECT dst AS key, count(*) AS n FROM gedges WHERE relation = 'HAS_SKILL' GROUP BY 1 ORDER BY n DESC, key LIMIT 20)),
+    ball AS (SELECT key FROM seeds UNION SELECT dst FROM gedges JOIN seeds ON src = key)
+    SELECT relation, count(*) AS n, round(sum(weight), 3) AS weight FROM gedges WHERE src IN (SELECT key FROM ball) AND dst IN (SELECT key FROM ball) GROUP BY 1""")
+def graph_overview(v):
+    near = graph.subgraph(v.edges, graph.overview_seeds(v.alive, v.edges), 1)
+    return near.groupBy("relation").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 3).alias("weight"))
+
+
+@query("graph_candidate_view", """WITH ball AS (SELECT 'Candidate:7' AS key UNION SELECT dst FROM gedges WHERE src = 'Candidate:7'),
+    two AS (SELECT key FROM ball UNION SELECT dst FROM gedges JOIN ball ON src = key) SELECT e.* FROM gedges e WHERE src IN (SELECT key FROM two) AND dst IN (SELECT key FROM two)""")
+def graph_candidate_view(v):
+    """All edges within two steps of one candidate."""
+    return graph.subgraph(v.edges, v.nodes.where("key = 'Candidate:7'").select("key"), 2)
+
+
+@query("node_properties", """SELECT 'Candidate:' || candidate_id AS key, CASE WHEN candidate_id % 2 = 0 THEN 'second' ELSE 'first' END AS last_status, 'first' AS first_status,
+      CASE WHEN candidate_id % 3 <> 0 THEN city END AS city FROM alive""")
+def node_properties(v):
+    """Two writes of every candidate's properties: nulls never win."""
+    k = F.col("candidate_id")
+    key = graph.node_key("Candidate", k.cast("string"))
+    props = lambda status, city: F.create_map(F.lit("status"), status, F.lit("city"), city)
+    one = v.alive.select(key.alias("key"), F.lit(1).alias("seq"), props(F.lit("first"), F.when(k % 3 != 0, F.col("city"))).alias("properties"))
+    two = v.alive.select(key.alias("key"), F.lit(2).alias("seq"), props(F.when(k % 2 == 0, "second"), F.lit(None).cast("string")).alias("properties"))
+    both = one.unionByName(two)
+    first = graph.first_properties(both).select("key", F.col("properties")["status"].alias("first_status"))
+    return graph.merge_properties(both).join(first, "key").select("key", F.col("properties")["status"].alias("last_status"), "first_status", F.col("properties")["city"].alias("city"))

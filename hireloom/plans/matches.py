@@ -116,3 +116,122 @@ def match_widen(v):
 @query("match_narrative")
 def match_narrative(v):
     return matching.narrative(_ranked(v), request(v))
+
+
+REC = "CASE WHEN mandatory_missing THEN CASE WHEN overall >= 60 THEN 'Consider' ELSE 'Not Recommended' END WHEN overall >= 85 THEN 'Highly Recommended' WHEN overall >= 70 THEN 'Recommended' WHEN overall >= 50 THEN 'Consider' ELSE 'Not Recommended' END"
+
+
+@query("match_recommendation", f"WITH {SCORE} SELECT candidate_id, overall, {REC} AS recommendation FROM fin")
+def match_recommendation(v):
+    scored = matching.score(v, v.alive, request(v), vector_scores(v))
+    return scored.select("candidate_id", "overall", matching.recommendation(F.col("overall"), F.col("mandatory_missing")).alias("recommendation"))
+
+
+COMPLETE = """compl AS (SELECT a.candidate_id, round(((full_name IS NOT NULL)::INT + (city IS NOT NULL OR country IS NOT NULL)::INT + (total_experience_years > 0)::INT + (highest_degree IS NOT NULL)::INT
+      + (coalesce(n, 0) >= 3)::INT + (a.candidate_id IN (SELECT candidate_id FROM experience))::INT + (a.candidate_id IN (SELECT candidate_id FROM certification))::INT) / 12.0, 3)::DOUBLE AS completeness
+      FROM alive a LEFT JOIN (SELECT candidate_id, count(*) AS n FROM candidate_skill GROUP BY 1) USING (candidate_id))"""
+
+
+@query("match_confidence", f"""WITH {EVID}, {COMPLETE}, sure AS (SELECT candidate_id, requested, max(confidence) AS sure FROM candidate_skill JOIN ask ON raw_text = requested OR skill_id = want_id GROUP BY 1, 2),
+    m AS (SELECT candidate_id, avg(sure) AS sure, count(*) AS n FROM evid JOIN sure USING (candidate_id, requested) WHERE match_type = 'exact' GROUP BY 1),
+    ch AS (SELECT candidate_id, count(*) AS channels FROM (SELECT DISTINCT candidate_id, 'v' FROM embedding UNION ALL SELECT DISTINCT candidate_id, 'g' FROM evid WHERE match_type <> 'missing') GROUP BY 1)
+    SELECT candidate_id, round(least(1, greatest(0, 0.3 + 0.25 * coalesce(sure, 0.55) + 0.2 * completeness + 0.15 * least(1.0, coalesce(channels, 0) / 2) + 0.1 * coalesce(n, 0) / 4)) * 100 + 1e-9, 1)::DOUBLE AS confidence
+    FROM alive LEFT JOIN m USING (candidate_id) LEFT JOIN compl USING (candidate_id) LEFT JOIN ch USING (candidate_id)""")
+def match_confidence(v):
+    from hireloom.operators.entities import completeness
+
+    r = request(v)
+    evidence = matching.skill_evidence(v, v.alive, r)
+    complete = completeness(v.alive, v.candidate_skill, v.experience, v.certification)
+    found = v.embedding.select("candidate_id", F.lit("v").alias("c")).unionByName(evidence.where("match_type != 'missing'").select("candidate_id", F.lit("g").alias("c")))
+    channels = found.distinct().groupBy("candidate_id").agg(F.count("*").alias("channels"))
+    return matching.confidence(v, v.alive, r, evidence, complete, channels)
+
+
+def _retrieved(v):
+    """(candidate_id, fused) of living candidates that a channel found."""
+    from hireloom.plans.retrievals import graph_channel, vector_channel
+    from hireloom.operators import retrieval
+
+    fused = retrieval.fuse(graph_channel(v), vector_channel(v))
+    return fused.select(F.split_part("candidate", F.lit(":"), F.lit(2)).cast("long").alias("candidate_id"), "fused").join(v.alive.select("candidate_id"), "candidate_id", "left_semi")
+
+
+def _run(v, **more):
+    from pyspark.sql import Window as W
+
+    r = request(v, **more)
+    newest = v.alive.orderBy(F.desc_nulls_last("created_at"), F.desc("candidate_id")).limit(max(4 * r.top_k, 60))
+    recent = newest.select("candidate_id", F.row_number().over(W.orderBy(F.desc_nulls_last("created_at"), F.desc("candidate_id"))).alias("place"))
+    pool = matching.candidate_pool(_retrieved(v), recent, v.alive, r)
+    scored = matching.score(v, pool, r, vector_scores(v))
+    return matching.rank(scored.withColumn("recommendation", matching.recommendation(F.col("overall"), F.col("mandatory_missing"))), r), r
+
+
+STATUSES = ["new", "shortlisted", "in_review", "hired"]
+
+
+def run_sql(top: int, statuses: list[str]) -> str:
+    """A run's rows, after the parts of `SCORE` and of the fused retrieval."""
+    allowed = ", ".join(f"'{s}'" for s in statuses)
+    return f"""pool AS (SELECT candidate_id FROM (SELECT split_part(candidate, ':', 2)::BIGINT AS candidate_id, round(0.65 * coalesce(graph, 0) + 0.35 * coalesce(vec.vector, 0), 4) AS fused FROM g FULL OUTER JOIN vecs vec USING (candidate))
+        JOIN alive USING (candidate_id) ORDER BY fused DESC, candidate_id LIMIT {max(4 * top, 60)}),
+      run AS (SELECT row_number() OVER (ORDER BY overall DESC, f.total_experience_years DESC, f.full_name) AS rank, candidate_id, overall, {REC} AS recommendation
+        FROM fin f JOIN alive a USING (candidate_id) WHERE candidate_id IN (SELECT candidate_id FROM pool) AND status IN ({allowed}) ORDER BY rank LIMIT {top})"""
+
+
+def _run_query(top: int, select: str) -> str:
+    from hireloom.plans.retrievals import GRAPH, VEC
+
+    hops_once = GRAPH.split("dir AS (", 1)[1]  # `SCORE` has the hops already
+    return f"WITH {SCORE}, dir AS ({hops_once}, {VEC.replace('vec AS', 'vecs AS', 1)}, {run_sql(top, STATUSES)} {select}"
+
+
+def _register_runs() -> None:
+    """The run queries; they need the retrieval plans, which need this module."""
+
+    @query("match_run", _run_query(20, "SELECT * FROM run"))
+    def match_run(v):
+        return _run(v, statuses=STATUSES)[0].select("rank", "candidate_id", "overall", "recommendation")
+
+    @query("match_run_detail", _run_query(20, "SELECT 7 AS run_id, 'first' AS title, count(*) AS returned, max(overall) AS top_score, string_agg(candidate_id, ';' ORDER BY rank) AS best FROM run"))
+    def match_run_detail(v):
+        """A run written, and read again with its results."""
+        from hireloom.plans.streams import checkpoint
+
+        path = checkpoint(v)
+        ranked, _ = _run(v, statuses=STATUSES)
+        matching.persist_run(ranked, path, 7, "first")
+        told = matching.run_detail(v.spark, path)
+        return told.select(F.col("run_id").cast("int").alias("run_id"), "title", "returned", "top_score", F.array_join(F.transform("results", lambda r: r["candidate_id"].cast("string")), ";").alias("best"))
+
+    @query("match_last_score", _run_query(20, "SELECT candidate_id, coalesce(run.overall, last_match_score) AS last_match_score FROM candidate LEFT JOIN run USING (candidate_id)"))
+    def match_last_score(v):
+        ranked, _ = _run(v, statuses=STATUSES)
+        results = ranked.select("candidate_id", "overall", F.lit(7).alias("run_id"))
+        return matching.with_last_score(v.candidate, results).select("candidate_id", "last_match_score")
+
+
+@query("match_single", f"WITH {SCORE} SELECT candidate_id, overall, {REC} AS recommendation FROM fin WHERE candidate_id = 7")
+def match_single(v):
+    """One candidate, scored by itself."""
+    scored = matching.score(v, v.alive.where("candidate_id = 7"), request(v, top_k=1), vector_scores(v))
+    return scored.select("candidate_id", "overall", matching.recommendation(F.col("overall"), F.col("mandatory_missing")).alias("recommendation"))
+
+
+@query("match_additional_skills", f"""WITH {EVID} SELECT candidate_id, raw_text, row_number() OVER (PARTITION BY candidate_id ORDER BY confidence DESC, raw_text) AS place FROM candidate_skill JOIN alive USING (candidate_id)
+    WHERE (candidate_id, raw_text) NOT IN (SELECT (candidate_id, requested) FROM evid WHERE match_type = 'exact') QUALIFY place <= 15""")
+def match_additional_skills(v):
+    return matching.additional_skills(v.candidate_skill, matching.skill_evidence(v, v.alive, request(v)), v.alive)
+
+
+@query("match_gaps", f"""WITH {SCORE}, top AS (SELECT candidate_id, total_experience_years FROM fin ORDER BY overall DESC, total_experience_years DESC, full_name LIMIT 20)
+    SELECT candidate_id, concat_ws('; ', (SELECT string_agg('No evidence of ' || requested, '; ' ORDER BY weight DESC, requested) FROM evid e WHERE e.candidate_id = t.candidate_id AND match_type = 'missing'),
+      CASE WHEN total_experience_years < 5 THEN 'Experience is ' || round(5 - total_experience_years, 1) || ' years short' END) AS gaps,
+      concat_ws('; ', (SELECT string_agg(requested, '; ' ORDER BY weight DESC, requested) FROM evid e WHERE e.candidate_id = t.candidate_id AND match_type = 'exact'),
+      CASE WHEN total_experience_years >= 5 THEN 'Meets the experience bar (' || total_experience_years || ' yrs)' END) AS strengths FROM top t""")
+def match_gaps(v):
+    r = request(v)
+    ranked = matching.rank(matching.score(v, v.alive, r, vector_scores(v)), r)
+    told = matching.strengths_and_gaps(ranked, matching.skill_evidence(v, v.alive, r), r)
+    return told.select("candidate_id", F.array_join("gaps", "; ").alias("gaps"), F.array_join("strengths", "; ").alias("strengths"))
