@@ -66,3 +66,38 @@ def timeline(experience: DataFrame, certification: DataFrame) -> DataFrame:
     work = experience.select("candidate_id", F.lit("experience").alias("kind"), F.col("company_name").alias("title"), F.date_format("start_date", "yyyy-MM-dd").alias("sort_key"))
     held = certification.select("candidate_id", F.lit("certification").alias("kind"), F.col("name").alias("title"), F.lit("0000").alias("sort_key"))
     return work.unionByName(held)
+
+
+def by_education(candidates: DataFrame, education: DataFrame, text: str) -> DataFrame:
+    """Candidates with an education whose degree, institution or field contains the text."""
+    low = text.lower()
+    hit = reduce(lambda a, b: a | b, [F.lower(F.coalesce(c, F.lit(""))).contains(low) for c in ("degree", "institution", "field")])
+    return candidates.join(education.where(hit).select("candidate_id"), "candidate_id", "left_semi")
+
+
+def browse_skills(skills: DataFrame, synonyms: DataFrame, text: str | None = None, category: str | None = None, stack: str | None = None, limit: int = 50) -> DataFrame:
+    """Skills whose name or a synonym contains the text, of a category and stack; the limit comes before the order."""
+    known = synonyms.groupBy("skill_id").agg(F.collect_set(F.lower("synonym")).alias("s"))
+    rows = skills.join(known, "skill_id", "left")
+    if text:
+        rows = rows.where(F.lower("name").contains(text.lower()) | F.coalesce(F.exists("s", lambda x: x.contains(text.lower())), F.lit(False)))
+    if category:
+        rows = rows.where(F.lower("category") == category.lower())
+    if stack:
+        rows = rows.where(F.lower("technology_stack") == stack.lower())
+    return rows.drop("s").orderBy("skill_id").limit(limit).orderBy("name")
+
+
+def full_timeline(experience: DataFrame, certification: DataFrame, education: DataFrame) -> DataFrame:
+    """`timeline` with education (candidate_id, degree, end_year); latest first, undated last."""
+    learned = education.select("candidate_id", F.lit("education").alias("kind"), F.col("degree").alias("title"), F.coalesce(F.col("end_year").cast("string"), F.lit("0000")).alias("sort_key"))
+    place = F.row_number().over(W.partitionBy("candidate_id").orderBy(F.desc("sort_key"), "kind", "title"))
+    return timeline(experience, certification).unionByName(learned).withColumn("place", place)
+
+
+def export_rows(candidates: DataFrame, links: DataFrame, most: int = 1000, skills: int = 12) -> DataFrame:
+    """The latest candidates with their first skills as one cell, for a CSV file."""
+    newest = candidates.orderBy(F.desc_nulls_last("created_at"), F.desc("candidate_id")).limit(most)
+    own = links.join(newest.select("candidate_id"), "candidate_id", "left_semi")
+    cell = main_skills(own, skills).select("candidate_id", F.array_join("top_skills", "; ").alias("skills"))
+    return newest.join(cell, "candidate_id", "left").withColumn("skills", F.coalesce("skills", F.lit("")))

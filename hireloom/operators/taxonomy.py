@@ -30,8 +30,11 @@ def resolve(phrases: DataFrame, skills: DataFrame, synonyms: DataFrame, fuzzy: b
     rest = found.where("by_key is null and by_synonym is null").select("phrase", "key")
     if not fuzzy:
         return sure.unionByName(rest.select("phrase", F.lit(None).cast("long").alias("skill_id"), F.lit("none").alias("match_type"), F.lit(0.0).alias("confidence")))
-    names = F.broadcast(by_key.where(F.length("key") >= 4).select(F.col("key").alias("other"), F.col("by_key").alias("skill_id")))
-    near = rest.where(F.length("key") >= 4).join(names, F.abs(F.length("key") - F.length("other")) <= 4)
+    # Keys of 4 letters or more that are 0.9 alike share three letters in a row, so only such pairs are compared.
+    threes = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substring(c, i, 3)))
+    names = by_key.where(F.length("key") >= 4).select(F.col("key").alias("other"), F.col("by_key").alias("skill_id"), F.explode(threes("key")).alias("three"))
+    asked = rest.where(F.length("key") >= 4).select("phrase", "key", F.explode(threes("key")).alias("three"))
+    near = asked.join(names, "three").where(F.abs(F.length("key") - F.length("other")) <= 4).select("phrase", "key", "other", "skill_id").distinct()
     scored = near.withColumn("s", similarity("key", "other")).where(F.col("s") >= least)
     best = scored.withColumn("n", F.row_number().over(W.partitionBy("phrase").orderBy(F.desc("s"), "skill_id"))).where("n = 1")
     close = best.select("phrase", "skill_id", F.lit("fuzzy").alias("match_type"), F.round(F.col("s") * 0.9, 3).alias("confidence"))
@@ -50,6 +53,24 @@ def scan_text(docs: DataFrame, skills: DataFrame, most: int = 4, key: str = "doc
     )
 
 
+def scan_terms(docs: DataFrame, terms: DataFrame, most: int = 4, key: str = "doc_id") -> DataFrame:
+    """Terms named in whole texts by runs of 1..most tokens of a line: (key, term_id, confidence, line_no, mentions, evidence).
+
+    `terms` (term_id, name, confidence): names count 1.0, synonyms less; of several hits of a term the surest, then
+    the first line gives its evidence.
+    """
+    lines = docs.select(key, F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
+    keyed = lines.select(key, "line_no", "line", F.transform(tokenize(F.col("line"), stopwords=False), normalize_key).alias("keys"))
+    runs = lambda n: F.transform(F.sequence(F.lit(1), F.size("keys") - n + 1), lambda i: F.array_join(F.slice("keys", i, n), ""))
+    grams = F.flatten(F.array(*[F.when(F.size("keys") >= n, runs(n)).otherwise(F.array().cast("array<string>")) for n in range(1, most + 1)]))
+    known = terms.select(normalize_key(F.col("name")).alias("gram"), "term_id", "confidence").groupBy("gram", "term_id").agg(F.max("confidence").alias("confidence"))
+    hits = keyed.select(key, "line_no", "line", F.explode(grams).alias("gram")).join(known, "gram")
+    first = F.struct(-F.col("confidence"), "line_no")
+    return hits.groupBy(key, "term_id").agg(
+        F.max("confidence").alias("confidence"), F.min_by("line_no", first).alias("line_no"), F.count("*").alias("mentions"), F.min_by(F.substring("line", 1, 140), first).alias("evidence")
+    )
+
+
 def expand_one(skills: DataFrame, relation: DataFrame) -> DataFrame:
     """One step from every skill: (skill_id, other, weight, kind), parents, then children, then related."""
     parents = skills.where("parent_skill_id is not null")

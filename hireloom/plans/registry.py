@@ -56,7 +56,7 @@ def with_relations(sql: str) -> str:
 
 
 def load() -> dict[str, Query]:
-    from hireloom.plans import documents, graphs, matches, profiles, relational, retrievals, streams, taxonomies, vectors  # noqa: F401
+    from hireloom.plans import access, documents, graphs, matches, profiles, relational, retrievals, streams, taxonomies, vectors  # noqa: F401
 
     if "match_run" not in CATALOGUE:
         matches._register_runs()

@@ -75,3 +75,15 @@ def stream_dedup(v):
 @query("stream_sessions", "WITH o AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM o) SELECT user_id, min(ts) AS started, count(*) AS events FROM s GROUP BY user_id, session")
 def stream_sessions(v):
     return run(v, ev.session_windows(ev.event_stream(v.spark, v.sf_dir)), "complete")
+
+
+@query("lockout_outcomes")
+def lockout_outcomes(v):
+    """Every attempt with what became of it."""
+    return ev.timed_lockouts(log(v))
+
+
+@query("rate_limit_stream")
+def rate_limit_stream(v):
+    """`rate_limit_accepted` as a stream with each user's accepted times as its state."""
+    return run(v, ev.accepted_stream(ev.event_stream(v.spark, v.sf_dir), 60, 2), "append")

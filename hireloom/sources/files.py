@@ -73,6 +73,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """(name, kind, checksum, refused, text, pages, warning) of the files under a path, duplicates included.
 
     Text comes from plain and word files; other kinds, for which there is no reader here, have a warning.
+    Files of no bytes are not listed.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     name = F.regexp_extract("path", "([^/]*)$", 1)

@@ -78,6 +78,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     Raises ValueError for files that `check_files` refuses (none is over 2 MB) or that lack a name column.
     """
     files = check_files(spark, path)
+    if files.isEmpty():  # files of no bytes aren't listed
+        raise ValueError("no skills CSV with content")
     refused = [f"{r['path']}: {r['refused']}" for r in files.where("refused is not null").limit(10).collect()]
     if refused:
         raise ValueError("; ".join(refused))

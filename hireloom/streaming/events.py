@@ -109,6 +109,37 @@ def lockouts(events: DataFrame, failures: int = 5) -> DataFrame:
     return runs.withColumn("nth", nth).where(F.col("nth") % failures == 0).select("user_id", "event_id", F.col("ts").alias("locked_at"))
 
 
+def timed_lockouts(events: DataFrame, failures: int = 5, minutes: int = 15) -> DataFrame:
+    """(event_id, user_id, outcome) of every attempt: so many failures in a row lock a user for some minutes.
+
+    Attempts within that time are `locked` and count for nothing; one after it starts from none. A success
+    ends a row of failures. Attempts at one time come in order of their ids.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        user, row, until = None, 0, None
+        for batch in batches:
+            out = []
+            for u, t, failed in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
+                if u != user:
+                    user, row, until = u, 0, None
+                if until is not None and t < until:
+                    out.append("locked")
+                    continue
+                if until is not None:
+                    row, until = 0, None
+                row = row + 1 if failed else 0
+                if row >= failures:
+                    until = t + minutes * 60_000_000
+                out.append("failed" if failed else "ok")
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], names=["event_id", "user_id", "outcome"])
+
+    micros = F.coalesce(F.unix_micros("ts"), F.lit(-(1 << 62)))
+    rows = events.select(F.col("event_id").cast("long"), F.col("user_id").cast("long"), micros.alias("micros"), F.coalesce(F.col("event_type") == "error", F.lit(False)).alias("failed"))
+    ordered = rows.repartition("user_id").sortWithinPartitions("user_id", "micros", "event_id")
+    return ordered.mapInArrow(run, "event_id long, user_id long, outcome string")
+
+
 def run_available(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
     """Run a stream over what is there and return its result table, which lies as Parquet beside the checkpoint."""
     spark, out = stream.sparkSession, f"{checkpoint}-out/{name}"
