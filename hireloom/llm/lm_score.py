@@ -368,7 +368,7 @@ def train(
     start_from_counts(params, counts)
     seen = 0
     words = spark.sparkContext.broadcast(vocab)
-    turn = F.pmod(F.xxhash64("doc_id", "text", F.lit("network")), F.lit(rounds))
+    turn = F.pmod(F.xxhash64("doc_id", F.crc32("text"), F.lit("network")), F.lit(rounds))
     tasks = docs.rdd.getNumPartitions()
     for i in range(rounds):
         shared = spark.sparkContext.broadcast(params)
@@ -406,6 +406,29 @@ def _own_words(head):
     return run
 
 
+#: Buckets of counts in each octave, to find where the most frequent words begin.
+STEPS_PER_OCTAVE = 16
+
+
+def most_frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
+    """At most `most` words of at most `HEAD_BYTES`, the most frequent first, equally frequent ones by bytes; at least `VOCAB` if there are.
+
+    A histogram of the counts (some hundred rows) says above which count that many words lie, and only those
+    are fetched; words of the count where the list ends are fetched only if fewer than `VOCAB` lie above.
+    """
+    short = counts.where(F.octet_length("word") <= HEAD_BYTES).withColumn("step", F.floor(F.log2("c") * STEPS_PER_OCTAVE).cast("int"))
+    above, cut = 0, None
+    for r in sorted(short.groupBy("step").count().collect(), key=lambda r: -r["step"]):
+        if above + r["count"] > most:
+            cut = r["step"]
+            break
+        above += r["count"]
+    rows = (short.where(F.col("step") > cut) if cut is not None else short).select("word", "c").collect()
+    if cut is not None and above < VOCAB:
+        rows += short.where(F.col("step") == cut).orderBy(F.desc("c"), "word").limit(min(VOCAB, most) - above).select("word", "c").collect()
+    return sorted(((bytes(r["word"]), r["c"]) for r in rows), key=lambda x: (-x[1], x[0]))
+
+
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -454,7 +477,8 @@ def score_texts(spark: SparkSession, docs: DataFrame, folds: int = 10, fold: int
     Learns from the rows outside the fold. `base_score` is the smoothed
     unigram log10 probability, `score` the network's. Words that training
     never met have the probability of one unseen word; of words equally
-    frequent the first by bytes enters the vocabulary. Rows that repeat count
+    frequent the first by bytes enters the vocabulary, words of over 64 bytes
+    never do. Rows that repeat count
     and score as often as they occur, and two texts of one doc_id score apart;
     null ids are in no fold and are learned from; very long texts are scored
     whole; an empty table gives an empty result; other columns are not read.
@@ -472,20 +496,19 @@ def score_texts(spark: SparkSession, docs: DataFrame, folds: int = 10, fold: int
     # The fold leaves out a share of the texts; the size of all only sets the number of chunks.
     chars = told.get(CHARS, 0) * folds / max(1, folds - 1) if ends else rows.agg(F.sum(F.length("text"))).first()[0] or 0
     total, distinct = summed["n"] + ends, summed["v"] + (ends > 0)
-    top = counts.orderBy(F.desc("c"), "word").limit(VOCAB).collect()  # the model's vocabulary
-    vocab = {bytes(r["word"]): i + 2 for i, r in enumerate(top)}
-    known = sum(r["c"] for r in top)
-    vocab_counts = np.array([ends, summed["n"] - known, *[r["c"] for r in top]], dtype=np.float64)
+    often = most_frequent(counts, HEAD)
+    top = often[:VOCAB]  # the model's vocabulary
+    vocab = {w: i + 2 for i, (w, _) in enumerate(top)}
+    known = sum(c for _, c in top)
+    vocab_counts = np.array([ends, summed["n"] - known, *[c for _, c in top]], dtype=np.float64)
     vocab_mass = float(ends + 0.1 + known + 0.1 * len(top))
     params = spark.sparkContext.broadcast(train(spark, train_rows, vocab, vocab_counts)[0])
-    often = counts.where(F.octet_length("word") <= HEAD_BYTES).orderBy(F.desc("c"), "word").limit(HEAD).toPandas()
-    more = [(bytes(w), c) for w, c in zip(often["word"], often["c"]) if bytes(w) not in vocab]
-    counted = np.array([*[r["c"] for r in top], *[c for _, c in more]], dtype=np.float64)
-    head = spark.sparkContext.broadcast(({w: i + 1 for i, w in enumerate([*vocab, *[w for w, _ in more]])}, counted))
+    counted = np.array([c for _, c in often], dtype=np.float64)
+    head = spark.sparkContext.broadcast(({w: i + 1 for i, (w, _) in enumerate(often)}, counted))
 
     chunks = max(1, int(chars // CHUNK_CHARS) + 1)
     # Several times as many partitions as chunks, so that few chunks share one.
-    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int")).repartition(4 * chunks, "chunk")
+    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.crc32("text")), F.lit(chunks)).cast("int")).repartition(4 * chunks, "chunk")
     asked = dealt.groupBy("chunk").applyInArrow(_own_words(head), "chunk int, word binary")  # the same columns, so texts are dealt once
     told = asked.join(counts, "word", "left").select("chunk", "word", F.coalesce("c", F.lit(0)).alias("c"))
     scorer = _score_chunk(params, head, len(vocab), int(total), int(distinct), int(ends), vocab_mass)
