@@ -23,11 +23,13 @@ BUCKETS = 1 << 20
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only a session without that setting (tests, a notebook in local mode) gets
-    a temporary folder of this machine.
+    Only a local session without that setting (tests, a notebook) gets a
+    temporary folder of this machine; on a cluster it must be set.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = f"file://{tempfile.mkdtemp(prefix='hireloom-')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
