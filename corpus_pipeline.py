@@ -13,27 +13,27 @@ from hireloom.llm.packing import pack_documents
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised."""
+    """Documents whose language is recognised; those without text or letters go. The other cases are in `keep_identified`."""
     return keep_identified(spark, docs)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text."""
+    """One document of each text, null and empty texts as one; see `drop_exact_duplicates`."""
     return drop_exact_duplicates(spark, docs, keep="largest")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies; documents without words all stay. See `drop_near_duplicates`."""
     return drop_near_duplicates(spark, docs, k=5, percent=75)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of sources takes it."""
+    """Each document as often as the mix of sources takes it; documents without words never. See `take_mix`."""
     return take_mix(spark, docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces in sequences of 2048."""
+    """Token pieces in sequences of 2048; even an empty document has its end. See `pack_documents`."""
     return pack_documents(spark, docs, capacity=2048, end_id=0)
 
 

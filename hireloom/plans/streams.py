@@ -15,7 +15,10 @@ def checkpoint(v: Views) -> str:
     """A folder that driver and executors share; of this machine only where none is set."""
     import tempfile
 
-    base = v.spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='hireloom-stream-')}"
+    base = v.spark.conf.get("spark.checkpoint.dir", None)
+    if not base and v.spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    base = base or f"file://{tempfile.mkdtemp(prefix='hireloom-stream-')}"
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex[:12]}"
 
 
