@@ -110,9 +110,9 @@ LINE = "list_filter(list_transform(regexp_extract_all(lower(line), '[a-z0-9+#.]+
 
 
 @query("scan_documents", f"""WITH b AS (SELECT item_id AS term_id, {TOKENS.format('text')} AS t FROM benchmark), terms AS (SELECT term_id, array_to_string(t[1:3], '') AS gram, 1.0::DOUBLE AS confidence FROM b UNION ALL SELECT term_id, array_to_string(t[4:5], ''), 0.95 FROM b),
-    known AS (SELECT gram, term_id, max(confidence) AS confidence FROM (SELECT regexp_replace(gram, '[^\p{{L}}\p{{N}}+#]', '', 'g') AS gram, term_id, confidence FROM terms) WHERE gram <> '' GROUP BY 1, 2),
+    known AS (SELECT gram, term_id, max(confidence) AS confidence FROM (SELECT regexp_replace(gram, '[^\\p{{L}}\\p{{N}}+#]', '', 'g') AS gram, term_id, confidence FROM terms) WHERE gram <> '' GROUP BY 1, 2),
     lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS line_no FROM documents),
-    keys AS (SELECT doc_id, line_no, line, list_transform({LINE}, lambda x: regexp_replace(x, '[^\p{{L}}\p{{N}}+#]', '', 'g')) AS k FROM lines),
+    keys AS (SELECT doc_id, line_no, line, list_transform({LINE}, lambda x: regexp_replace(x, '[^\\p{{L}}\\p{{N}}+#]', '', 'g')) AS k FROM lines),
     grams AS (SELECT doc_id, line_no, line, unnest(list_transform(range(1, len(k) - n + 2), lambda i: array_to_string(k[i:i + n - 1], ''))) AS gram FROM keys, (VALUES (1), (2), (3), (4)) w(n) WHERE len(k) >= n)
     SELECT doc_id, term_id, max(confidence) AS confidence, arg_min(line_no, (-confidence, line_no))::INT AS line_no, count(*) AS mentions, arg_min(line[:140], (-confidence, line_no)) AS evidence FROM grams JOIN known USING (gram) GROUP BY 1, 2""")
 def scan_documents(v):
