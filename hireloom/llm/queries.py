@@ -69,12 +69,34 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(spark, _docs(spark, sf_dir), capacity=2048, end_id=0)
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import find_secrets
+
+    return find_secrets(spark, _docs(spark, sf_dir))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .collocations import mine_phrases
+
+    return mine_phrases(spark, _docs(spark, sf_dir))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hard_negatives import hard_negatives
+
+    return hard_negatives(spark, spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql():
+    from . import collocations, hard_negatives
+
     return {
+        "op12_collocations": collocations.SQL,
+        "op13_hard_negatives": hard_negatives.SQL,
         "op1_exact_dedup": """
             SELECT doc_id,
                    max(doc_id) OVER same AS keep_id,
