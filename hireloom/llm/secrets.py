@@ -149,6 +149,9 @@ def look_slots(classes: str, start: int, n: int, spread: int, hexa: bool, ascii_
     mixed = f"{min(core.count('0') * 4 // max(n, 1), 3)}{min(core.count('A') * 4 // max(n, 1), 3)}{ascii_:d}"
     own = [f"size {size}", f"mix {mixed}", f"size {size} mix {mixed}", f"turns {turns}", f"turns {turns} size {size}"]
     own += [f"spread {spread} size {size}", f"marks {min(core.count('-'), 4)}", f"shape {shape[:6]}", f"hex {hexa:d} {size}"]
+    folded = "".join(k for k, _ in groupby(core[:64].replace("A", "a")))
+    share = min(core.count("0") * 8 // max(n, 1), 5)
+    own += [f"digits {share} size {size}", f"folded {min(len(folded), 8)} size {size}", f"folded {min(len(folded), 8)} digits {share}"]
     side = [f"shape {shape[:4]} {size}", f"size {size}", f"ends {ends}"]
     return [_slot(f) for f in own], [_slot(f"before {f}") for f in side], [_slot(f"after {f}") for f in side]
 
