@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hireloom.functions.text import normalize_key, title_case
+from hireloom.operators.components import connected
 from hireloom.functions.vectors import hash_embedding
 from hireloom.operators.documents import chunk_text
 
@@ -103,17 +104,16 @@ def find_person(incoming: DataFrame, people: DataFrame) -> DataFrame:
     return joined.select("resume_id", F.coalesce("by_link", "by_mail", "by_number").alias("candidate_id"), how.alias("found_by"), "mail", "number")
 
 
-def new_person_groups(found: DataFrame, rounds: int = 3) -> DataFrame:
-    """(resume_id, person): the new persons of a batch, those that share an e-mail or a phone as one, named by the smallest resume.
+def new_person_groups(found: DataFrame) -> DataFrame:
+    """(resume_id, person): the new persons of a batch, those tied by shared e-mails and phones as one, named by the smallest resume.
 
-    Each round passes the smallest name along shared e-mails and then phones; a chain of n links needs n / 2 rounds.
+    Resumes of a mail or a phone are tied to the smallest one that has it; persons are the connected components, chains of any length included.
     """
-    rows = found.where("candidate_id is null").select("resume_id", "mail", "number").withColumn("person", F.col("resume_id"))
-    for _ in range(rounds):
-        for key in ("mail", "number"):
-            least = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("person").alias("least"))
-            rows = rows.join(least, key, "left").select("resume_id", "mail", "number", F.least("person", F.coalesce("least", "person")).alias("person"))
-    return rows.select("resume_id", "person")
+    rows = found.where("candidate_id is null").select("resume_id", "mail", "number")
+    keys = rows.select("resume_id", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("value")) for k in ("mail", "number")])).alias("key")).where("key.value is not null")
+    first = keys.groupBy("key").agg(F.min("resume_id").alias("b"))
+    tied = connected(keys.join(first, "key").select(F.col("resume_id").alias("a"), "b"))
+    return rows.select("resume_id").join(tied, F.col("resume_id") == F.col("node"), "left").select("resume_id", F.coalesce("root", "resume_id").alias("person"))
 
 
 def merge_fields(old: DataFrame, new: DataFrame, key: str, lowered: tuple[str, ...] = ("email",)) -> DataFrame:

@@ -54,10 +54,10 @@ def slugify(v):
     return v.table("part").select("p_partkey", text.slugify(F.concat("p_name", F.lit(" & "), "p_brand")).alias("slug"))
 
 
-@query("title_case", """SELECT p_partkey, upper(s[1][1]) || lower(s[1][2:]) || ' of ' || upper(s[2][1]) || lower(s[2][2:]) || ' SQL' AS title FROM (SELECT p_partkey, string_split(p_name, ' ') AS s FROM part)""")
+@query("title_case", """SELECT p_partkey, upper(s[1][1]) || s[1][2:] || ' of McDonald on the R&D Or IPhone ' || upper(s[2][1]) || s[2][2:] || ' AWS3 KUBERNETES' AS title FROM (SELECT p_partkey, string_split(p_name, ' ') AS s FROM part)""")
 def title_case(v):
     parts = F.split("p_name", " ")
-    return v.table("part").select("p_partkey", text.title_case(F.concat(parts[0], F.lit(" of "), parts[1], F.lit(" SQL"))).alias("title"))
+    return v.table("part").select("p_partkey", text.title_case(F.concat(parts[0], F.lit(" Of McDonald on The R&D or iPhone "), parts[1], F.lit(" AWS3 KUBERNETES"))).alias("title"))
 
 
 @query("clean_text")
@@ -118,9 +118,10 @@ def extract_contacts(v):
 
 
 @query("extract_links", """SELECT page_id, len(u) AS links, array_to_string(list_sort(u), ';') AS urls FROM (
-      SELECT page_id, list_distinct(list_transform(regexp_extract_all(html, '(?i)(https?://[^\\s,;)\\]"''<>]+|www\\.[^\\s,;)\\]"''<>]+)'), lambda x: CASE WHEN starts_with(lower(x), 'www.') THEN 'https://' || x ELSE x END)) AS u FROM pages)""")
+      SELECT page_id, list_distinct(list_transform(regexp_extract_all(page, '(?i)(https?://[^\\s,;)\\]"''<>]+|www\\.[^\\s,;)\\]"''<>]+)'), lambda x: CASE WHEN starts_with(lower(x), 'www.') THEN 'https://' || rtrim(x, '.,;') ELSE rtrim(x, '.,;') END)) AS u
+      FROM (SELECT page_id, html || ' Read www.a.org/b' || page_id || '... and https://a.b/c. ' AS page FROM pages))""")
 def extract_links(v):
-    found = v.table("pages").select("page_id", text.urls(F.col("html")).alias("u"))
+    found = v.table("pages").select("page_id", text.urls(F.concat("html", F.lit(" Read www.a.org/b"), "page_id", F.lit("... and https://a.b/c. "))).alias("u"))
     return found.select("page_id", F.size("u").alias("links"), F.array_join(F.array_sort("u"), ";").alias("urls"))
 
 

@@ -194,3 +194,11 @@ def test_merged_months(spark):
     df = spark.createDataFrame([(s,) for s in spans], "s array<struct<start:string,end:string>>")
     typed = F.transform("s", lambda x: F.struct(x["start"].cast("date").alias("start"), x["end"].cast("date").alias("end")))
     assert [r[0] for r in df.select(extract.merged_months(typed)).collect()] == want
+
+
+def test_a_chain_of_new_persons_is_one(spark):
+    rows = [(i, f"m{i // 2}", f"n{(i + 1) // 2}") for i in range(1, 301)]  # mails and phones tie neighbours in turn
+    rows += [(500, None, None), (501, "x", None), (502, "x", None), (503, None, "y")]
+    found = spark.createDataFrame([(None, *r) for r in rows], "candidate_id long, resume_id long, mail string, number string").repartition(4)
+    got = {r["resume_id"]: r["person"] for r in profiles.new_person_groups(found).collect()}
+    assert got == {i: 1 for i in range(1, 301)} | {500: 500, 501: 501, 502: 501, 503: 503}
