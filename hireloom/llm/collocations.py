@@ -30,23 +30,37 @@ SHARD_WORDS = 2_000_000
 CELLS = 1 << 23
 #: Parts of the walk that the subtrie of one first word is dealt to.
 SALTS = 16
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes as this operator reads them: A-Z lower-cased, what ends a piece as \n, tabs as spaces.
+_BYTES = np.arange(256, dtype=np.uint8)
+_BYTES[65:91] += 32
+_BYTES[np.frombuffer(b".,;:!?\n\x0b\x0c\r", np.uint8)] = 10
+_BYTES[9] = 32
 
-PATH = "lang string, words array<string>, f long"
+PATH = "lang string, path string, f long"
 WALKED = "lang string, words array<string>, f long, parts array<long>"
 
 
-def _tokens(langs: pa.Array, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """(language, word) entries of a batch: words, the number of each one's piece and of its document."""
-    pieces = pc.split_pattern_regex(pc.cast(texts, pa.large_string()), r"[.,;:!?\n\x0b\x0c\r]")
-    docs = pc.list_parent_indices(pieces).to_numpy()
-    words = pc.split_pattern_regex(pieces.flatten(), "[ \t]+")
-    piece = pc.list_parent_indices(words).to_numpy()
-    flat = words.flatten()
-    there = pc.not_equal(flat, "")
-    kept = there.to_numpy(zero_copy_only=False)
-    return flat.filter(there), piece[kept], docs[piece[kept]]
+def _tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Words of a batch of texts, the number of each one's piece and of its document."""
+    texts = pc.cast(texts, pa.large_string())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    held = texts.buffers()[2]
+    data = _BYTES[np.frombuffer(held, np.uint8)[offsets[0] : offsets[-1]]] if held is not None and len(texts) else np.zeros(0, np.uint8)
+    opens = offsets[:-1] - offsets[0]
+    opens = opens[opens < len(data)]
+    new_piece = data == 10
+    keep = ~new_piece & (data != 32)
+    starts = keep.copy()
+    starts[1:] &= ~keep[:-1]
+    starts[opens] = keep[opens]
+    new_piece[opens] = True
+    at = np.flatnonzero(starts)
+    piece = np.cumsum(new_piece)[at]
+    doc = np.searchsorted(offsets - offsets[0], at, side="right") - 1
+    letters = data[keep]
+    ends = np.append(np.cumsum(keep)[at] - 1, len(letters)).astype(np.int64)
+    return pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(ends), pa.py_buffer(letters)), piece, doc
 
 
 def path_hash(hashes: list[np.ndarray]) -> np.ndarray:
@@ -89,7 +103,7 @@ def trie_levels(lang: np.ndarray, word: np.ndarray, piece: np.ndarray, n_words:
 
 
 def _shards(depths: range, bitmap, step: int):
-    """Serialised tries of a partition: sorted runs of (lang, words, f). `bitmap` tells which paths of `step` words are frequent."""
+    """Serialised tries of a partition: sorted runs of (lang, path, f), a path being words joined by spaces. `bitmap` tells which paths of `step` words are frequent."""
 
     def serialise(held):
         langs = pa.chunked_array([h[0] for h in held]).combine_chunks().dictionary_encode()
@@ -100,12 +114,7 @@ def _shards(depths: range, bitmap, step: int):
             offset += (int(h[2].max()) + 1) if len(h[2]) else 0
         piece = np.concatenate(pieces)
         lang, word = langs.indices.to_numpy().astype(np.int64), words.indices.to_numpy().astype(np.int64)
-        # Numbers in the order of the words, so that a trie in the order of its numbers is sorted.
         names = words.dictionary.to_pylist()
-        order = np.array(sorted(range(len(names)), key=names.__getitem__), np.int64)
-        number = np.empty_like(order)
-        number[order] = np.arange(len(order))
-        word, names = number[word], [names[i] for i in order]
         frequent = None
         if step:
             bits = np.frombuffer(bitmap.value, np.uint8)
@@ -115,6 +124,19 @@ def _shards(depths: range, bitmap, step: int):
             cell = path_hash([lang_hash[lang[starts]]] + [word_hash[word[starts + j]] for j in range(step)])
             frequent = np.zeros(len(word) + DEPTH, bool)
             frequent[starts] = (bits[(cell >> np.uint64(3)).astype(np.int64)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1
+            # Words on no frequent path get no number: only the others are put in order.
+            on = np.zeros(len(word), bool)
+            for j in range(step):
+                on[j:] |= frequent[: len(word) - j]
+            used = np.zeros(len(names), bool)
+            used[word[on]] = True
+        else:
+            used = np.ones(len(names), bool)
+        # Numbers in the order of the words, so that a trie in the order of its numbers is sorted.
+        order = np.array(sorted(np.flatnonzero(used).tolist(), key=names.__getitem__), np.int64)
+        number = np.zeros(len(names), np.int64)
+        number[order] = np.arange(len(order))
+        word, names = number[word], [names[i] for i in order]
 
         def fits(depth, at):
             if frequent is None:
@@ -125,17 +147,14 @@ def _shards(depths: range, bitmap, step: int):
 
         text = pa.array(names, pa.string())
         for lang_at, columns, counts in trie_levels(lang, word, piece, max(len(names), 1), depths, fits):
-            depth = len(columns)
-            flat = text.take(pa.array(np.stack(columns, axis=1).ravel()))
-            offsets = pa.array(np.arange(0, len(counts) * depth + 1, depth, dtype=np.int32))
-            paths = pa.ListArray.from_arrays(offsets, flat)
-            table = pa.table({"lang": langs.dictionary.take(pa.array(lang_at)).cast(pa.string()), "words": paths, "f": pa.array(counts, pa.int64())})
+            paths = pc.binary_join_element_wise(*[text.take(pa.array(c)) for c in columns], " ")
+            table = pa.table({"lang": langs.dictionary.take(pa.array(lang_at)).cast(pa.string()), "path": paths, "f": pa.array(counts, pa.int64())})
             yield from table.to_batches(100_000)
 
     def run(batches):
         held, size = [], 0
         for batch in batches:
-            words, piece, doc = _tokens(batch.column(0), batch.column(1))
+            words, piece, doc = _tokens(batch.column(1))
             if not len(words):
                 continue
             held.append((batch.column(0).take(pa.array(doc)), words, piece))
@@ -151,34 +170,34 @@ def _shards(depths: range, bitmap, step: int):
 
 def _merge(batches):
     """Add the counts of equal neighbours of a sorted stream of paths."""
+    names = ["lang", "path", "f"]
     held = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        lang, words, f = (batch.column(i) for i in range(3))
-        key = pc.binary_join(words, " ")
+        lang, path, f = (batch.column(i) for i in range(3))
         new = np.ones(batch.num_rows, bool)
         if batch.num_rows > 1:
-            differs = pc.or_(pc.not_equal(key[1:], key[:-1]), pc.not_equal(lang[1:], lang[:-1]))
+            differs = pc.or_(pc.not_equal(path[1:], path[:-1]), pc.not_equal(lang[1:], lang[:-1]))
             new[1:] = differs.to_numpy(zero_copy_only=False)
         starts = np.flatnonzero(new)
         sums = np.add.reduceat(f.to_numpy(), starts)
         if held is not None:
-            if held[0] == lang[0].as_py() and held[1] == key[0].as_py():
-                sums[0] += held[3]
+            if held[:2] == (lang[0].as_py(), path[0].as_py()):
+                sums[0] += held[2]
             else:
-                yield pa.RecordBatch.from_arrays([pa.array([held[0]]), pa.array([held[2]], words.type), pa.array([held[3]])], names=["lang", "words", "f"])
+                yield pa.RecordBatch.from_arrays([pa.array([h]) for h in held], names=names)
         at = int(starts[-1])
-        held = (lang[at].as_py(), key[at].as_py(), words[at].as_py(), int(sums[-1]))
+        held = (lang[at].as_py(), path[at].as_py(), int(sums[-1]))
         places = pa.array(starts[:-1])
-        yield pa.RecordBatch.from_arrays([lang.take(places), words.take(places), pa.array(sums[:-1])], names=["lang", "words", "f"])
+        yield pa.RecordBatch.from_arrays([lang.take(places), path.take(places), pa.array(sums[:-1])], names=names)
     if held is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([held[0]]), pa.array([held[2]], pa.list_(pa.string())), pa.array([held[3]])], names=["lang", "words", "f"])
+        yield pa.RecordBatch.from_arrays([pa.array([h]) for h in held], names=names)
 
 
 def merged(shards: DataFrame) -> DataFrame:
     """Tries of all shards as one: dealt by ranges of prefixes, sorted runs merged, equal paths added."""
-    return shards.repartitionByRange("lang", "words").sortWithinPartitions("lang", "words").mapInArrow(_merge, PATH)
+    return shards.repartitionByRange("path", "lang").sortWithinPartitions("path", "lang").mapInArrow(_merge, PATH)
 
 
 def _bitmap(spark: SparkSession, frequent: DataFrame):
@@ -187,13 +206,13 @@ def _bitmap(spark: SparkSession, frequent: DataFrame):
     def cells(batches):
         for batch in batches:
             lang = batch.column(0).to_pylist()
-            words = batch.column(1).to_pylist()
+            words = [p.split(" ") for p in batch.column(1).to_pylist()]
             if lang:
                 columns = [_hash(lang)] + [_hash(list(c)) for c in zip(*words)]
                 yield pa.RecordBatch.from_arrays([pa.array(path_hash(columns).astype(np.int32))], names=["cell"])
 
     bits = np.zeros(CELLS, bool)
-    found = frequent.select("lang", "words").mapInArrow(cells, "cell int").distinct().toArrow()  # at most CELLS numbers
+    found = frequent.select("lang", "path").mapInArrow(cells, "cell int").distinct().toArrow()  # at most CELLS numbers
     bits[found.column("cell").to_numpy()] = True
     return spark.sparkContext.broadcast(np.packbits(bits, bitorder="little").tobytes())
 
@@ -251,8 +270,7 @@ def mine_phrases(spark: SparkSession, docs: DataFrame, least: int = 100, top: in
     are ignored.
     """
     scratch = Scratch(spark, "collocations")
-    text = F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER)
-    texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), text.alias("text"))
+    texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
 
     def level(name, depths, bitmap=None, step=0):
         with small_batches(spark, 500):
@@ -269,7 +287,8 @@ def mine_phrases(spark: SparkSession, docs: DataFrame, least: int = 100, top: in
     pairs = level("pairs", range(2, 3), ones, 1)
     twos = _bitmap(spark, pairs)
     longer = level("longer", range(3, DEPTH + 1), twos, 2)
-    trie = scratch.keep(often.unionByName(pairs).unionByName(longer), "trie")
+    paths = often.unionByName(pairs).unionByName(longer)
+    trie = scratch.keep(paths.select("lang", F.split("path", " ").alias("words"), "f"), "trie")
 
     begins = walked(trie).withColumnRenamed("parts", "lefts")
     ends = walked(trie.withColumn("words", F.reverse("words"))).select("lang", F.reverse("words").alias("words"), F.col("parts").alias("rights"))
