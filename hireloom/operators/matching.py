@@ -4,16 +4,22 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hireloom.operators.taxonomy import expand_one
+from hireloom.functions.text import normalize_key, normalize_key_py, similarity_py
+from hireloom.functions.vectors import embed_many
+from hireloom.operators.taxonomy import RELATED, expand_kinds, resolve
 
 WEIGHTS = {"skill": 0.4, "semantic": 0.2, "experience": 0.2, "certification": 0.1, "project": 0.1}
 FULL_SEMANTIC = 0.75
 PREFERRED = 0.5
 MANDATORY_MISS = 0.6
 RELATED_CAP = 0.85
+#: Credit of a step up or down, how alike names must be to count by meaning, what that counts, at most and in part.
+STEP_CREDIT = 0.75
+SEMANTIC_LEAST, SEMANTIC_CREDIT, LEXICAL = 0.72, 0.8, 0.9
 #: Halves of a hundredth round up, however the product came out in binary.
 TIE = 1e-9
 BANDS = [(85, "strong_hire"), (70, "hire"), (50, "consider")]
@@ -32,6 +38,8 @@ class Request:
     top_k: int = 10
     min_score: float = 0.0
     job_title: str = "the role"
+    #: Whether names that are only alike count (SQL can't say how alike they are).
+    semantic: bool = True
 
 
 def component_weights(overrides: dict[str, float]) -> dict[str, float]:
@@ -41,30 +49,96 @@ def component_weights(overrides: dict[str, float]) -> dict[str, float]:
     return {k: w / total for k, w in merged.items()}
 
 
-def requested_skills(v, request: Request) -> DataFrame:
-    """One row per requested skill; required ones come first and weigh 1, preferred ones 0.5."""
+def requested_skills(v, request: Request, synonyms: DataFrame | None = None) -> DataFrame:
+    """One row per requested skill, equal keys once; required ones come first and weigh 1, preferred ones 0.5.
+
+    `want_id` is the skill of that key; with `synonyms` (synonym, skill_id)
+    also the one that `taxonomy.resolve` finds.
+    """
+    must = {normalize_key_py(m) for m in request.mandatory}
     seen: dict[str, tuple] = {}
     for names, weight in ((request.required, 1.0), (request.preferred, PREFERRED)):
         for n in names:
-            seen.setdefault(n.lower(), (n, weight, n.lower() in {m.lower() for m in request.mandatory}))
+            seen.setdefault(normalize_key_py(n), (n, weight, normalize_key_py(n) in must))
     rows = v.spark.createDataFrame(list(seen.values()), "requested string, weight double, mandatory boolean")
-    return F.broadcast(rows).join(v.skill.select(F.col("name").alias("requested"), F.col("skill_id").alias("want_id")), "requested", "left")
+    if synonyms is not None:
+        known = resolve(rows.select(F.col("requested").alias("phrase")), v.skill, synonyms)
+        return F.broadcast(rows).join(known.select(F.col("phrase").alias("requested"), F.col("skill_id").alias("want_id")), "requested", "left")
+    keys = v.skill.groupBy(normalize_key(F.col("name")).alias("key")).agg(F.max("skill_id").alias("want_id"))
+    return F.broadcast(rows.withColumn("key", normalize_key(F.col("requested")))).join(keys, "key", "left").drop("key")
+
 
+def similar_names(names: DataFrame, asked: list[str], least: float = SEMANTIC_LEAST) -> DataFrame:
+    """(name, requested, alike) of the distinct `names` (name) at least so alike to one asked for.
 
-def skill_evidence(v, candidates: DataFrame, request: Request) -> DataFrame:
-    """(candidate_id, requested, match_type, score): a direct link scores 1, a related one its credit squared, at most 0.85."""
-    asked = F.broadcast(requested_skills(v, request))
+    Alike is the cosine of the hash embeddings, or 0.9 x the similarity of the
+    keys if that is more. Every name is embedded once; the names asked for are
+    those of one request and travel with the function. Null names are left out.
+    """
+    wanted = embed_many(asked) if asked else None
+    sizes = [len(normalize_key_py(a)) for a in asked]
+
+    def compare(batches):
+        for batch in batches:
+            held = batch["name"].tolist()
+            rows = []
+            for at in range(0, len(held) if asked else 0, 256):
+                part = held[at : at + 256]
+                for name, cosines in zip(part, (embed_many(part) @ wanted.T).tolist()):
+                    n = len(normalize_key_py(name))
+                    for a, size, alike in zip(asked, sizes, cosines):
+                        # Keys of such lengths are at most so similar: the letters are compared only where they could decide.
+                        if n and size and LEXICAL * 2 * min(n, size) / (n + size) >= max(least, alike):
+                            alike = max(alike, LEXICAL * similarity_py(a, name))
+                        if alike >= least:
+                            rows.append((name, a, alike))
+            yield pd.DataFrame(rows, columns=["name", "requested", "alike"])
+
+    return names.select("name").where("name is not null").distinct().mapInPandas(compare, "name string, requested string, alike double")
+
+
+def skill_evidence(v, candidates: DataFrame, request: Request, synonyms: DataFrame | None = None) -> DataFrame:
+    """(candidate_id, requested, weight, mandatory, match_type, score, matched_skill): the best evidence of every requested skill.
+
+    In this order: `exact` and `synonym` (a link to the skill, or of its key; 1),
+    `related` (a held skill within two steps: credit of its last step times its
+    weight, at most 0.85), `semantic` (a held name that is alike: 0.8 of how much,
+    see `similar_names`), `missing` (0). A synonym is a link to the skill under
+    another key. Of equally good names the first in alphabetical order is told.
+    """
+    asked = F.broadcast(requested_skills(v, request, synonyms))
     pool = candidates.select("candidate_id")
-    links = v.candidate_skill.join(pool, "candidate_id", "left_semi").select("candidate_id", "raw_text", "skill_id")
-    direct = links.join(asked, (F.col("raw_text") == F.col("requested")) | (F.col("skill_id") == F.col("want_id")))
-    direct = direct.select("candidate_id", "requested", F.lit(1.0).alias("score")).distinct()
-    hops = F.broadcast(expand_one(v.skill, v.skill_relation).select(F.col("skill_id").alias("want_id"), F.col("other").alias("skill_id"), F.col("weight").alias("credit")))
-    near = asked.join(hops, "want_id").groupBy("requested", "skill_id").agg(F.max("credit").alias("credit"))
-    related = links.join(F.broadcast(near), "skill_id").groupBy("candidate_id", "requested").agg(F.round(F.least(F.max(F.col("credit") * F.col("credit")), F.lit(RELATED_CAP)), 4).alias("near"))
+    own = v.skill.select("skill_id", "name")
+    links = v.candidate_skill.join(pool, "candidate_id", "left_semi").select("candidate_id", "raw_text", "skill_id").join(own, "skill_id", "left")
+    links = links.withColumn("name", F.coalesce("name", "raw_text")).withColumn("key", normalize_key(F.col("raw_text")))
+    goal = asked.join(own.select(F.col("skill_id").alias("want_id"), F.col("name").alias("display")), "want_id", "left")
+    goal = F.broadcast(goal.withColumn("display", F.coalesce("display", "requested")).withColumn("asked_key", normalize_key(F.col("requested"))))
+    by_id = F.col("skill_id") == F.col("want_id")
+    hit = links.join(goal, by_id | (F.col("key") == F.col("asked_key")))
+    order = F.struct(F.when(by_id, 0).otherwise(1).alias("by"), F.when(by_id & (F.col("key") != normalize_key(F.col("display"))), "synonym").otherwise("exact").alias("type"), "name")
+    direct = hit.groupBy("candidate_id", "requested").agg(F.min(order).alias("direct"))
+    # The request is a handful of skills, and so are the skills within two steps of each.
+    near = expand_kinds(v.skill, v.skill_relation, 2, asked.where("want_id is not null").select(F.col("want_id").alias("skill_id")).distinct())
+    credit = F.when(F.col("kind") == 2, RELATED).otherwise(STEP_CREDIT) * F.col("near_weight")
+    near = asked.join(near.select(F.col("skill_id").alias("want_id"), F.col("other").alias("skill_id"), F.col("weight").alias("near_weight"), "kind"), "want_id").select("requested", "skill_id", credit.alias("credit"))
+    related = links.join(near, "skill_id").groupBy("candidate_id", "requested").agg(F.min(F.struct((-F.col("credit")).alias("loss"), "name")).alias("near"))
     grid = pool.crossJoin(asked)  # the request is a handful of rows
     joined = grid.join(direct, ["candidate_id", "requested"], "left").join(related, ["candidate_id", "requested"], "left")
-    kind = F.when(F.col("score").isNotNull(), "exact").when(F.col("near").isNotNull(), "related").otherwise("missing")
-    return joined.select("candidate_id", "requested", "weight", "mandatory", kind.alias("match_type"), F.coalesce("score", "near", F.lit(0.0)).alias("score"))
+    if request.semantic:
+        names = {r["requested"]: r["display"] for r in goal.select("requested", "display").collect()}  # the request's own few names
+        found = similar_names(links, sorted(set(names.values()))).withColumnRenamed("requested", "display")
+        alike = links.select("candidate_id", "name").join(found, "name").join(goal.select("requested", "display"), "display")
+        best = alike.groupBy("candidate_id", "requested").agg(F.min(F.struct((-F.col("alike")).alias("loss"), "name")).alias("alike"))
+        joined = joined.join(best, ["candidate_id", "requested"], "left")
+    else:
+        joined = joined.withColumn("alike", F.lit(None).cast("struct<loss:double,name:string>"))
+    kind = F.when(F.col("direct").isNotNull(), F.col("direct.type")).when(F.col("near").isNotNull(), "related").when(F.col("alike").isNotNull(), "semantic").otherwise("missing")
+    by_step = F.when(F.col("near").isNotNull(), F.round(F.least(F.lit(RELATED_CAP), -F.col("near.loss")), 3))
+    by_name = F.when(F.col("alike").isNotNull(), F.round(F.least(F.lit(SEMANTIC_CREDIT), -F.col("alike.loss") * SEMANTIC_CREDIT), 3))
+    score = F.when(F.col("direct").isNotNull(), 1.0).otherwise(F.coalesce(by_step, by_name, F.lit(0.0)))
+    return joined.select(
+        "candidate_id", "requested", "weight", "mandatory", kind.alias("match_type"), score.alias("score"), F.coalesce("direct.name", "near.name", "alike.name").alias("matched_skill")
+    )
 
 
 def experience_score(years: Column, request: Request) -> tuple[Column, bool]:
@@ -103,7 +177,7 @@ def score(v, candidates: DataFrame, request: Request, vector_scores: DataFrame)
     skill = evidence.groupBy("candidate_id").agg(
         F.round(100 * F.sum(F.col("weight") * F.col("score")) / F.sum("weight"), 2).alias("skill"),
         F.bool_or(F.col("mandatory") & (F.col("match_type") == "missing")).alias("mandatory_missing"),
-        F.count_if(F.col("match_type") == "exact").alias("matched"), F.count_if(F.col("match_type") == "related").alias("related"),
+        F.count_if(F.col("match_type").isin("exact", "synonym")).alias("matched"), F.count_if(F.col("match_type").isin("related", "semantic")).alias("related"),
         F.count_if(F.col("match_type") == "missing").alias("missing"),
     )
     rows = candidates.join(skill, "candidate_id").join(vector_scores.select("candidate_id", F.col("score").alias("vector")), "candidate_id", "left")
@@ -179,7 +253,7 @@ def confidence(v, candidates: DataFrame, request: Request, evidence: DataFrame,
     asked = requested_skills(v, request)
     links = v.candidate_skill.join(F.broadcast(asked), (F.col("raw_text") == F.col("requested")) | (F.col("skill_id") == F.col("want_id")))
     sure = links.groupBy("candidate_id", "requested").agg(F.max("confidence").alias("sure"))
-    matched = evidence.where("match_type = 'exact'").join(sure, ["candidate_id", "requested"], "left")
+    matched = evidence.where("match_type in ('exact', 'synonym')").join(sure, ["candidate_id", "requested"], "left")
     found = matched.groupBy("candidate_id").agg(F.avg(F.coalesce("sure", F.lit(NO_EVIDENCE))).alias("sure"), F.count("*").alias("n"))
     total = max(1, len({n.lower() for n in request.required + request.preferred}))
     rows = candidates.select("candidate_id").join(found, "candidate_id", "left").join(complete, "candidate_id", "left").join(channels, "candidate_id", "left")
@@ -212,7 +286,7 @@ def additional_skills(links: DataFrame, evidence: DataFrame, candidates: DataFra
     """A candidate's skills that no request asked for, by confidence: (candidate_id, raw_text, place), at most `MOST_ADDITIONAL`."""
     from pyspark.sql import Window as W
 
-    used = evidence.where("match_type = 'exact'").select("candidate_id", F.col("requested").alias("raw_text"))
+    used = evidence.where("match_type in ('exact', 'synonym')").select("candidate_id", F.col("requested").alias("raw_text"))
     rest = links.join(candidates.select("candidate_id"), "candidate_id", "left_semi").join(used, ["candidate_id", "raw_text"], "left_anti")
     place = F.row_number().over(W.partitionBy("candidate_id").orderBy(F.desc("confidence"), "raw_text"))
     return rest.select("candidate_id", "raw_text", place.alias("place")).where(F.col("place") <= MOST_ADDITIONAL)
@@ -221,8 +295,8 @@ def additional_skills(links: DataFrame, evidence: DataFrame, candidates: DataFra
 def strengths_and_gaps(ranked: DataFrame, evidence: DataFrame, request: Request) -> DataFrame:
     """(candidate_id, strengths, gaps, questions, learning, career_fit) of ranked rows, as the template words them."""
     own = evidence.join(ranked.select("candidate_id"), "candidate_id", "left_semi")
-    listed = lambda kind: F.transform(F.array_sort(F.collect_list(F.when(F.col("match_type") == kind, F.struct(-F.col("weight"), "requested")))), lambda x: x["requested"])
-    lists = own.groupBy("candidate_id").agg(listed("exact").alias("matched"), listed("related").alias("near"), listed("missing").alias("absent"))
+    listed = lambda *kinds: F.transform(F.array_sort(F.collect_list(F.when(F.col("match_type").isin(*kinds), F.struct(-F.col("weight"), "requested")))), lambda x: x["requested"])
+    lists = own.groupBy("candidate_id").agg(listed("exact", "synonym").alias("matched"), listed("related", "semantic").alias("near"), listed("missing").alias("absent"))
     rows = ranked.select("candidate_id", "total_experience_years", "overall").join(lists, "candidate_id", "left")
     low, years = request.min_years, F.col("total_experience_years")
     some = lambda a, n, f: F.transform(F.slice(a, 1, n), f)

@@ -80,24 +80,32 @@ def expand_one(skills: DataFrame, relation: DataFrame) -> DataFrame:
     return up.unionByName(down).unionByName(side)
 
 
-def expand(skills: DataFrame, relation: DataFrame, depth: int) -> DataFrame:
-    """(skill_id, other, depth, weight): first visit breadth first, weights multiplied.
+def expand_kinds(skills: DataFrame, relation: DataFrame, depth: int, seeds: DataFrame | None = None) -> DataFrame:
+    """(skill_id, other, depth, weight, kind) of `seeds` (skill_id), or of all skills: first visit breadth first, weights multiplied.
 
     A skill's neighbours are visited parent, children by id, related by id; a
     skill that several reach at one level counts for the one visited first.
+    `kind` is that of the last step, as in `expand_one`.
     """
     hops = expand_one(skills, relation).withColumnRenamed("weight", "hop")
     order = W.partitionBy("seed", "node").orderBy("rank", "kind")
-    level = skills.select(F.col("skill_id").alias("seed"), F.col("skill_id").alias("node"), F.lit(0).alias("depth"), F.lit(1.0).alias("weight"), F.lit(0).alias("rank"))
+    start = skills if seeds is None else seeds
+    level = start.select(F.col("skill_id").alias("seed"), F.col("skill_id").alias("node"), F.lit(0).alias("depth"), F.lit(1.0).alias("weight"), F.lit(0).alias("rank"), F.lit(-1).alias("kind"))
     seen = level
     for d in range(1, depth + 1):
-        step = level.join(hops, F.col("node") == F.col("skill_id")).select(
+        step = level.drop("kind").join(hops, F.col("node") == F.col("skill_id")).select(
             "seed", F.col("other").alias("node"), F.lit(d).alias("depth"), F.round(F.col("weight") * F.col("hop"), 4).alias("weight"), "rank", "kind"
         )
         first = step.withColumn("n", F.row_number().over(order)).where("n = 1").join(seen.select("seed", "node"), ["seed", "node"], "left_anti")
-        level = first.withColumn("rank", F.row_number().over(W.partitionBy("seed").orderBy("rank", "kind", "node"))).select("seed", "node", "depth", "weight", "rank")
+        ranked = first.withColumn("rank", F.row_number().over(W.partitionBy("seed").orderBy("rank", "kind", "node")))
+        level = ranked.select("seed", "node", "depth", "weight", "rank", "kind")
         seen = seen.unionByName(level)
-    return seen.where("depth > 0").select(F.col("seed").alias("skill_id"), F.col("node").alias("other"), "depth", "weight")
+    return seen.where("depth > 0").select(F.col("seed").alias("skill_id"), F.col("node").alias("other"), "depth", "weight", "kind")
+
+
+def expand(skills: DataFrame, relation: DataFrame, depth: int) -> DataFrame:
+    """`expand_kinds` of all skills without the kinds."""
+    return expand_kinds(skills, relation, depth).drop("kind")
 
 
 def suggest(prefix: str, skills: DataFrame, candidates: DataFrame, experience: DataFrame, n: int = 5) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+from types import SimpleNamespace
+
 from pyspark.sql import functions as F
 
 from hireloom.operators import matching
 from hireloom.plans.registry import query
 from hireloom.plans.relational import skill_names
-from hireloom.plans.taxonomies import HOPS
+from hireloom.plans.taxonomies import HOPS, NORM
 from hireloom.plans.vectors import COS, QV, first_vector
 from hireloom.functions.vectors import cosine
 
@@ -17,7 +20,7 @@ CERTS = ["Brand#11", "Brand#23 STANDARD"]
 def request(v, **more) -> matching.Request:
     """The first two skills by name are required (the first is mandatory), the next two preferred."""
     names = skill_names(v, 4)
-    base = dict(required=names[:2], preferred=names[2:], mandatory=names[:1], certifications=CERTS, min_years=5.0, max_years=11.0, top_k=20)
+    base = dict(required=names[:2], preferred=names[2:], mandatory=names[:1], certifications=CERTS, min_years=5.0, max_years=11.0, top_k=20, semantic=False)
     return matching.Request(**(base | more))
 
 
@@ -29,12 +32,20 @@ def vector_scores(v):
 
 ASK = "ask AS (SELECT name AS requested, skill_id AS want_id, CASE WHEN rn <= 2 THEN 1.0 ELSE 0.5 END::DOUBLE AS weight, rn = 1 AS mandatory FROM (SELECT *, row_number() OVER (ORDER BY name) AS rn FROM skill) WHERE rn <= 4)"
 EVID = f"""{ASK}, {HOPS},
-    near AS (SELECT requested, other AS skill_id, max(h.weight) AS credit FROM ask JOIN hops h ON h.skill_id = want_id GROUP BY 1, 2),
-    direct AS (SELECT DISTINCT candidate_id, requested FROM candidate_skill JOIN ask ON raw_text = requested OR skill_id = want_id),
-    rel AS (SELECT candidate_id, requested, round(least(max(credit * credit), 0.85), 4) AS near FROM candidate_skill JOIN near USING (skill_id) GROUP BY 1, 2),
-    evid AS (SELECT a.candidate_id, k.requested, k.weight, k.mandatory, CASE WHEN d.candidate_id IS NOT NULL THEN 'exact' WHEN r.near IS NOT NULL THEN 'related' ELSE 'missing' END AS match_type,
+    d2 AS (SELECT d1.seed, h.other AS node, round(d1.weight * h.weight, 4) AS weight, h.kind, row_number() OVER (PARTITION BY d1.seed, h.other ORDER BY rank, h.kind) AS n
+      FROM d1 JOIN hops h ON h.skill_id = d1.node WHERE h.other <> d1.seed AND NOT EXISTS (SELECT 1 FROM d1 p WHERE p.seed = d1.seed AND p.node = h.other)),
+    reach AS (SELECT seed, node, weight, kind FROM d1 UNION ALL SELECT seed, node, weight, kind FROM d2 WHERE n = 1),
+    near AS (SELECT requested, node AS skill_id, max(CASE WHEN kind = 2 THEN 0.6 ELSE 0.75 END::DOUBLE * r.weight) AS credit FROM ask JOIN reach r ON seed = want_id GROUP BY 1, 2),
+    direct AS (SELECT candidate_id, requested, CASE WHEN min(CASE WHEN skill_id = want_id THEN 0 ELSE 1 END) = 0 AND NOT bool_or(skill_id = want_id AND {NORM.format('raw_text')} = {NORM.format('requested')}) THEN 'synonym' ELSE 'exact' END AS type
+      FROM links JOIN ask ON {NORM.format('raw_text')} = {NORM.format('requested')} OR skill_id = want_id GROUP BY 1, 2),
+    rel AS (SELECT candidate_id, requested, round(least(max(credit), 0.85), 3) AS near FROM links JOIN near USING (skill_id) GROUP BY 1, 2),
+    evid AS (SELECT a.candidate_id, k.requested, k.weight, k.mandatory, CASE WHEN d.candidate_id IS NOT NULL THEN d.type WHEN r.near IS NOT NULL THEN 'related' ELSE 'missing' END AS match_type,
         CASE WHEN d.candidate_id IS NOT NULL THEN 1.0 ELSE coalesce(r.near, 0) END::DOUBLE AS score
       FROM alive a CROSS JOIN ask k LEFT JOIN direct d ON d.candidate_id = a.candidate_id AND d.requested = k.requested LEFT JOIN rel r ON r.candidate_id = a.candidate_id AND r.requested = k.requested)"""
+#: The same ladder over links written otherwise: the words of every third skill the other way round, and of others in capitals.
+TURNED_LINKS = "links AS (SELECT candidate_id, skill_id, CASE WHEN skill_id % 3 = 1 THEN array_to_string(list_reverse(string_split(raw_text, ' ')), ' ') ELSE upper(raw_text) END AS raw_text FROM candidate_skill)"
+TURNED = f"{TURNED_LINKS}, {EVID}"
+EVID = f"links AS (SELECT * FROM candidate_skill), {EVID}"
 EXPER = "CASE WHEN total_experience_years >= 5 THEN CASE WHEN total_experience_years > 11 THEN 88.0 ELSE 100.0 END ELSE round(pow(greatest(0, least(1, total_experience_years / 5)), 1.2) * 100, 2) END"
 CERTQ = f"cert AS (SELECT candidate_id, round(100.0 * count(DISTINCT wanted) / 2, 2)::DOUBLE AS certification FROM certification JOIN (VALUES {', '.join(f'(lower({c!r}))' for c in CERTS)}) w(wanted) ON contains(lower(name), wanted) OR contains(wanted, lower(name)) GROUP BY 1)"
 PROJ = "proj AS (SELECT candidate_id, round(100.0 * sum(hit) / 4, 2)::DOUBLE AS project FROM (SELECT DISTINCT e.candidate_id, requested, max(contains(lower(company_name), lower(requested))::INT) OVER (PARTITION BY e.candidate_id, requested) AS hit FROM experience e CROSS JOIN ask) GROUP BY 1)"
@@ -45,6 +56,30 @@ def match_skill_evidence(v):
     return matching.skill_evidence(v, v.alive, request(v)).select("candidate_id", "requested", "weight", "mandatory", "match_type", "score")
 
 
+def turned_links(v):
+    """Skill links whose raw texts are written otherwise, see `TURNED_LINKS`."""
+    words = F.array_join(F.reverse(F.split("raw_text", " ")), " ")
+    return v.candidate_skill.withColumn("raw_text", F.when(F.col("skill_id") % 3 == 1, words).otherwise(F.upper("raw_text")))
+
+
+def over_turned(v):
+    return SimpleNamespace(spark=v.spark, skill=v.skill, skill_relation=v.skill_relation, candidate_skill=turned_links(v))
+
+
+@query("match_evidence_synonym", f"WITH {TURNED} SELECT * FROM evid")
+def match_evidence_synonym(v):
+    found = matching.skill_evidence(over_turned(v), v.alive, request(v))
+    return found.select("candidate_id", "requested", "weight", "mandatory", "match_type", "score")
+
+
+@query("match_evidence_ladder")
+def match_evidence_ladder(v):
+    """All five kinds of evidence of all candidates, names that are alike included."""
+    r = request(v, semantic=True)
+    turned = [" ".join(reversed(n.split(" "))) for n in r.preferred]
+    return matching.skill_evidence(over_turned(v), v.alive, replace(r, preferred=turned))
+
+
 @query("match_experience", f"SELECT candidate_id, {EXPER}::DOUBLE AS score FROM alive")
 def match_experience(v):
     years, _ = matching.experience_score(F.col("total_experience_years"), request(v))

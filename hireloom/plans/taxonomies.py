@@ -63,7 +63,7 @@ HOPS = """hops AS (
       SELECT skill_id, parent_skill_id AS other, 0.75::DOUBLE AS weight, 0 AS kind FROM skill WHERE parent_skill_id IS NOT NULL
       UNION ALL SELECT parent_skill_id, skill_id, 0.7, 1 FROM skill WHERE parent_skill_id IS NOT NULL
       UNION ALL SELECT * FROM (SELECT DISTINCT a, b, 0.6::DOUBLE, 2 FROM (SELECT source_skill_id AS a, target_skill_id AS b FROM skill_relation UNION ALL SELECT target_skill_id, source_skill_id FROM skill_relation))),
-    d1 AS (SELECT skill_id AS seed, other AS node, weight, row_number() OVER (PARTITION BY skill_id ORDER BY kind, other) AS rank
+    d1 AS (SELECT skill_id AS seed, other AS node, weight, kind, row_number() OVER (PARTITION BY skill_id ORDER BY kind, other) AS rank
       FROM (SELECT *, row_number() OVER (PARTITION BY skill_id, other ORDER BY kind) AS n FROM hops WHERE skill_id <> other) WHERE n = 1)"""
 
 
@@ -72,7 +72,7 @@ def expand_depth1(v):
     return taxonomy.expand(v.skill, v.skill_relation, 1)
 
 
-@query("expand_depth2", f"""WITH {HOPS}, d2 AS (SELECT d1.seed, h.other AS node, round(d1.weight * h.weight, 4) AS weight, row_number() OVER (PARTITION BY d1.seed, h.other ORDER BY rank, kind) AS n
+@query("expand_depth2", f"""WITH {HOPS}, d2 AS (SELECT d1.seed, h.other AS node, round(d1.weight * h.weight, 4) AS weight, row_number() OVER (PARTITION BY d1.seed, h.other ORDER BY rank, h.kind) AS n
       FROM d1 JOIN hops h ON h.skill_id = d1.node WHERE h.other <> d1.seed AND NOT EXISTS (SELECT 1 FROM d1 p WHERE p.seed = d1.seed AND p.node = h.other))
     SELECT seed AS skill_id, node AS other, 1 AS depth, weight FROM d1 UNION ALL SELECT seed, node, 2, weight FROM d2 WHERE n = 1""")
 def expand_depth2(v):
