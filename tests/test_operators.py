@@ -151,3 +151,24 @@ def test_document_tokens_and_ngrams_are_whole(spark):
     assert len(words) > 200
     assert {r["token"]: r["n"] for r in plans["tokenize_all_counts"](spark, DATA).collect()} == words
     assert {r["gram"]: r["n"] for r in plans["ngram_document_counts"](spark, DATA).collect()} == grams
+
+
+def test_similar_candidates_beyond_a_tile(spark, monkeypatch):
+    """Small tiles and blocks, equal sets, ties by id, against all pairs; the plan joins no candidates by skill."""
+    import random
+
+    for name, value in (("ASKED_SETS", 7), ("OTHER_SETS", 11), ("TILE", (3, 4)), ("SKILLS", 2)):
+        monkeypatch.setattr(graph, name, value)
+    draw = random.Random(5)
+    sets = {i: {draw.randrange(9) for _ in range(draw.randrange(1, 5))} for i in range(150)}
+    links = spark.createDataFrame([(i, s) for i, x in sets.items() for s in x] + [(150, None)], "candidate_id long, skill_id long")
+    alive = spark.createDataFrame([(i,) for i in range(151) if i % 4], "candidate_id long")
+    asked = [i for i in range(151) if i % 3 == 0]
+    got = graph.similar_candidates(links, alive, spark.createDataFrame([(i,) for i in asked], "candidate_id long"), 5)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInPandas" in plan
+    expected = []
+    for i in asked:
+        shared = sorted((-len(sets[i] & x), j) for j, x in sets.items() if j != i and sets[i] & x) if i in sets else []
+        expected += [(i, j, -m, p) for p, (m, j) in enumerate(shared[:5], 1) if j % 4]
+    assert sorted((r["candidate_id"], r["other_id"], r["shared"], r["place"]) for r in got.collect()) == sorted(expected)
