@@ -10,6 +10,7 @@ from hireloom.functions.text import normalize_key, title_case
 from hireloom.operators.components import connected
 from hireloom.functions.vectors import hash_embedding
 from hireloom.operators.documents import chunk_text
+from hireloom.operators.extract import let
 
 #: Chunks of a profile that are embedded at most.
 MOST_CHUNKS = 24
@@ -181,27 +182,40 @@ def persist_skills(mentions: DataFrame, scans: DataFrame, sweeps: DataFrame, eno
 
 def record_completeness(parsed: DataFrame, column: str = "resume") -> DataFrame:
     """(doc_id, completeness): share of twelve checks that a parsed record meets, to 3 places."""
-    r = F.col(column)
-    tests = [
-        r["full_name"].isNotNull() & (r["full_name"] != UNKNOWN), r["email"].isNotNull(), r["phone"].isNotNull(), r["location"].isNotNull(), r["current_title"].isNotNull(),
-        r["current_company"].isNotNull(), r["total_experience_years"] > 0, r["highest_degree"].isNotNull(), F.size(r["skills"]) >= 3, F.size(r["experiences"]) > 0,
-        F.size(r["educations"]) > 0, (F.size(r["projects"]) > 0) | (F.size(r["certifications"]) > 0),
-    ]
-    met = sum((F.when(t, 1).otherwise(0) for t in tests), F.lit(0))
-    return parsed.select("doc_id", F.round(met / len(tests), 3).alias("completeness"))
+    fields = (
+        "full_name", "email", "phone", "location", "current_title", "current_company", "total_experience_years", "highest_degree", "skills", "experiences", "educations", "projects", "certifications",
+    )
+
+    def share(r: Column) -> Column:
+        tests = [
+            r["full_name"].isNotNull() & (r["full_name"] != UNKNOWN), r["email"].isNotNull(), r["phone"].isNotNull(), r["location"].isNotNull(), r["current_title"].isNotNull(),
+            r["current_company"].isNotNull(), r["total_experience_years"] > 0, r["highest_degree"].isNotNull(), F.size(r["skills"]) >= 3, F.size(r["experiences"]) > 0,
+            F.size(r["educations"]) > 0, (F.size(r["projects"]) > 0) | (F.size(r["certifications"]) > 0),
+        ]
+        met = sum((F.when(t, 1).otherwise(0) for t in tests), F.lit(0))
+        return F.round(met / len(tests), 3)
+
+    record = F.struct(*[F.col(column)[f].alias(f) for f in fields])
+    return parsed.select("doc_id", let(record, share).alias("completeness"))
 
 
 def highlights(parsed: DataFrame, column: str = "resume") -> DataFrame:
     """(doc_id, highlights): up to six lines on a parsed record."""
-    r = F.col(column)
-    primary = F.slice(F.transform(F.filter(r["skills"], lambda s: s["source"] == "skills_section"), lambda s: s["name"]), 1, 6)
-    some = lambda n, what: F.when(F.size(n) > 0, F.concat(F.size(n).cast("string"), F.lit(what)))
-    lines = [
-        F.when(r["total_experience_years"] > 0, F.concat(r["total_experience_years"].cast("string"), F.lit(" years of professional experience"))),
-        F.concat(F.lit("Currently "), r["current_title"], F.lit(" at "), r["current_company"]), F.when(F.size(primary) > 0, F.concat(F.lit("Core stack: "), F.array_join(primary, ", "))),
-        some(r["certifications"], " certification(s)"), some(r["projects"], " documented project(s)"), F.concat(F.lit("Education: "), r["highest_degree"]),
-    ]
-    return parsed.select("doc_id", F.slice(F.array_compact(F.array(*lines)), 1, 6).alias("highlights"))
+    some = lambda n, what: let(F.size(n), lambda n: F.when(n > 0, F.concat(n.cast("string"), F.lit(what))))
+
+    def lines(r: Column) -> Column:
+        primary = F.slice(F.transform(F.filter(r["skills"], lambda s: s["source"] == "skills_section"), lambda s: s["name"]), 1, 6)
+        return F.array(
+            F.when(r["total_experience_years"] > 0, F.concat(r["total_experience_years"].cast("string"), F.lit(" years of professional experience"))),
+            F.concat(F.lit("Currently "), r["current_title"], F.lit(" at "), r["current_company"]),
+            let(primary, lambda names: F.when(F.size(names) > 0, F.concat(F.lit("Core stack: "), F.array_join(names, ", ")))),
+            some(r["certifications"], " certification(s)"), some(r["projects"], " documented project(s)"), F.concat(F.lit("Education: "), r["highest_degree"]),
+        )
+
+    # The fields are bound to a variable: named twice in a plan, each would be parsed twice.
+    fields = ("total_experience_years", "current_title", "current_company", "skills", "certifications", "projects", "highest_degree")
+    record = F.struct(*[F.col(column)[f].alias(f) for f in fields])
+    return parsed.select("doc_id", let(record, lambda r: F.slice(F.array_compact(lines(r)), 1, 6)).alias("highlights"))
 
 
 def name_from_file(name: Column) -> Column:

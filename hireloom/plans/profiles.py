@@ -44,7 +44,8 @@ def parsed(v):
 
 
 def exploded(v, child: str, *fields: str):
-    rows = parsed(v).select("doc_id", F.explode(f"resume.{child}").alias("x"))
+    # Not the plain explode: Spark would test its input for being empty in a filter below, parsing all of it once more.
+    rows = parsed(v).select("doc_id", F.explode_outer(f"resume.{child}").alias("x")).where("x is not null")
     return rows.select("doc_id", *[F.col("x")[f].alias(f) for f in fields])
 
 
@@ -270,7 +271,7 @@ def reprocess_latest(v):
 
 @query("candidate_highlights", """SELECT candidate_id AS doc_id, 'Currently Data Engineer at ' || arg_min(company_name, (start_date, end_date, company_name)) AS now FROM experience JOIN alive USING (candidate_id) GROUP BY 1""")
 def candidate_highlights(v):
-    lines = profiles.highlights(parsed(v)).select("doc_id", F.explode("highlights").alias("now"))
+    lines = profiles.highlights(parsed(v)).select("doc_id", F.explode_outer("highlights").alias("now"))
     return lines.where("now like 'Currently %'")
 
 

@@ -202,3 +202,18 @@ def test_a_chain_of_new_persons_is_one(spark):
     found = spark.createDataFrame([(None, *r) for r in rows], "candidate_id long, resume_id long, mail string, number string").repartition(4)
     got = {r["resume_id"]: r["person"] for r in profiles.new_person_groups(found).collect()}
     assert got == {i: 1 for i in range(1, 301)} | {500: 500, 501: 501, 502: 501, 503: 503}
+
+
+def test_a_record_is_parsed_once(spark, views):
+    """The plans of queries on parsed records name the certificates' (or the jobs') expressions once."""
+    from hireloom.plans import profiles as plans
+
+    spark.conf.set("spark.sql.debug.maxToStringFields", "10000")
+    try:
+        shown = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+        told = "(?i)certifi"
+        once = shown(plans.parsed(views).select("resume.certifications")).count(told)
+        assert once == shown(plans.candidate_highlights(views)).count(told) == shown(plans.resume_completeness(views)).count(told) == shown(plans.resume_certification_rows(views)).count(told) >= 1
+        assert "size(_extract" not in shown(plans.resume_experience_rows(views))
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
