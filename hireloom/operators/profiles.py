@@ -91,6 +91,14 @@ def phone_key(phone: Column) -> Column:
     return F.when(F.length(last) >= 8, last)
 
 
+def _left(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """Left join on a key that many rows lack: those are dealt by their resume, or all of them would meet in one task."""
+    # Rows without the key stand under a text of their own; the second test keeps that from ever matching.
+    stand_in = F.coalesce(F.col(f"l.{key}").cast("string"), F.concat(F.lit("no key "), F.col("l.resume_id").cast("string")))
+    joined = rows.alias("l").join(known.alias("r"), (stand_in == F.col(f"r.{key}").cast("string")) & F.col(f"l.{key}").isNotNull(), "left")
+    return joined.select("l.*", *[F.col(f"r.{c}") for c in known.columns if c != key])
+
+
 def find_person(incoming: DataFrame, people: DataFrame) -> DataFrame:
     """(resume_id, candidate_id, found_by): by the resume's own link, else its e-mail, else its phone; the smallest id where several fit.
 
@@ -100,7 +108,7 @@ def find_person(incoming: DataFrame, people: DataFrame) -> DataFrame:
     by = lambda key, name: known.where(key.isNotNull()).groupBy(key.alias(name)).agg(F.min("candidate_id").alias(f"by_{name}"))
     rows = incoming.withColumns({"mail": F.lower(F.nullif(F.col("email"), F.lit(""))), "number": phone_key(F.col("phone"))})
     linked = people.select(F.col("candidate_id").alias("linked_id"), F.col("candidate_id").alias("by_link"))
-    joined = rows.join(linked, "linked_id", "left").join(by(F.lower("email"), "mail"), "mail", "left").join(by(phone_key(F.col("phone")), "number"), "number", "left")
+    joined = _left(_left(_left(rows, linked, "linked_id"), by(F.lower("email"), "mail"), "mail"), by(phone_key(F.col("phone")), "number"), "number")
     how = F.when(F.col("by_link").isNotNull(), "link").when(F.col("by_mail").isNotNull(), "email").when(F.col("by_number").isNotNull(), "phone")
     return joined.select("resume_id", F.coalesce("by_link", "by_mail", "by_number").alias("candidate_id"), how.alias("found_by"), "mail", "number")
 

@@ -217,3 +217,20 @@ def test_a_record_is_parsed_once(spark, views):
         assert "size(_extract" not in shown(plans.resume_experience_rows(views))
     finally:
         spark.conf.unset("spark.sql.debug.maxToStringFields")
+
+
+def test_resumes_without_keys_are_spread(spark):
+    """Rows that lack a link, a mail or a phone don't meet in one partition of the joins."""
+    own = {"spark.sql.shuffle.partitions": "8", "spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in own}
+    try:
+        for k, value in own.items():
+            spark.conf.set(k, value)
+        made = "id as resume_id", "if(id < 0, id, null) as linked_id", "if(id < 0, 'a@x.org', null) as email", "if(id < 0, '5550000001', null) as phone"
+        people = spark.range(5).selectExpr("id as candidate_id", "concat('p', id, '@x.org') as email", "cast(5550000000 + id as string) as phone", "false as is_deleted")
+        found = profiles.find_person(spark.range(800).selectExpr(*made), people)
+        sizes = [len(x) for x in found.rdd.glom().collect()]
+        assert sum(sizes) == 800 and max(sizes) < 200
+    finally:
+        for k, value in before.items():
+            spark.conf.set(k, value)
