@@ -149,7 +149,7 @@ def candidate_embedding_texts(v):
 @query("candidate_embeddings")
 def candidate_embeddings(v):
     made = profiles.embed_rows(_texts(v))
-    return made.select("candidate_id", "kind", "chunk_index", F.size("vector").alias("dim"), F.slice(F.transform("vector", lambda x: F.round(x.cast("double"), 4)), 1, 4).alias("head"))
+    return made.select("candidate_id", "kind", "chunk_index", F.size("vector").alias("dim"), F.transform(F.slice("vector", 1, 4), lambda x: F.round(x.cast("double"), 4)).alias("head"))
 
 
 @query("skill_embedding_texts", "SELECT skill_id, 'Skill: ' || name || chr(10) || 'Category: ' || category || chr(10) || 'Stack: ' || technology_stack || chr(10) || 'Also: ' || array_to_string(list_reverse(string_split(name, ' ')), ' ') AS text FROM skill")

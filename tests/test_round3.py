@@ -3,8 +3,12 @@
 from pathlib import Path
 
 import duckdb
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+from hireloom.functions import text, vectors
+from hireloom.operators import profiles, vector_search
 from hireloom.plans import registry
 from tests.conftest import DATA
 
@@ -22,3 +26,32 @@ def test_negative_zero_years_as_in_sql(spark, tmp_path, name):
     df = registry.queries()[name](spark, str(tmp_path))
     want = c.sql(registry.oracle_sql()[name])
     assert sorted(map(tuple, df.select(*want.columns).collect())) == sorted(want.fetchall())
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_vectors_are_made_once(spark):
+    rows = spark.createDataFrame([(1, "profile", 0, "Spark and SQL"), (2, "profile", 0, "")], "candidate_id long, kind string, chunk_index int, text string")
+    kept = profiles.embed_rows(rows)
+    assert plan(kept).count("EvalPython") == 1 and [r["candidate_id"] for r in kept.collect()] == [1]
+    asked = rows.select(F.col("candidate_id").alias("embedding_id"), "kind", "candidate_id", vectors.hash_embedding("text").alias("vector"))
+    found = vector_search.top_k(asked, vectors.embed_py("SQL").tolist(), 2)
+    assert plan(found).count("EvalPython") == 1 and found.first()["embedding_id"] == 1
+
+
+def test_start_of_a_key_is_that_of_the_whole():
+    for value in ("a " * 50, "ΑΣ ΑΣ " * 20, "ΟΔΟΣ" * 30, "é " * 40 + "x", "", None, "no_space_" * 20, " . " * 40 + "end"):
+        for chars in (1, 5, 20, 70):
+            assert text.key_start(value, chars) == text.normalize_key_py(value)[:chars]
+
+
+def test_texts_leave_their_batch_a_few_at_a_time():
+    held = []
+    texts = ["• É & b"] * 1000 + [None, ""]
+    for make, want in ((text.normalize_key_py, "eandb"), (text.clean_text_py, "É & b")):
+        got = text.each_text(pa.array(texts), lambda t, make=make: held.append(t) or make(t)).to_pylist()
+        assert got == [want] * 1000 + ["", ""] and len(held) == len(texts)
+        held.clear()
+    assert text.each_text(pa.array([], pa.string()), text.clean_text_py).to_pylist() == []
