@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hireloom.functions import text, vectors
-from hireloom.operators import profiles, vector_search
+from hireloom.operators import profiles, taxonomy, vector_search
 from hireloom.plans import registry
 from tests.conftest import DATA
 
@@ -55,3 +55,12 @@ def test_texts_leave_their_batch_a_few_at_a_time():
         assert got == [want] * 1000 + ["", ""] and len(held) == len(texts)
         held.clear()
     assert text.each_text(pa.array([], pa.string()), text.clean_text_py).to_pylist() == []
+
+
+def test_scan_normalizes_tokens_and_not_runs(spark):
+    docs = spark.createDataFrame([(1, "Uses Node.js, C++ and power bi.\nPower  BI; ..C# & É .NET"), (2, None)], "doc_id long, text string")
+    skills = spark.createDataFrame([(i, n) for i, n in enumerate(["NodeJS", "C++", "Power BI", "C#", ".NET", "R&D"])], "skill_id long, name string")
+    found = taxonomy.scan_text(docs, skills)
+    assert {(r["skill_id"], r["line_no"], r["mentions"]) for r in found.collect()} == {(0, 0, 1), (1, 0, 1), (2, 0, 2), (3, 1, 1), (4, 1, 1)}
+    # Before, a regular expression ran over every run of tokens, after they were taken apart.
+    assert "gram#" not in found._jdf.queryExecution().optimizedPlan().toString()
