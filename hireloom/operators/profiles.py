@@ -188,12 +188,15 @@ def persist_skills(mentions: DataFrame, scans: DataFrame, sweeps: DataFrame, eno
     return grouped.withColumn("is_primary", F.col("source") == "skills_section")
 
 
+#: Fields of a parsed record that its completeness, and its highlights, are read from.
+CHECKED = (
+    "full_name", "email", "phone", "location", "current_title", "current_company", "total_experience_years", "highest_degree", "skills", "experiences", "educations", "projects", "certifications",
+)
+HIGHLIGHTED = ("total_experience_years", "current_title", "current_company", "skills", "certifications", "projects", "highest_degree")
+
+
 def record_completeness(parsed: DataFrame, column: str = "resume") -> DataFrame:
     """(doc_id, completeness): share of twelve checks that a parsed record meets, to 3 places."""
-    fields = (
-        "full_name", "email", "phone", "location", "current_title", "current_company", "total_experience_years", "highest_degree", "skills", "experiences", "educations", "projects", "certifications",
-    )
-
     def share(r: Column) -> Column:
         tests = [
             r["full_name"].isNotNull() & (r["full_name"] != UNKNOWN), r["email"].isNotNull(), r["phone"].isNotNull(), r["location"].isNotNull(), r["current_title"].isNotNull(),
@@ -203,7 +206,7 @@ def record_completeness(parsed: DataFrame, column: str = "resume") -> DataFrame:
         met = sum((F.when(t, 1).otherwise(0) for t in tests), F.lit(0))
         return F.round(met / len(tests), 3)
 
-    record = F.struct(*[F.col(column)[f].alias(f) for f in fields])
+    record = F.struct(*[F.col(column)[f].alias(f) for f in CHECKED])
     return parsed.select("doc_id", let(record, share).alias("completeness"))
 
 
@@ -221,8 +224,7 @@ def highlights(parsed: DataFrame, column: str = "resume") -> DataFrame:
         )
 
     # The fields are bound to a variable: named twice in a plan, each would be parsed twice.
-    fields = ("total_experience_years", "current_title", "current_company", "skills", "certifications", "projects", "highest_degree")
-    record = F.struct(*[F.col(column)[f].alias(f) for f in fields])
+    record = F.struct(*[F.col(column)[f].alias(f) for f in HIGHLIGHTED])
     return parsed.select("doc_id", let(record, lambda r: F.slice(F.array_compact(lines(r)), 1, 6)).alias("highlights"))
 
 

@@ -39,13 +39,14 @@ def planted_resumes(v):
     return rows.select(F.col("candidate_id").alias("doc_id"), text.alias("text"))
 
 
-def parsed(v):
-    return extract.parse_resumes(planted_resumes(v))
+def parsed(v, *fields: str):
+    """Records with the fields that a query reads, all if it names none."""
+    return extract.parse_resumes(planted_resumes(v), fields=fields)
 
 
 def exploded(v, child: str, *fields: str):
     # Not the plain explode: Spark would test its input for being empty in a filter below, parsing all of it once more.
-    rows = parsed(v).select("doc_id", F.explode_outer(f"resume.{child}").alias("x")).where("x is not null")
+    rows = parsed(v, child).select("doc_id", F.explode_outer(f"resume.{child}").alias("x")).where("x is not null")
     return rows.select("doc_id", *[F.col("x")[f].alias(f) for f in fields])
 
 
@@ -75,13 +76,14 @@ def resume_skill_rows(v):
 @query("resume_contact_fields", f"""SELECT candidate_id AS doc_id, 'Alex P' || {LETTERS.format('candidate_id::VARCHAR')} AS full_name, 'person' || candidate_id || '@example.com' AS email, '+1 555 ' || lpad(candidate_id::VARCHAR, 7, '0') AS phone,
       'https://linkedin.com/in/p' || candidate_id AS linkedin, 'https://github.com/p' || candidate_id AS github, city || ', ' || country AS location FROM alive""")
 def resume_contact_fields(v):
-    return parsed(v).select("doc_id", *[F.col("resume")[f].alias(f) for f in ("full_name", "email", "phone", "linkedin", "github", "location")])
+    fields = ("full_name", "email", "phone", "linkedin", "github", "location")
+    return parsed(v, *fields).select("doc_id", *[F.col("resume")[f].alias(f) for f in fields])
 
 
 @query("resume_projects_languages", f"""SELECT candidate_id AS doc_id, 'Rollout ' || {LETTERS.format('candidate_id::VARCHAR')} AS project, 'German;English' AS languages, highest_degree AS degree FROM alive""")
 def resume_projects_languages(v):
     r = F.col("resume")
-    return parsed(v).select("doc_id", r["projects"][0]["name"].alias("project"), F.array_join(r["languages"], ";").alias("languages"), r["highest_degree"].alias("degree"))
+    return parsed(v, "projects", "languages", "highest_degree").select("doc_id", r["projects"][0]["name"].alias("project"), F.array_join(r["languages"], ";").alias("languages"), r["highest_degree"].alias("degree"))
 
 
 @query("resume_completeness", """SELECT candidate_id AS doc_id, round((5 + (w > 0)::INT * 3 + coalesce(total, 0) + 2 + (s + 2 >= 3)::INT) / 12.0, 3)::DOUBLE AS completeness FROM (
@@ -89,7 +91,7 @@ def resume_projects_languages(v):
       FROM alive a LEFT JOIN experience e ON e.candidate_id = a.candidate_id GROUP BY 1)""")
 def resume_completeness(v):
     """Five checks hold for every planted resume (name, e-mail, phone, place, education) and the degree and project ones too."""
-    return profiles.record_completeness(parsed(v))
+    return profiles.record_completeness(parsed(v, *profiles.CHECKED))
 
 
 HEADERS = ["TECHNICAL SKILLS AND TOOLS USED DAILY", "skills used in my daily work", "Professional Experience:", "Skills: Python, SQL", "Education and other studies.", "Career Objective", "Key Projects Undertaken", "Areas of Expertise / tools"]
@@ -271,7 +273,7 @@ def reprocess_latest(v):
 
 @query("candidate_highlights", """SELECT candidate_id AS doc_id, 'Currently Data Engineer at ' || arg_min(company_name, (start_date, end_date, company_name)) AS now FROM experience JOIN alive USING (candidate_id) GROUP BY 1""")
 def candidate_highlights(v):
-    lines = profiles.highlights(parsed(v)).select("doc_id", F.explode_outer("highlights").alias("now"))
+    lines = profiles.highlights(parsed(v, *profiles.HIGHLIGHTED)).select("doc_id", F.explode_outer("highlights").alias("now"))
     return lines.where("now like 'Currently %'")
 
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hireloom.functions import text, vectors
-from hireloom.operators import profiles, taxonomy, vector_search
+from hireloom.operators import documents, profiles, taxonomy, vector_search
 from hireloom.plans import registry
 from tests.conftest import DATA
 
@@ -64,3 +64,27 @@ def test_scan_normalizes_tokens_and_not_runs(spark):
     assert {(r["skill_id"], r["line_no"], r["mentions"]) for r in found.collect()} == {(0, 0, 1), (1, 0, 1), (2, 0, 2), (3, 1, 1), (4, 1, 1)}
     # Before, a regular expression ran over every run of tokens, after they were taken apart.
     assert "gram#" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_only_named_fields_are_parsed_and_texts_move_once(spark, views):
+    """The plan of a query on few fields holds no others, cleans a text once, and doesn't shuffle lines."""
+    spark.conf.set("spark.sql.debug.maxToStringFields", "10000")
+    try:
+        shown = plan(registry.load()["resume_projects_languages"].plan(views))
+        assert "linkedin.com/pub" not in shown and "ongoing" in shown
+        assert shown.count("ArrowEvalPython") == 1 and "Window" not in shown
+        assert "linkedin.com/pub" not in plan(registry.load()["parse_resumes"].plan(views))
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+
+
+def test_lines_under_their_headers(spark):
+    resume = "Ann Lee\n\n  \nSkills: Python, SQL\nSpark\nLanguages\nProjects:\n one: two\nEDUCATION\n"
+    docs = spark.createDataFrame([(1, resume), (2, None), (3, ""), (4, "Skills"), (5, "Skills:\n\nSkills: a\nno end")], "doc_id long, text string")
+    got = {}
+    for r in sorted(documents.section_lines(docs).collect(), key=lambda r: (r["doc_id"], r["pos"])):
+        got.setdefault(r["doc_id"], []).append((r["pos"], r["section"], r["line"]))
+    assert got == {
+        1: [(0, "header", "Ann Lee"), (3, "skills", "Python, SQL"), (4, "skills", "Spark"), (7, "projects", " one: two")],
+        5: [(2, "skills", "a"), (3, "skills", "no end")],
+    }
