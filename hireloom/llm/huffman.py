@@ -130,14 +130,26 @@ def _unpack(raw: bytes, n: int) -> np.ndarray:
     return np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4").astype(np.int64)
 
 
+def _together(documents, least: int = BLOCK_IDS):
+    """Ids of documents (n, raw), those of many in one array: counting costs as much as the vocabulary, whatever the document."""
+    held, size = [], 0
+    for n, raw in documents:
+        held.append(_unpack(raw, n))
+        size += n
+        if size >= least:
+            yield np.concatenate(held)
+            held, size = [], 0
+    if held:
+        yield np.concatenate(held)
+
+
 def _count_ids(batches):
     total = np.zeros(0, dtype=np.int64)
-    for batch in batches:
-        for n, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            own = np.bincount(_unpack(raw, n), minlength=len(total))
-            if len(own) > len(total):
-                total = np.pad(total, (0, len(own) - len(total)))
-            total += own
+    for ids in _together(pair for batch in batches for pair in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+        own = np.bincount(ids, minlength=len(total))
+        if len(own) > len(total):
+            total = np.pad(total, (0, len(own) - len(total)))
+        total += own
     used = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["id", "n"])
 

@@ -3,11 +3,13 @@
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from hireloom.functions import text, vectors
+from hireloom.llm import huffman, tokens
 from hireloom.operators import documents, profiles, taxonomy, vector_search
 from hireloom.plans import registry
 from tests.conftest import DATA
@@ -88,3 +90,19 @@ def test_lines_under_their_headers(spark):
         1: [(0, "header", "Ann Lee"), (3, "skills", "Python, SQL"), (4, "skills", "Spark"), (7, "projects", " one: two")],
         5: [(2, "skills", "a"), (3, "skills", "no end")],
     }
+
+
+def test_ids_are_counted_many_documents_at_a_time():
+    documents = [(3, np.array([1, 5, 5], "<u2").tobytes()), (0, b""), (2, np.array([70_000, 1], "<u4").tobytes())] * 40
+    assert [len(x) for x in huffman._together(documents, 90)] == [90, 90, 20]
+    batch = pa.RecordBatch.from_arrays([pa.array([n for n, _ in documents]), pa.array([raw for _, raw in documents], pa.binary())], names=["n", "ids"])
+    (found,) = huffman._count_ids([batch, batch])
+    assert dict(zip(found.column(0).to_pylist(), found.column(1).to_pylist())) == {1: 160, 5: 160, 70_000: 80}
+    assert sum(len(b) for b in huffman._count_ids([])) == 0
+
+
+def test_memo_that_turns_over_within_a_text():
+    enc = tokens.WordEncoder(tokens.tokenizer_path())
+    whole = enc.encode("one two three four one five six one")
+    enc.WORDS = 3
+    assert b"".join(enc.encode(t) for t in ("one two three", "four one", "five six one")) == whole
