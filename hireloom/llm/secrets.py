@@ -14,12 +14,13 @@ from __future__ import annotations
 
 import hashlib
 import re
+from functools import reduce
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._shared import small_batches, tidy
@@ -28,6 +29,8 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 #: Runs of the minimal length: a shorter run holds no longer one, so none is missed by asking for the length at once.
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
+#: Names of `ASSIGN` in lower case: a plain search for them spares most texts the pattern.
+NAMED = ("password", "passwd", "secret", "token", "apikey", "api_key")
 KINDS = ("assign", "access", "hex", "crf")
 LEAST = 12
 
@@ -320,6 +323,16 @@ def train(chains: list, epochs: int = EPOCHS, seed: int = 3) -> tuple[np.ndarray
     return weights, moves
 
 
+def _sample_hits(docs: DataFrame) -> DataFrame:
+    """(hit, text, draw) of texts that aren't empty: whether a pattern matches."""
+    text, low = F.col("text"), F.col("low")
+    named = reduce(Column.__or__, [F.contains(low, F.lit(name)) for name in NAMED])
+    assign = named & text.rlike(r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{12}""")
+    hit = assign | (F.contains(text, F.lit("AKIA")) & text.rlike("AKIA[A-Z0-9]{14}")) | text.rlike("[0-9a-f]{16}")
+    whole = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("draw")).where(F.length("text") > 0)
+    return whole.withColumn("low", F.lower("text")).select(hit.alias("hit"), "text", "draw")
+
+
 def _sample(docs: DataFrame, sample: int) -> list:
     """Chains of a bounded number of documents of each kind, the same ones at every run."""
 
@@ -330,9 +343,7 @@ def _sample(docs: DataFrame, sample: int) -> list:
                 out += [(hit, chain, tags) for chain, tags in windows(text)]
             yield pa.RecordBatch.from_pylist([{"hit": h, "chain": c, "tags": t} for h, c, t in out], schema=_CHAINS)
 
-    text = F.coalesce("text", F.lit(""))
-    hit = text.rlike(r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{12}""") | text.rlike("AKIA[A-Z0-9]{14}") | text.rlike("[0-9a-f]{16}")
-    marked = docs.select(text.alias("text"), hit.alias("hit"), F.xxhash64("text").alias("draw")).where(F.length("text") > 0)
+    marked = _sample_hits(docs)
     some = [marked.where(kind).orderBy("draw", "text").limit(sample) for kind in (F.col("hit"), ~F.col("hit"))]
     found = some[0].unionByName(some[1]).select("hit", "text").mapInArrow(cut, "hit boolean, chain array<array<int>>, tags array<long>").toArrow()
     chains = zip(found.column("chain").to_pylist(), found.column("tags").to_pylist())

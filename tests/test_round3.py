@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hireloom.functions import text, vectors
-from hireloom.llm import huffman, tokens
+from hireloom.llm import huffman, secrets, tokens
 from hireloom.operators import documents, profiles, taxonomy, vector_search
 from hireloom.plans import registry
 from tests.conftest import DATA
@@ -106,3 +106,11 @@ def test_memo_that_turns_over_within_a_text():
     whole = enc.encode("one two three four one five six one")
     enc.WORDS = 3
     assert b"".join(enc.encode(t) for t in ("one two three", "four one", "five six one")) == whole
+
+
+def test_a_plain_search_comes_before_the_pattern(spark):
+    """Texts are marked for the sample as by the patterns alone."""
+    texts = ["TOKEN = abcdefghijkl", "my Api_Key: ABCDEFGHIJKLMN", "a token, no more", "AKIAABCDEFGHIJKLMN", "AKIA", "x 0123456789abcdef", "plain words", "paſſwd=abcdefghijkl", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    hits = [h for h, *_ in secrets._sample_hits(docs).orderBy("text").collect()]
+    assert hits == [bool(secrets.base_spans(t)) for t in sorted(texts) if t]
