@@ -16,6 +16,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -119,9 +120,9 @@ def _encode_ids(path: str, end_id: int):
         enc = encoder(path)
         end = np.array([end_id], dtype=enc.dtype).tobytes()
         for batch in batches:
-            ids = [enc.encode(t.as_py()) + end for t in batch.column(1)]
-            counts = pa.array([len(i) // enc.dtype.itemsize for i in ids], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), counts, pa.array(ids, pa.binary())], names=["doc_id", "n", "ids"])
+            for at, ids in enc.encode_all(batch.column(1), end):
+                counts = pc.divide(pc.binary_length(ids).cast(pa.int64()), enc.dtype.itemsize)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(ids)), counts, ids], names=["doc_id", "n", "ids"])
 
     return run
 

@@ -31,10 +31,12 @@ RANK_BUCKETS = 256
 def _pieces(path: str, capacity: int, end_id: int):
     def run(batches):
         enc = encoder(path)
+        end = np.array([end_id], dtype=enc.dtype).tobytes()
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.append(np.frombuffer(enc.encode(text.as_py()), enc.dtype), end_id).astype("<u4").tobytes()
+            doc_ids = batch.column(0).to_pylist()
+            for doc_id, raw in ((d, x.as_py()) for at, part in enc.encode_all(batch.column(1), end) for d, x in zip(doc_ids[at:], part)):
+                ids = np.frombuffer(raw, enc.dtype).astype("<u4").tobytes()
                 n = len(ids) // 4
                 for piece, start in enumerate(range(0, n, capacity)):
                     part = ids[4 * start : 4 * (start + capacity)]

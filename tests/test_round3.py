@@ -114,3 +114,17 @@ def test_a_plain_search_comes_before_the_pattern(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     hits = [h for h, *_ in secrets._sample_hits(docs).orderBy("text").collect()]
     assert hits == [bool(secrets.base_spans(t)) for t in sorted(texts) if t]
+
+
+def test_ids_of_many_texts_at_a_time():
+    """op9_token_files, op10_best_fit_packing, pipeline: texts of a batch are encoded together; odd words, empty and long texts as by the library."""
+    odd = ["a\x1cb c’s don't l'été d'Été, NAÏVE... foo-bar (x) [y]", "été <|endoftext|> 12,345.6 ß ſ ŉ İ Σ", None, "", " \n ", "'''\x0b's\t", "Word. word\" WORD-- ++ -", "</w> Ġ aĠb"]
+    texts = odd + ["many words " * 40] + [f"word{i} Wörd{i}, more." for i in range(30)] + odd
+    enc = tokens.WordEncoder(tokens.tokenizer_path())
+    want = [enc.tokenizer.encode(t or "", add_special_tokens=False).ids + [2] for t in texts]
+    for enc.SLICE, enc.CORES in ((1 << 22, 300_000), (60, 4), (1, 300_000)):
+        found = {}
+        for at, ids in enc.encode_all(pa.array([None, *texts])[1:], np.array([2], enc.dtype).tobytes()):
+            found.update((at + i, np.frombuffer(x, enc.dtype).tolist()) for i, x in enumerate(ids.to_pylist()))
+        assert [found[i] for i in range(len(texts))] == want
+    assert not list(enc.encode_all(pa.array([], pa.string())))
