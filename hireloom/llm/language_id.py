@@ -32,7 +32,8 @@ DOCS_PER_LANG = 800
 MEMO_BITS = 18
 #: Numbers (n-grams x languages) that a table of n-grams or a step of scoring holds at most, for many languages.
 CELLS = 1 << 24
-SLICE = 1 << 19
+#: Characters, and texts, that are scored at once: every core's worker holds their numbers.
+SLICE, TEXTS = 1 << 17, 256
 #: A text is rejected when its cross-entropy exceeds the `OWN` quantile of those held back by this
 #: share of the way to the `NOISE` quantile of the same texts with their letters shuffled.
 REJECT_AT = 0.25
@@ -194,7 +195,7 @@ class Identifier:
         """(texts x languages) bits per position, and whether a text has a letter."""
         totals, letter = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts), bool)
         lo = 0
-        while lo < len(texts):  # slices of about a million characters, or one longer text
+        while lo < len(texts):  # slices of about `SLICE` characters, or one longer text
             hi, size = lo + 1, len(texts[lo] or "")
             while hi < len(texts) and size + len(texts[hi] or "") < SLICE:
                 size += len(texts[hi] or "")
@@ -337,13 +338,15 @@ def _measure(model):
 
 
 def predictor(spark: SparkSession, identifier: Identifier):
-    """A pandas UDF text -> struct(lang_pred, score, bits, rejected)."""
+    """An Arrow UDF text -> struct(lang_pred, score, bits, rejected); texts leave their batch a few at a time."""
     model = spark.sparkContext.broadcast(identifier)  # bounded by the sample it was fitted on
+    kind = pa.schema([("lang_pred", pa.string()), ("score", pa.float64()), ("bits", pa.float64()), ("rejected", pa.bool_())])
 
-    @F.pandas_udf("lang_pred string, score double, bits double, rejected boolean")
-    def predict(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for text in texts:
-            yield model.value.predict([None if t is None else t for t in text])
+    @F.arrow_udf("lang_pred string, score double, bits double, rejected boolean")
+    def predict(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in texts:
+            found = [model.value.predict(batch.slice(at, TEXTS).to_pylist()) for at in range(0, max(1, len(batch)), TEXTS)]
+            yield pa.Table.from_pandas(pd.concat(found), kind, preserve_index=False).combine_chunks().to_struct_array().combine_chunks()
         give_back()
 
     return predict

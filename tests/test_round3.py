@@ -1,5 +1,6 @@
 """Cases of the third round: values, sizes and plans that the small tables don't show."""
 
+import tracemalloc
 from pathlib import Path
 
 import duckdb
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hireloom.functions import text, vectors
-from hireloom.llm import huffman, secrets, tokens
+from hireloom.llm import huffman, language_id, secrets, tokens
 from hireloom.operators import documents, profiles, taxonomy, vector_search
 from hireloom.plans import registry
 from tests.conftest import DATA
@@ -128,3 +129,17 @@ def test_ids_of_many_texts_at_a_time():
             found.update((at + i, np.frombuffer(x, enc.dtype).tolist()) for i, x in enumerate(ids.to_pylist()))
         assert [found[i] for i in range(len(texts))] == want
     assert not list(enc.encode_all(pa.array([], pa.string())))
+
+
+def test_language_is_scored_in_small_steps():
+    """pipeline, op3_language_id: every core's worker holds the numbers of a step, so a step is small."""
+    grams = np.random.default_rng(1).integers(97, 123, (2_000, 4)).astype(np.uint32)
+    found = language_id.Identifier({"a": language_id.KneserNey(grams, np.ones(2_000), 26)})
+    texts = ["some words of a text " * 100] * 600
+    few = found.predict(texts[:2])
+    tracemalloc.start()
+    every = found.predict(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 15e6
+    assert every["bits"].tolist() == [few["bits"][0]] * 600
