@@ -8,12 +8,10 @@ from pyspark.sql import functions as F
 
 from hireloom.functions.text import normalize_key, title_case
 from hireloom.operators.components import connected
-from hireloom.functions.vectors import hash_embedding
+from hireloom.functions.vectors import whole_embedding
 from hireloom.operators.documents import chunk_text
 from hireloom.operators.extract import let
 
-#: Chunks of a profile that are embedded at most.
-MOST_CHUNKS = 24
 UNKNOWN = "Unknown Candidate"
 
 
@@ -54,9 +52,9 @@ def requirement_document(title: Column, required: Column, preferred: Column, cer
 
 
 def embedding_texts(profiles: DataFrame, projects: DataFrame, certifications: DataFrame) -> DataFrame:
-    """(candidate_id, kind, chunk_index, text): a profile, its chunks, each project and each certification."""
+    """(candidate_id, kind, chunk_index, text): a profile, all chunks of its resume, each project and each certification."""
     whole = profiles.select("candidate_id", F.lit("profile").alias("kind"), F.lit(0).alias("chunk_index"), F.col("document").alias("text"))
-    pieces = profiles.select("candidate_id", F.posexplode(F.slice(chunk_text(F.coalesce("raw_text", F.lit(""))), 1, MOST_CHUNKS)).alias("chunk_index", "text"))
+    pieces = profiles.select("candidate_id", F.posexplode(chunk_text(F.coalesce("raw_text", F.lit("")))).alias("chunk_index", "text"))
     pieces = pieces.select("candidate_id", F.lit("resume_chunk").alias("kind"), "chunk_index", "text")
     numbered = lambda df, kind: df.select(
         "candidate_id", F.lit(kind).alias("kind"), (F.row_number().over(W.partitionBy("candidate_id").orderBy("text")) - 1).alias("chunk_index"), "text"
@@ -65,8 +63,8 @@ def embedding_texts(profiles: DataFrame, projects: DataFrame, certifications: Da
 
 
 def embed_rows(texts: DataFrame) -> DataFrame:
-    """The rows with their vectors; a zero vector (a text without features) is left out."""
-    made = texts.withColumn("vector", hash_embedding("text"))
+    """The rows with the vectors of their whole texts; a zero vector (a text without features) is left out."""
+    made = texts.withColumn("vector", whole_embedding("text"))
     return made.where(F.exists("vector", lambda x: x != 0))
 
 
